@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, token_counts
+from . import bpe, common, digest_index, line_dedup, packing, sharding, simhash, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +22,54 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir))
 
 
+def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_documents(spark, sf_dir), 24)
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, clean_sha256 (of the cleaned text)."""
+    return line_dedup.remove_boilerplate(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("clean_sha256"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_documents(spark, sf_dir), width=3, bits=2)
+    return found.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table against an empty index."""
+    index = digest_index.DigestIndex(spark, common.scratch_path(spark, "digest_index"))
+    found = digest_index.deduplicate(_documents(spark, sf_dir), index)
+    index.close()
+    return found
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_counts": op2_token_counts,
+    "op5_jump_sharding": op5_jump_sharding,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_simhash": op7_simhash,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_line_dedup": """
+        WITH rows AS (SELECT doc_id, row_number() OVER () AS r, coalesce(source, '') AS site, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        lines AS (SELECT r, doc_id, site, unnest(ls) AS l, generate_subscripts(ls, 1) AS n FROM rows),
+        bad AS (SELECT trim(l, ' ') AS b FROM lines WHERE trim(l, ' ') <> '' GROUP BY 1 HAVING count(DISTINCT site) >= 8)
+        SELECT doc_id, count(*) FILTER (trim(l, ' ') <> '') AS n_lines, count(b) AS n_removed,
+               sha256(coalesce(string_agg(l, chr(10) ORDER BY n) FILTER (b IS NULL), '')) AS clean_sha256
+        FROM lines LEFT JOIN bad ON trim(l, ' ') = b GROUP BY r, doc_id""",
+    "op9_exact_dedup": """
+        WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars,
+                          sha256(translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS text_sha256 FROM documents),
+        k AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM n
+              WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k""",
+}
