@@ -7,12 +7,13 @@ bytes as printable characters, merges inside a word whose last symbol carries a
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import pyarrow as pa
 import regex
@@ -22,8 +23,10 @@ from . import common
 
 WORD_BPE = "word_bpe_49k.json"
 #: Entries in each of the two generations of the memo of chunks; longer chunks are not kept.
-MEMO_SIZE, MEMO_CHARS = 120_000, 64
+MEMO_SIZE, MEMO_CHARS = 250_000, 64
 SHIFT = 20
+_LOW = (1 << SHIFT) - 1
+_NEVER = 1 << 62
 
 
 def byte_alphabet() -> list[str]:
@@ -41,44 +44,56 @@ def byte_alphabet() -> list[str]:
 def merge(symbols: list[int], table: dict[int, int]) -> list[int]:
     """Merges neighbours by rank, leftmost first among equals.
 
-    table: left << SHIFT | right -> rank << SHIFT | merged. The queue holds rank and place;
+    table: left << SHIFT | right -> rank << SHIFT | merged. The queue holds that value and the place, as one number;
     an entry whose place has meanwhile merged into something else is stale and skipped.
     """
     n = len(symbols)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     get = table.get
-    low = (1 << SHIFT) - 1
-    queue = []
-    for i in range(n - 1):
-        hit = get(symbols[i] << SHIFT | symbols[i + 1])
-        if hit is not None:
-            queue.append((hit >> SHIFT, i))
-    heapq.heapify(queue)
+    queue = [hit << 32 | i for i, hit in enumerate(map(get, [a << SHIFT | b for a, b in pairwise(symbols)])) if hit is not None]
+    if not queue:
+        return symbols
+    heapify(queue)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while queue:
-        rank, i = heapq.heappop(queue)
-        left = symbols[i]
-        j = after[i]
-        if left < 0 or j >= n:
-            continue
-        hit = get(left << SHIFT | symbols[j])
-        if hit is None or hit >> SHIFT != rank:
+        entry = heappop(queue)
+        i, hit = entry & 0xFFFFFFFF, entry >> 32
+        left, j = symbols[i], after[i]
+        if left < 0 or j >= n or get(left << SHIFT | symbols[j]) != hit:
             continue
-        merged = hit & low
-        symbols[i], symbols[j] = merged, -1
+        symbols[i] = merged = hit & _LOW
+        symbols[j] = -1
         k = after[i] = after[j]
         if k < n:
             before[k] = i
             hit = get(merged << SHIFT | symbols[k])
             if hit is not None:
-                heapq.heappush(queue, (hit >> SHIFT, i))
+                heappush(queue, hit << 32 | i)
         p = before[i]
         if p >= 0:
             hit = get(symbols[p] << SHIFT | merged)
             if hit is not None:
-                heapq.heappush(queue, (hit >> SHIFT, p))
+                heappush(queue, hit << 32 | p)
     return [s for s in symbols if s >= 0]
 
 
+def merge_short(symbols: list[int], table: dict[int, int]) -> list[int]:
+    """The same merges without a queue: for words of few symbols, looking for the lowest rank each time costs less."""
+    if len(symbols) > 32:
+        return merge(symbols, table)
+    get = table.get
+    hits = [get(a << SHIFT | b, _NEVER) for a, b in pairwise(symbols)]
+    while hits and (hit := min(hits)) != _NEVER:
+        i = hits.index(hit)
+        merged = hit & _LOW
+        symbols[i] = merged
+        del symbols[i + 1], hits[i]
+        if i:
+            hits[i - 1] = get(symbols[i - 1] << SHIFT | merged, _NEVER)
+        if i < len(hits):
+            hits[i] = get(merged << SHIFT | symbols[i + 1], _NEVER)
+    return symbols
+
+
 class Memo(dict):
     """A bounded memo: two generations, the older one goes when the newer is full."""
 
@@ -105,7 +120,8 @@ class WordBpe:
     #: These have \s in str.split() only.
     _ODD = re.compile("[\x1c-\x1f]")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, merge=merge):
+        self._merge = merge
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -129,18 +145,21 @@ class WordBpe:
         self._spaced = regex.compile(r"\S+")
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self._memo = Memo(self._chunk)
-        self._word_memo = Memo(self._word)
 
     def _word(self, word: str) -> bytes:
         raw = word.encode("utf-8")
         symbols = [self._inner[b] for b in raw]
         symbols[-1] = self._last[raw[-1]]
-        return array("I", merge(symbols, self._table) if len(symbols) > 1 else symbols).tobytes()
+        return array("I", self._merge(symbols, self._table) if len(symbols) > 1 else symbols).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        """The ids of text without white space."""
+        """The ids of text without white space. Letters alone are one word; most other chunks end in one mark."""
+        if chunk.isalpha():
+            return self._word(chunk)
+        if chunk[:-1].isalpha() and not chunk[-1].isalnum():
+            return self._memo[chunk[:-1]] + self._memo[chunk[-1]]
         words = self._words.findall(chunk)
-        return b"".join([self._word_memo[w] for w in words]) if len(words) != 1 else self._word_memo[words[0]]
+        return b"".join([self._memo[w] for w in words]) if len(words) != 1 else self._word(words[0])
 
     def _plain(self, text: str) -> bytes:
         if not text.isascii():
@@ -167,14 +186,15 @@ class WordBpe:
         return " ".join(map(self.strings.__getitem__, numbers))
 
 
-_loaded: dict[str, WordBpe] = {}
+_loaded: dict[tuple[str, str], WordBpe] = {}
 
 
-def load(path: str) -> WordBpe:
-    """One per worker process and file."""
-    if path not in _loaded:
-        _loaded[path] = WordBpe(path)
-    return _loaded[path]
+def load(path: str, merge=merge) -> WordBpe:
+    """One per worker process, file and way of merging."""
+    key = (path, merge.__name__)
+    if key not in _loaded:
+        _loaded[key] = WordBpe(path, merge)
+    return _loaded[key]
 
 
 def slices(batches: Iterable[pa.RecordBatch], nbytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
