@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -59,7 +59,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     group_size counts the rows of docs. Null text counts as empty, and empty texts are equal.
     """
     rows, groups, batch = _register(docs, index, id_col, text_col)
-    known = docs.sparkSession.read.parquet(index.path).withColumnRenamed("digest", "known")
+    known = docs.sparkSession.read.schema(_COLUMNS).parquet(index.path).withColumnRenamed("digest", "known")
     verdict = groups.join(known, groups["digest"] == known["known"]).select("digest", "group_size", "keep_id", F.when(F.col("batch") == batch, F.col("keep_row")).alias("keep_row"))
     return rows.join(verdict, "digest").select(
         "doc_id",
@@ -90,11 +90,9 @@ def keep_first(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     index = index or DigestIndex(spark, common.scratch_path(spark, "index"))
     _, _, batch = _register(docs, index, id_col, text_col)
     d, i, n = (common.fresh(docs, x) for x in ("tess_digest", "tess_id", "tess_nth"))
-    won = spark.read.parquet(index.path).where(F.col("batch") == batch).select(F.col("digest").alias(d), F.col("keep_id").alias(i))
+    won = spark.read.schema(_COLUMNS).parquet(index.path).where(F.col("batch") == batch).select(F.col("digest").alias(d), F.col("keep_id").alias(i))
     marked = docs.withColumn(d, digest(common.text_of(text_col)))
     same = (marked[d] == won[d]) & marked[id_col].cast("long").eqNullSafe(won[i])
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy(marked[d], won[i]).orderBy(F.char_length(common.text_of(text_col)).desc()))
     index.close()
     return marked.join(won, same).withColumn(n, nth).where(F.col(n) == 1).select(*[marked[c] for c in docs.columns])

@@ -45,6 +45,8 @@ def estimate(patterns: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) ->
 
     Starts from the guess that any vote for bad is bad; then rates and labels explain each other until they settle.
     """
+    if not len(patterns):
+        return np.zeros(0), np.full((2, len(LABELLERS), 3), 1 / 3), 0.5
     good = np.where((patterns == BAD).any(1), 0.2, 0.95)
     share, rate = 0.5, np.zeros((2, patterns.shape[1], 3))
     for _ in range(rounds):
