@@ -65,7 +65,7 @@ def daily_trend(sessions: DataFrame, first: str, last: str) -> DataFrame:
 def distribute(rows: DataFrame, keys: list[str], pool: Column, weight: str, order: list[str]) -> DataFrame:
     """rows + share: whole numbers by weight that sum to the pool of their key; what floors leave goes to the largest remainders, ties in order."""
     by = Window.partitionBy(*keys)
-    exact = rows.withColumn("_pool", pool).withColumn("_exact", F.col("_pool") * F.col(weight) / F.sum(weight).over(by)).withColumn("_floor", F.floor("_exact"))
+    exact = rows.withColumn("_pool", pool).withColumn("_exact", F.col("_pool") * F.col(weight) / F.nullif(F.sum(weight).over(by), F.lit(0))).withColumn("_floor", F.floor("_exact"))
     exact = exact.withColumn("_left", F.col("_pool") - F.sum("_floor").over(by))
     nth = F.row_number().over(by.orderBy((F.col("_exact") - F.col("_floor")).desc(), *order))
     return exact.withColumn("_nth", nth).withColumn("share", F.coalesce(F.col("_floor") + F.when(F.col("_nth") <= F.col("_left"), 1).otherwise(0), F.lit(0)).cast("long")).drop("_pool", "_exact", "_floor", "_left", "_nth")
