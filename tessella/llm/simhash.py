@@ -106,3 +106,102 @@ def keep_one(docs: DataFrame, width: int = 3, bits: int = 2, id_col: str = "doc_
     gone = near_duplicates(docs, width, bits, id_col, text_col).where("doc_id <> component_id").select("doc_id").distinct()
     key = common.fresh(docs, "tess_gone")
     return docs.join(gone.withColumnRenamed("doc_id", key), F.col(id_col) == F.col(key), "left_anti")
+
+
+#: Wide fingerprints: longs of the one that is compared, blocks of the one that is only looked up, bits of a block.
+WIDE, BLOCKS, BLOCK_BITS = 16, 32, 24
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def majority(hashes: np.ndarray, longs: int) -> np.ndarray:
+    """longs * 64 bits over distinct hashes, each of which is stretched to that many bits; a bit is set if it is in over half."""
+    h = np.unique(hashes)
+    total = np.zeros(longs * 64, np.int64)
+    for at in range(0, len(h), 255 * 32):
+        part = h[at : at + 255 * 32]
+        with np.errstate(over="ignore"):
+            x = part[:, None] + _STEP * np.arange(1, longs + 1, dtype=np.uint64)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+        bits = np.unpackbits(x.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+        for low in range(0, len(bits), 255):  # sums of 255 bits fit into a byte
+            total += np.add.reduce(bits[low : low + 255], axis=0, dtype=np.uint8)
+    return np.packbits(total * 2 > len(h), bitorder="little").view(np.uint64)
+
+
+def wide_fingerprint(text: str, width: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray] | None:
+    """(fingerprint of the distinct shingles, block keys from that of the distinct words); None without words.
+
+    Edits change few words but `width` shingles each: words make the better keys, shingles the better measure.
+    """
+    words = text.encode("utf-8").lower().split()
+    if not words:
+        return None
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1].tolist()
+    stops = ends[min(width, len(words)) - 1 :].tolist()
+    xxh = xxhash.xxh64_intdigest
+    shingles = np.array([xxh(line[s:e], seed) for s, e in zip(starts, stops, strict=False)], np.uint64)
+    distinct = np.array([xxh(w, seed) for w in set(words)], np.uint64)
+    bits = majority(distinct, BLOCKS * BLOCK_BITS // 64)
+    keys = np.packbits(np.unpackbits(bits.view(np.uint8), bitorder="little").reshape(BLOCKS, BLOCK_BITS), axis=1, bitorder="little")
+    padded = np.zeros((BLOCKS, 4), np.uint8)
+    padded[:, : keys.shape[1]] = keys
+    return majority(shingles, WIDE), padded.view(np.uint32)[:, 0]
+
+
+def most_bits(similarity: float, longs: int = WIDE) -> int:
+    """Differing bits that two sets of equal size and that Jaccard similarity are expected to have."""
+    return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * longs * 64)
+
+
+def similar_pairs(rows: DataFrame, bits: int, crowd: int = CROWD) -> DataFrame:
+    """Edges (a, b) of rows(row, fp, keys) that share a block and differ in at most `bits` bits of fp.
+
+    Blocks of up to `crowd` rows are paired. In fuller ones every row is held against one row of the block, drawn anew by
+    hash for each block: rows alike share many blocks, so they meet many others, and no block's pairs are all made.
+    """
+    blocks = rows.select("row", F.posexplode("keys").alias("which", "key"))
+    draw = F.xxhash64("row", "which")
+    full = blocks.groupBy("which", "key").agg(F.count("*").alias("n"), F.min_by("row", draw).alias("drawn")).where("n > 1")
+    shared = common.materialize(blocks.join(full, ["which", "key"]), "shared")
+    few = shared.where(F.col("n") <= crowd).select("which", "key", "row")
+    pairs = few.withColumnRenamed("row", "a").join(few.withColumnRenamed("row", "b"), ["which", "key"]).where("a < b").select("a", "b")
+    drawn = shared.where((F.col("n") > crowd) & (F.col("row") != F.col("drawn"))).select(F.least("row", "drawn").alias("a"), F.greatest("row", "drawn").alias("b"))
+    pairs = pairs.unionByName(drawn).distinct()
+    for c in ("a", "b"):
+        pairs = pairs.join(rows.select(F.col("row").alias(f"row_{c}"), F.col("fp").alias(f"fp_{c}")), F.col(c) == F.col(f"row_{c}")).drop(f"row_{c}")
+    apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.where(apart <= bits).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id of rows whose shingles of `width` words are alike, by wide fingerprints; rows without a partner don't appear.
+
+    Texts without words have no partner. component_id is the smallest doc_id of the component.
+    """
+    common.ship(docs.sparkSession)
+
+    def run(batches):
+        for batch in slices(batches):
+            found = [wide_fingerprint(t or "", width) for t in batch.column(1).to_pylist()]
+            has = pa.array([f is not None for f in found])
+            fp = [f[0].view(np.int64).tolist() for f in found if f]
+            keys = [f[1].view(np.int32).tolist() for f in found if f]
+            yield pa.record_batch([batch.column(0).filter(has), pa.array(fp, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int32()))], ["doc_id", "fp", "keys"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp array<bigint>, keys array<int>")
+    rows = common.materialize(rows.withColumn("row", F.monotonically_increasing_id()), "wide")
+    member = connected_components(similar_pairs(rows, most_bits(similarity)))
+    member = member.join(rows.select("row", "doc_id"), member["node"] == F.col("row")).select("doc_id", "root")
+    return member.join(member.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+
+
+def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its group of similar texts, all columns as they were; null ids stay."""
+    gone = similar_groups(docs, similarity, width, id_col, text_col).where("doc_id <> component_id").select("doc_id").distinct()
+    key = common.fresh(docs, "tess_gone")
+    return docs.join(gone.withColumnRenamed("doc_id", key), F.col(id_col) == F.col(key), "left_anti")

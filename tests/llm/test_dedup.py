@@ -146,3 +146,29 @@ def test_boilerplate_lines(spark):
         got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1), r["text"]) for r in line_dedup.remove_boilerplate(docs, least).collect())
         assert got == want, least
     assert line_dedup.remove_boilerplate(docs.limit(0)).count() == 0
+
+
+def test_similar_groups_by_brute_force(spark):
+    rng = random.Random(8)
+    vocab = [f"{a}{b}{c}" for a in "bdfglm" for b in ("ano", "ire", "ulo") for c in ("st", "r", "nd", "ck", "pel")]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(vocab) + str(rng.randrange(400)) for _ in range(rng.randint(80, 300))]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            t = list(base)
+            for _ in range(rng.choice((1, 2, 40))):
+                t[rng.randrange(len(t))] = rng.choice(vocab)
+            texts.append(" ".join(t))
+    docs = spark.createDataFrame([*enumerate(texts), (900, None), (901, ""), (901, "")], "doc_id long, text string").selectExpr("*", "1 AS fp", "2 AS row", "3 AS keys")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(max(0, i - 3), i)}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    sure = [p for p, j in alike.items() if j >= 0.85]
+    assert sum(got.get(i, i) == got.get(j, j) for i, j in sure) >= 0.97 * len(sure)
+    assert all(i // 4 == j // 4 for i, j in got.items())
+    apart = [p for p, j in alike.items() if j < 0.6]
+    assert sum(got.get(i, i) != got.get(j, j) for i, j in apart) >= 0.97 * len(apart)
+    kept = simhash.keep_one_similar(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id >= 900").count() == 3
+    assert simhash.similar_groups(docs.limit(0)).count() == 0
