@@ -370,3 +370,45 @@ def _(spark, d):
 @query("wn11_heading_report")
 def _(spark, d):
     return doc.heading_report(table(spark, d, "pages"), "page_id", "html")
+
+
+_CLEAN = "h AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages), b AS (SELECT page_id, h, regexp_replace(h, '(?is)<head\\b[^>]*>.*?</head>', '', 'g') AS body FROM h)"
+
+
+@query("re6_profile_checks", f"WITH {_CLEAN}, c AS (SELECT page_id, 'MARKUP-DEPRECATED-TAG' AS code, len(regexp_extract_all(body, '(?i)<(b|i|big|small|u|strike|s|center|font)[\\s/>]')) AS n FROM b UNION ALL SELECT page_id, 'MARKUP-INLINE-STYLE', len(regexp_extract_all(h, '(?i)\\sstyle\\s*=\\s*[\"''][^\"'']*[\"'']')) FROM b UNION ALL SELECT page_id, 'XHTML-TITLE-EMPTY', CASE WHEN trim(regexp_extract(h, '(?is)<title\\b[^>]*>(.*?)</title>', 1)) = '' THEN 1 ELSE 0 END FROM b) SELECT * FROM c WHERE n > 0")
+def _(spark, d):
+    from tessella.operators import publication_checks as pub
+
+    found = pub.check_documents(table(spark, d, "pages"), ["page_id"], "html").where("code IN ('MARKUP-DEPRECATED-TAG', 'MARKUP-INLINE-STYLE', 'XHTML-TITLE-EMPTY')")
+    return found.select("page_id", "code", "n")
+
+
+@query("re6b_all_profile_checks")
+def _(spark, d):
+    from tessella.operators import publication_checks as pub
+
+    return pub.check_documents(table(spark, d, "pages"), ["page_id"], "html").groupBy("code", "severity").agg(F.count("*").alias("pages"), F.sum("n").alias("n"))
+
+
+@query("re6c_dangling_notes")
+def _(spark, d):
+    from tessella.operators import publication_checks as pub
+
+    return pub.dangling_notes(table(spark, d, "pages").withColumn("book", (F.col("page_id") % 10).cast("int")), "book", "page_id", "html")
+
+
+@query("re7_tagged_files", "WITH p AS (SELECT p_partkey, p_size % 3 <> 0 AS tagged, p_size % 4 <> 0 AS pdfua, p_size AS pages, p_partkey % 5 AS bookmarks FROM part) SELECT p_partkey, 'PDF-UNTAGGED' AS code FROM p WHERE NOT tagged UNION ALL SELECT p_partkey, 'PDFUA-IDENTIFIER-MISSING' FROM p WHERE NOT pdfua UNION ALL SELECT p_partkey, 'BOOKMARK-MISSING' FROM p WHERE pages >= 10 AND bookmarks = 0 UNION ALL SELECT p_partkey, 'BOOKMARK-INSUFFICIENT' FROM p WHERE pages >= 10 AND bookmarks > 0 AND bookmarks < pages / 10.0")
+def _(spark, d):
+    from tessella.operators import pdf_checks as pdf
+
+    s, k = F.col("p_size"), F.col("p_partkey")
+    files = table(spark, d, "part").select("p_partkey", (s % 3 != 0).alias("tagged"), (s % 4 != 0).alias("pdfua"), F.lit("en").alias("language"), F.col("p_name").alias("title"), s.alias("pages"), (k % 5).alias("bookmarks"))
+    return pdf.check_files(files, "p_partkey")
+
+
+@query("re7b_tables", "WITH c AS (SELECT l_orderkey, l_linenumber, count(*) AS n, bool_or(l_returnflag = 'A') AS header FROM lineitem GROUP BY 1, 2), t AS (SELECT l_orderkey, count(DISTINCT n) AS lengths, bool_or(header) AS header FROM c GROUP BY 1) SELECT l_orderkey, '15-003' AS code FROM t WHERE NOT header UNION ALL SELECT l_orderkey, '15-005' FROM t WHERE lengths > 1 UNION ALL SELECT l_orderkey, 'TABLE-MISSING-SUMMARY' FROM t")
+def _(spark, d):
+    from tessella.operators import pdf_checks as pdf
+
+    cells = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("row_no"), (F.col("l_returnflag") == "A").alias("header"), F.lit("").alias("summary"))
+    return pdf.check_tables(cells, ["l_orderkey"])
