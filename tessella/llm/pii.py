@@ -28,6 +28,7 @@ TOKEN = rf"(?<![^{_GAP}])[^{_GAP}0-9@]*+[0-9@][^{_GAP}]*+"
 _PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
 ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 3, 0.8
 MIN_DIGITS = 4
+INTRODUCERS = ("is", "no", "nr", "number", "id")
 SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
@@ -111,14 +112,19 @@ def candidates(finds: DataFrame) -> DataFrame:
 
 
 def edges(found: DataFrame) -> DataFrame:
-    """Distinct (pattern, token): the two words before a token, and the word before with the word after."""
+    """Distinct (pattern, token): the two words before a token, and the word before with the word after.
+
+    The word before must introduce something (end in a colon, an equals sign or #, or be one of INTRODUCERS) and each
+    pattern must have a letter on either side of its blank: words that stand before anything tell nothing of what follows.
+    """
     words = F.filter(F.split(F.lower("before"), rf"[{_GAP}]+"), lambda w: w != "")
-    one, two = F.element_at(words, -1), F.element_at(words, -2)
+    one, two = F.try_element_at(words, F.lit(-1)), F.try_element_at(words, F.lit(-2))
     right = F.regexp_extract(F.lower("after"), rf"^[{_GAP}]*([^{_GAP}]+)", 1)
     n = F.size(words)
-    # try: element_at of a short array is null only in the branch that isn't taken
-    left2 = F.when(n >= 2, F.concat(F.lit("before:"), two, F.lit(" "), one))
-    around = F.when((n >= 1) & (right != ""), F.concat(F.lit("around:"), one, F.lit(" _ "), right))
+    introduces = (n >= 1) & (one.rlike("[:=#]$") | F.regexp_replace(one, "[.]$", "").isin(*INTRODUCERS))
+    letter = r"\p{L}"
+    left2 = F.when(introduces & (n >= 2) & (one.rlike(letter) | two.rlike(letter)), F.concat(F.lit("before:"), two, F.lit(" "), one))
+    around = F.when(introduces & one.rlike(letter) & right.rlike(letter), F.concat(F.lit("around:"), one, F.lit(" _ "), right))
     return found.select("token", F.explode(F.array(left2, around)).alias("pattern")).where("pattern IS NOT NULL").distinct()
 
 
