@@ -26,7 +26,6 @@ WORD_BPE = "word_bpe_49k.json"
 MEMO_SIZE, MEMO_CHARS = 250_000, 64
 SHIFT = 20
 _LOW = (1 << SHIFT) - 1
-_NEVER = 1 << 62
 
 
 def byte_alphabet() -> list[str]:
@@ -76,24 +75,6 @@ def merge(symbols: list[int], table: dict[int, int]) -> list[int]:
     return [s for s in symbols if s >= 0]
 
 
-def merge_short(symbols: list[int], table: dict[int, int]) -> list[int]:
-    """The same merges without a queue: for words of few symbols, looking for the lowest rank each time costs less."""
-    if len(symbols) > 32:
-        return merge(symbols, table)
-    get = table.get
-    hits = [get(a << SHIFT | b, _NEVER) for a, b in pairwise(symbols)]
-    while hits and (hit := min(hits)) != _NEVER:
-        i = hits.index(hit)
-        merged = hit & _LOW
-        symbols[i] = merged
-        del symbols[i + 1], hits[i]
-        if i:
-            hits[i - 1] = get(symbols[i - 1] << SHIFT | merged, _NEVER)
-        if i < len(hits):
-            hits[i] = get(merged << SHIFT | symbols[i + 1], _NEVER)
-    return symbols
-
-
 class Memo(dict):
     """A bounded memo: two generations, the older one goes when the newer is full."""
 
@@ -120,8 +101,7 @@ class WordBpe:
     #: These have \s in str.split() only.
     _ODD = re.compile("[\x1c-\x1f]")
 
-    def __init__(self, path: str, merge=merge):
-        self._merge = merge
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -150,7 +130,7 @@ class WordBpe:
         raw = word.encode("utf-8")
         symbols = [self._inner[b] for b in raw]
         symbols[-1] = self._last[raw[-1]]
-        return array("I", self._merge(symbols, self._table) if len(symbols) > 1 else symbols).tobytes()
+        return array("I", merge(symbols, self._table) if len(symbols) > 1 else symbols).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         """The ids of text without white space. Letters alone are one word; most other chunks end in one mark."""
@@ -186,15 +166,29 @@ class WordBpe:
         return " ".join(map(self.strings.__getitem__, numbers))
 
 
-_loaded: dict[tuple[str, str], WordBpe] = {}
+class LibraryWordBpe(WordBpe):
+    """The same, with the library's own merges of a word: for operators that take ids as given."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        self._model = Tokenizer.from_file(path).model
+        self._letters = dict(enumerate(byte_alphabet()))
+
+    def _word(self, word: str) -> bytes:
+        spelt = word.encode("utf-8").decode("latin-1").translate(self._letters)
+        return array("I", [t.id for t in self._model.tokenize(spelt)]).tobytes()
+
+
+_loaded: dict[tuple[str, type], WordBpe] = {}
 
 
-def load(path: str, merge=merge) -> WordBpe:
-    """One per worker process, file and way of merging."""
-    key = (path, merge.__name__)
-    if key not in _loaded:
-        _loaded[key] = WordBpe(path, merge)
-    return _loaded[key]
+def load(path: str, kind: type[WordBpe] = WordBpe) -> WordBpe:
+    """One per worker process, file and kind."""
+    if (path, kind) not in _loaded:
+        _loaded[path, kind] = kind(path)
+    return _loaded[path, kind]
 
 
 def slices(batches: Iterable[pa.RecordBatch], nbytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

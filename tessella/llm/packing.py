@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import WORD_BPE, load, merge_short, slices
+from .bpe import WORD_BPE, LibraryWordBpe, load, slices
 
 CAPACITY, END_ID, PARTS = 2048, 0, 256
 
@@ -96,7 +96,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, id_c
     end, width = END_ID.to_bytes(4, "little"), 4 * capacity
 
     def run(batches):
-        bpe = load(path, merge_short)
+        bpe = load(path, LibraryWordBpe)
         for batch in slices(batches):
             doc, piece, start, length, crc = [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
