@@ -94,6 +94,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2, id_col: str
     smallest = member.groupBy("root").agg(F.min("least").alias("smallest"))
     linked = member.join(smallest, "root").select("fp", "smallest")
     component = nodes.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
+    # As a table of its own it is plainly shuffled for the last join, so a hot fingerprint's rows can be split.
+    component = common.materialize(component, "component")
     return rows.join(component, "fp").select("doc_id", "fp", "component_id")
 
 
