@@ -93,3 +93,30 @@ def formatted(authors: Column, year: Column, title: Column, source: Column, styl
 def orphaned(numbers: Column, kind: Column) -> Column:
     """Whether a numeric citation names no number."""
     return kind.isin("NUMERIC", "SUPERSCRIPT", "BRACKET") & (F.size(numbers) == 0)
+
+
+def strict_numbers(text: Column) -> Column:
+    """Numbers of one to three digits in brackets, else in parentheses, else alone; one range under 50 long is written out, else a list's leading numbers."""
+    body = r"(\d{1,3}(?:\s*[-–,]\s*\d{1,3})*)"
+    inner = F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for t, p in ((text, rf"\[{body}\]"), (text, rf"\({body}\)"), (F.trim(text), rf"^{body}$"))], F.lit(""))
+    ends = F.transform(F.split(inner, r"\s*[-–]\s*"), lambda x: F.regexp_extract(x, r"^\s*(\d+)", 1).try_cast("int"))
+    lo, hi = F.get(ends, F.lit(0)), F.get(ends, F.lit(1))
+    parts = F.transform(F.split(inner, r"\s*,\s*"), lambda x: F.regexp_extract(x, r"^\s*(\d+)", 1).try_cast("int"))
+    return F.when((F.size(ends) == 2) & (hi >= lo) & (hi - lo < 50), F.sequence(lo, F.greatest(lo, hi))).otherwise(F.filter(parts, lambda n: n.isNotNull()))
+
+
+def reference_entries(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, place, number, entry of a text's reference section: numbered entries where there are three or more, else its paragraphs."""
+    head = r"(?:^|\n)[ \t]*(?:References|Bibliography|Works\s+Cited|Literature\s+Cited)[ \t]*\n"
+    tail = r"\n[ \t]*(?:Appendix|Acknowledgments?|About\s+the\s+Author|Notes)[ \t]*\n"
+    rest = F.element_at(F.split(F.col(text), f"(?i){head}", 2), -1)
+    section = F.when(F.col(text).rlike(f"(?i){head}"), F.get(F.split(rest, f"(?i){tail}", 2), F.lit(0)))
+
+    def one_line(t: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(t, r"^\s+|\s+$", ""), r"\n\s+", " ")
+
+    numbered = F.filter(F.split(section, r"(?:^|\n)\s*(?=\d{1,4}[.)]\s)"), lambda t: t.rlike(r"^\s*\d{1,4}[.)]\s+"))
+    numbered = F.filter(F.transform(numbered, lambda t: F.struct(F.regexp_extract(t, r"^\s*(\d{1,4})", 1).try_cast("int").alias("number"), one_line(F.get(F.split(F.regexp_replace(t, r"^\s*\d{1,4}[.)]\s+", ""), r"\n\s*\n"), F.lit(0))).alias("entry"))), lambda e: F.char_length(e["entry"]) > 10)
+    plain = F.filter(F.transform(F.split(section, r"\n{2,}|\n(?=[A-Z])"), one_line), lambda t: F.char_length(t) > 15)
+    plain = F.transform(plain, lambda t, i: F.struct(F.coalesce(F.regexp_extract(t, r"^(\d{1,4})[.)]\s+", 1).try_cast("int"), i + 1).alias("number"), t.alias("entry")))
+    return docs.select(key, F.posexplode(F.when(F.size(numbered) >= 3, numbered).otherwise(plain)).alias("place", "e")).select(key, "place", "e.*")

@@ -153,6 +153,43 @@ STYLE_RULES = (
     ("ieee-first-person", "publisher", "SUGGESTION", r"(?i)\b(I|my|mine)\b(?!\s+(will|would|could|should|may|might|can))", "third person"),
     ("ieee-equation-refs", "publisher", "WARNING", r"\b[Ee]q\.\s*\(?(\d+)\)?", "(n)"),
 )
+#: Words and phrases that rules of style look for.
+GENDERED = ("mankind", "manmade", "man-made", "manpower", "chairman", "fireman", "policeman", "stewardess", "waitress", "mailman")
+UNITS = ("inches", "inch", "feet", "foot", "pounds", "pound", "ounces", "ounce", "miles", "mile", "gallons", "gallon")
+LAY_TERMS = ("heart attack", "stroke", "high blood pressure", "sugar diabetes", "water pill", "pain killer", "blood thinner")
+REDUNDANT = (
+    "advance planning", "basic fundamentals", "close proximity", "completely eliminate", "consensus of opinion", "end result", "exact same", "free gift", "future plans",
+    "general consensus", "new innovation", "past history", "personal opinion", "previous experience", "repeat again", "revert back", "sum total", "unexpected surprise",
+    "whether or not", "each and every", "first and foremost", "various different", "absolutely essential", "actual fact", "added bonus", "advance warning",
+)
+WORDY = (
+    "at this point in time", "due to the fact that", "in order to", "in the event that", "in spite of the fact that", "with regard to", "with respect to", "for the purpose of",
+    "in the near future", "at the present time", "on a daily basis", "on a regular basis", "in a timely manner", "make a decision", "take into consideration",
+    "give consideration to", "make an attempt", "come to a conclusion", "is able to", "has the ability to", "in close proximity to", "a large number of", "a small number of",
+    "the majority of", "in the absence of", "subsequent to", "prior to",
+)
+CLICHES = (
+    "at the end of the day", "think outside the box", "paradigm shift", "low-hanging fruit", "move the needle", "synergy", "leverage", "best practices", "value-added", "win-win",
+    "circle back", "deep dive", "game changer", "disrupt",
+)
+AMERICAN = ("color", "favor", "honor", "behavior", "analyze", "organize", "realize", "center", "meter", "fiber")
+
+
+def _any(words: tuple[str, ...], before: str = r"\b") -> str:
+    return rf"(?i){before}(?:{'|'.join(words)})\b"
+
+
+STYLE_RULES += (
+    ("apa-bias-free-gender", "apa", "WARNING", _any(GENDERED), "a neutral word"),
+    ("apa-anthropomorphism", "apa", "SUGGESTION", r"(?i)\bthe (study|paper|research|data|results?) (shows?|demonstrates?|argues?|believes?|thinks?|feels?)\b|\bthe (table|figure|graph) (shows?|illustrates?)\b", "indicates"),
+    ("ap-time-format", "ap", "SUGGESTION", r"(?i)12:00\s*[ap]\.?m\.?", "noon or midnight"),
+    ("vancouver-units", "vancouver", "WARNING", _any(UNITS, r"\d+\s*"), "metric units"),
+    ("vancouver-medical-terms", "vancouver", "WARNING", _any(LAY_TERMS), "the medical term"),
+    ("quality-redundancy", "quality", "SUGGESTION", _any(REDUNDANT), "one of the words"),
+    ("quality-wordy", "quality", "SUGGESTION", _any(WORDY), "a shorter phrase"),
+    ("quality-cliches", "quality", "SUGGESTION", _any(CLICHES), "plain words"),
+    ("nature-british-spelling", "publisher", "WARNING", _any(AMERICAN), "the British spelling"),
+)
 # fmt: on
 #: Longer texts match no rule.
 RULE_LIMIT = 102_400

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from tessella.functions.numbers import half_up
 
 
-def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(ts, state) of lines like `2024-01-01T10:00:00Z ... desired=1`; other lines go."""
+def parse_lines(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep, ts, state of lines like `2024-01-01T10:00:00Z ... desired=1`; other lines go."""
     pattern = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z?)\b.*?\bdesired[=: ]+([01])\b"
-    out = lines.select(F.regexp_extract(column, pattern, 1).alias("t"), F.regexp_extract(column, pattern, 2).alias("s")).where("t <> ''")
-    return out.select(F.to_timestamp(F.regexp_replace("t", "Z$", "")).alias("ts"), F.col("s").cast("int").alias("state"))
+    out = lines.select(*keep, F.regexp_extract(column, pattern, 1).alias("t"), F.regexp_extract(column, pattern, 2).alias("s")).where("t <> ''")
+    return out.select(*keep, F.to_timestamp(F.regexp_replace("t", "Z$", "")).alias("ts"), F.col("s").cast("int").alias("state"))
 
 
 def intervals(events: DataFrame, keys: list[str], time: str, tie: str, up: Column, down: Column) -> DataFrame:

@@ -420,3 +420,169 @@ def _(spark, d):
 
     cells = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("row_no"), (F.col("l_returnflag") == "A").alias("header"), F.lit("").alias("summary"))
     return pdf.check_tables(cells, ["l_orderkey"])
+
+
+@query("re3_phrase_rules", "SELECT doc_id, len(regexp_extract_all(lower(text), '\\b(?:in|the|of) (?:the|a)\\b')) AS n FROM documents WHERE regexp_matches(lower(text), '\\b(?:in|the|of) (?:the|a)\\b') AND length(text) <= 102400")
+def _(spark, d):
+    rules = [{"id": "phrase", "kind": "PATTERN", "pattern": r"(?i)\b(?:in|the|of) (?:the|a)\b"}]
+    return doc.house_rules(_docs(spark, d), "doc_id", "text", rules).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("sf11_to_superscript", f"SELECT event_id, translate(CAST(event_id AS VARCHAR), '0123456789', '{tx.SUPERSCRIPTS}') AS raised FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", tx.to_superscript(F.col("event_id")).alias("raised"))
+
+
+@query("sf14_strict_numbers", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN array_to_string(range(event_id % 90 + 1, event_id % 90 + 4), ',') WHEN 1 THEN (event_id % 90) || ',' || (event_id % 7) ELSE '' END AS numbers FROM events")
+def _(spark, d):
+    e = F.col("event_id")
+    text = F.when(e % 3 == 0, F.format_string("see (%d-%d)", e % 90 + 1, e % 90 + 3)).when(e % 3 == 1, F.format_string("x [%d, %d] y", e % 90, e % 7)).otherwise(F.lit("year 12345 only"))
+    return table(spark, d, "events").select("event_id", F.array_join(cit.strict_numbers(text).cast("array<string>"), ",").alias("numbers"))
+
+
+@query("sf17_reference_entries", "SELECT doc_id, i AS place, i + 1 AS number, 'Entry number ' || (i + 1) || ' of ' || doc_id AS entry FROM documents, (SELECT unnest([0, 1, 2]) AS i)")
+def _(spark, d):
+    lines = F.concat(*[F.concat(F.lit(f"{i}. Entry number {i} of "), F.col("doc_id").cast("string"), F.lit("\n")) for i in (1, 2, 3)])
+    docs = _docs(spark, d).select("doc_id", F.concat("text", F.lit("\nReferences\n"), lines, F.lit("\nAppendix\nmore")).alias("text"))
+    return cit.reference_entries(docs, "doc_id", "text")
+
+
+@query("af1_unnest_records", "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey")
+def _(spark, d):
+    nested = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey")).alias("kids"))
+    j = table(spark, d, "customer").join(nested, F.col("o_custkey") == F.col("c_custkey"))
+    return j.select("c_custkey", F.explode("kids").alias("k")).select("c_custkey", "k.o_orderkey")
+
+
+@query("jf4_tolerant_bounds", "SELECT o1, o2, o3, o4, x, w FROM zones", "zones")
+def _(spark, d):
+    z = view(spark, d, "zones")
+    bounds = F.when(F.col("o2") % 2 == 0, F.to_json(F.struct("x", "y", "w", "h"))).otherwise(F.to_json(F.struct("x", "y", F.col("w").alias("width"), F.col("h").alias("height"))))
+    x, y, w, h = geo.tolerant_box(bounds)
+    return z.select("o1", "o2", "o3", "o4", x.alias("x"), w.alias("w"))
+
+
+_ITEMS = "i AS (SELECT l_orderkey AS block, l_linenumber AS line, l_partkey % 40 AS x, l_suppkey % 3 = 0 AS bold FROM lineitem)"
+
+
+@query("lx10_table_candidates", f"WITH {_ITEMS}, l AS (SELECT block, count(DISTINCT line) AS rows, min(line) AS top FROM i GROUP BY 1), c AS (SELECT block, count(*) AS columns FROM (SELECT block, floor(x / 10.0 + 0.5) AS a, count(*) AS n FROM i GROUP BY 1, 2) JOIN l USING (block) WHERE n >= rows * 0.5 GROUP BY 1), f AS (SELECT block, line, arg_min(bold, (x, bold)) AS first_bold, bool_or(bold) AS any_bold FROM i GROUP BY 1, 2), h AS (SELECT block, bool_or(line = top AND any_bold) AS header_row FROM f JOIN l USING (block) GROUP BY 1) SELECT block, rows, columns, header_row FROM l JOIN c USING (block) JOIN h USING (block) WHERE rows >= 2 AND columns >= 2")
+def _(spark, d):
+    from tessella.operators import layout as lay
+
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("block"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 40).alias("x"), (F.col("l_suppkey") % 3 == 0).alias("bold"))
+    return lay.table_candidates(items, ["block"]).select("block", "rows", "columns", "header_row")
+
+
+@query("lx11_column_groups")
+def _(spark, d):
+    from tessella.operators import layout as lay
+
+    return lay.column_groups(view(spark, d, "zones"), ["run_id", "page_number"], ["y", "o1", "o2", "o3", "o4"], 5.0)
+
+
+@query("lx12_order_confidence", "WITH p AS (SELECT run_id, page_number, bool_or(run_id % 4 = 0) AS tagged, count(DISTINCT zone_type) > 10 AS many FROM zones GROUP BY 1, 2) SELECT run_id, greatest(0.0, least(1.0, CAST(CASE WHEN bool_or(tagged) THEN 0.9 ELSE 0.5 END AS DOUBLE) - sum(CASE WHEN NOT tagged AND many THEN 1 ELSE 0 END) * 0.2)) >= 0.45 AS sure FROM p GROUP BY 1", "zones")
+def _(spark, d):
+    from tessella.operators import layout as lay
+
+    p = view(spark, d, "zones").groupBy("run_id", "page_number").agg(F.bool_or(F.col("run_id") % 4 == 0).alias("tagged"), F.when(F.countDistinct("zone_type") > 10, 2).otherwise(1).alias("columns"), F.lit(True).alias("ltr"))
+    return lay.reading_order_confidence(p, "run_id").select("run_id", (F.col("confidence") >= 0.45).alias("sure"))
+
+
+@query("lx13_document_score", "SELECT p_partkey, greatest(0, least(100, 100 - CASE WHEN p_size % 2 = 0 THEN 30 ELSE 0 END - p_size % 3 * 15 - p_size % 5 * 5 - least(p_size % 9, 5) * 2)) AS score FROM part")
+def _(spark, d):
+    from tessella.operators import layout as lay
+
+    s, none, yes = F.col("p_size"), F.lit(0), F.lit(True)
+    parts = {"tagged": s % 2 != 0, "language": yes, "first_heading_missing": F.lit(False), "critical": s % 3, "major": s % 5, "minor": none, "bad_tables": none, "order_issues": none, "logical": yes, "bad_links": s % 9}
+    return table(spark, d, "part").select("p_partkey", lay.accessibility_score(parts).alias("score"))
+
+
+@query("lx16_nearest_heading_level", "WITH s AS (SELECT DISTINCT run_id, h FROM zones WHERE h > 0), r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY h DESC) AS r, count(*) OVER (PARTITION BY run_id) AS n FROM s), b AS (SELECT run_id, h AS body FROM r WHERE r = CASE WHEN n > 2 THEN n // 2 + 1 ELSE n END), l AS (SELECT run_id, h AS size, r AS level FROM r JOIN b USING (run_id) WHERE h > body AND r <= 6) SELECT z.run_id, o1, o2, o3, o4, arg_min(level, (abs(size - h), level)) AS level FROM zones z JOIN l USING (run_id) WHERE zone_type = 'section-header' GROUP BY ALL", "zones")
+def _(spark, d):
+    from tessella.operators import layout as lay
+
+    return lay.nearest_heading_levels(view(spark, d, "zones"), ["run_id"], ["o1", "o2", "o3", "o4"])
+
+
+@query("lx17_absorbed_captions")
+def _(spark, d):
+    from tessella.operators import layout as lay
+
+    return lay.absorb_captions(view(spark, d, "zones"), ["run_id", "page_number"], ["o1", "o2", "o3", "o4"])
+
+
+@query("lx18_structure_tags", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'section-header' WHEN 1 THEN 'table' WHEN 2 THEN 'paragraph' END AS class FROM part")
+def _(spark, d):
+    from tessella.operators import layout as lay
+
+    s = F.col("p_size") % 4
+    tag = F.when(s == 0, "Head").when(s == 1, "Table").when(s == 2, "Odd").otherwise("Sect")
+    return table(spark, d, "part").select("p_partkey", lay.tag_class(tag, {"Head": "H2", "Span2": "P", "Box": "Figure"}).alias("class"))
+
+
+@query("mf12_table_kinds", "WITH r AS (SELECT l_orderkey, l_linenumber, count(*) AS n, count(*) FILTER (l_returnflag = 'A') AS hd FROM lineitem GROUP BY 1, 2), t AS (SELECT l_orderkey, count(*) AS rows, max(n) AS cols, sum(hd) AS hd FROM r GROUP BY 1), k AS (SELECT l_orderkey, hd, CASE WHEN rows < 2 OR cols < 2 THEN 'layout' WHEN hd > 0 THEN 'data' ELSE 'unmarked' END AS kind FROM t) SELECT l_orderkey, kind, CASE kind WHEN 'unmarked' THEN 'no-headers' WHEN 'data' THEN 'no-scope,no-caption' ELSE '' END AS issues FROM k")
+def _(spark, d):
+    from tessella.operators import layout as lay
+
+    cells = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("row_no"), (F.col("l_returnflag") == "A").alias("header"), F.lit(None).cast("string").alias("scope"), F.lit(None).cast("string").alias("caption"))
+    return lay.table_kinds(cells, ["l_orderkey"])
+
+
+@query("lx32_fixed_issues", "SELECT issue_id FROM issues WHERE code IN (SELECT 'R' || CAST(n_nationkey AS VARCHAR) FROM nation) OR location IN (SELECT 'loc' || CAST(r_regionkey AS VARCHAR) FROM region)", "issues")
+def _(spark, d):
+    i = view(spark, d, "issues")
+    codes = table(spark, d, "nation").select(F.concat(F.lit("R"), F.col("n_nationkey").cast("string")).alias("code"))
+    places = table(spark, d, "region").select(F.concat(F.lit("loc"), F.col("r_regionkey").cast("string")).alias("location"))
+    # Two semi-joins on equality instead of one on OR, which would be a nested loop.
+    return i.join(codes, "code", "left_semi").select("issue_id").unionByName(i.join(places, "location", "left_semi").select("issue_id")).distinct()
+
+
+@query("lx38_performance_criteria", "WITH m AS (SELECT unnest(['vision', 'hearing', 'vision']) AS crit, unnest(['view', 'click', 'error']) AS event_type) SELECT crit, count(*) AS n, count(*) FILTER (page IS NOT NULL) AS placed FROM issues JOIN m USING (event_type) GROUP BY 1", "issues")
+def _(spark, d):
+    m = spark.createDataFrame([("vision", "view"), ("hearing", "click"), ("vision", "error")], "crit string, event_type string")
+    return view(spark, d, "issues").join(F.broadcast(m), "event_type").groupBy("crit").agg(F.count("*").alias("n"), F.count("page").alias("placed"))
+
+
+@query("xs3_log_lines", "SELECT event_id, epoch_us(ts) // 1000000 AS second, event_id % 2 AS state FROM events")
+def _(spark, d):
+    from tessella.operators.logs import parse_lines
+
+    e = table(spark, d, "events")
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z scaler desired="), (F.col("event_id") % 2).cast("string"))
+    parsed = parse_lines(e.select("event_id", line.alias("value")), "value", ("event_id",))
+    return parsed.select("event_id", F.unix_seconds("ts").alias("second"), F.col("state").cast("long").alias("state"))
+
+
+@query("xs4_up_intervals", "WITH n AS (SELECT user_id, event_type, epoch_us(ts) // 1000 AS start, lead(event_type) OVER w AS nxt, lead(epoch_us(ts) // 1000) OVER w AS fin FROM events WHERE event_type IN ('signup', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id AS workflow_id, start, fin AS \"end\" FROM n WHERE event_type = 'signup' AND nxt = 'error'")
+def _(spark, d):
+    from tessella.operators.logs import intervals
+
+    e = view(spark, d, "workflow_events").where("state IN ('signup', 'error')")
+    return intervals(e, ["workflow_id"], "ts_ms", "event_id", F.col("state") == "signup", F.col("state") == "error")
+
+
+@query("xs7_empty_page_summary", "WITH n AS (SELECT run_id, max(page_number) AS last, count(DISTINCT page_number) AS have FROM zones WHERE zone_type = 'figure' AND confidence > 0.5 GROUP BY 1) SELECT run_id, last, last - have AS empty_pages FROM n", "zones")
+def _(spark, d):
+    z = view(spark, d, "zones").where("zone_type = 'figure' AND confidence > 0.5")
+    return z.groupBy("run_id").agg(F.max("page_number").alias("last"), (F.max("page_number") - F.countDistinct("page_number")).alias("empty_pages"))
+
+
+@query("snk6_csv_lines", "SELECT p_partkey || ',' || p_name || ',' || p_size AS value FROM part")
+def _(spark, d):
+    from tessella.sinks.files import csv_lines
+
+    return csv_lines(table(spark, d, "part").select("p_partkey", "p_name", "p_size"))
+
+
+@query("snk12_snapshots", "SELECT r_regionkey, '2024-01-01' AS as_of, '{\"r_name\":\"' || r_name || '\"}' AS snapshot FROM region")
+def _(spark, d):
+    from tessella.sinks.files import snapshot
+
+    return snapshot(table(spark, d, "region"), "r_regionkey", "2024-01-01")
+
+
+@query("ud5_chunked_totals", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n_words FROM documents WHERE regexp_matches(text, '\\S')")
+def _(spark, d):
+    # Chunk, process, combine: words of 500-word chunks, summed.
+    c = _docs(spark, d).select("doc_id", F.explode(tx.word_chunks(F.col("text"))).alias("c"))
+    return c.groupBy("doc_id").agg(F.sum(tx.count_words(F.col("c.chunk_text"))).alias("n_words"))

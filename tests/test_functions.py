@@ -139,3 +139,24 @@ def test_log_intervals(spark):
     assert [r["end"] - r["start"] for r in spans.collect()] == [1_800_000]
     assert logs.blended_cost(spans, spark.createDataFrame([(0,)], "n long"), 2.0).first()["cost"] is None
     assert logs.blended_cost(spans, spark.createDataFrame([(4,)], "n long"), 2.0).first()["cost"] == 0.25
+
+
+def test_strict_numbers_and_entries(spark):
+    from tessella.operators import citations
+
+    got = [_one(spark, citations.strict_numbers(F.col("t")), t=t) for t in ("a [1, 2] (9)", "(3–5)", "7", "[1-99]", "1999 x")]
+    assert got == [[1, 2], [3, 4, 5], [7], [1], []]
+    docs = spark.createDataFrame([(1, "Body\nReferences\n1. First entry here\n2) Second entry\n   goes on\n3. Third entry here\n\nAppendix\nmore"), (2, "Body\nBibliography\nSome author, a long title.\n\nOther author, another title."), (3, "none")], "id long, t string")
+    rows = sorted((r["id"], r["number"], r["entry"]) for r in citations.reference_entries(docs, "id", "t").collect())
+    assert rows == [(1, 1, "First entry here"), (1, 2, "Second entry goes on"), (1, 3, "Third entry here"), (2, 1, "Some author, a long title."), (2, 2, "Other author, another title.")]
+
+
+def test_layout(spark):
+    from tessella.operators import layout
+
+    z = spark.createDataFrame([(1, 1, "figure", 0.0, 0.0, 50.0, 50.0), (1, 2, "caption", 10.0, 52.0, 30.0, 10.0), (1, 3, "caption", 10.0, 70.0, 30.0, 6.0), (1, 4, "caption", 200.0, 0.0, 9.0, 9.0)], "page long, o long, zone_type string, x double, y double, w double, h double")
+    got = {r["o"]: (r["y"], r["h"]) for r in layout.absorb_captions(z, ["page"], ["o"]).collect()}
+    assert got == {1: (0.0, 76.0), 4: (0.0, 9.0)}  # the first caption brings the figure within reach of the second
+    lines = spark.createDataFrame([(1, i, float(x), 30.0) for i, x in enumerate((0, 300, 10, 310, 20, 320, 900))], "page long, o long, x double, w double")
+    assert sorted(r["n"] for r in layout.column_groups(lines, ["page"], ["o"]).collect()) == [3, 3]
+    assert [_one(spark, layout.tag_class(F.col("t"), {"Head": "H2", "A": "P", "B": "P"}), t=t) for t in ("Head", "Sect", "Odd")] == ["section-header", None, "paragraph"]
