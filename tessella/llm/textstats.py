@@ -13,7 +13,9 @@ _has_word = str.maketrans("", "", BLANKS)
 
 #: Whole numbers of base(), then of more().
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MORE = ("n_upper", "n_exclaim", "n_lines", "n_short_words", "n_distinct_words")
+MORE = ("n_upper", "n_exclaim", "n_lines", "n_short_words", "n_distinct_words", "n_separators")
+#: Words that only part others.
+SEPARATORS = frozenset(x.encode() for x in ("|", "-", "–", "—", "*", "/", "\\", ">", "»", "•", "·", "::", "||"))
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -56,6 +58,7 @@ def count_all(text: str) -> tuple[int, ...]:
         len(lines),
         sum([len(w) <= 3 for w in words]),
         len(set(words)),
+        sum(map(SEPARATORS.__contains__, words)),
     )
 
 
@@ -65,7 +68,7 @@ def table(texts: list[str]) -> np.ndarray:
 
 
 def ratios(counts: np.ndarray) -> np.ndarray:
-    """Columns: symbols, repeated lines, repeated words, upper case, exclamation marks, word length, short words, distinct words."""
-    n, chars, symbols, dup, repeat, upper, exclaim, lines, short, distinct = counts.astype(np.float64).T
+    """Columns: symbols, repeated lines, repeated words, upper case, exclamation marks, word length, short words, distinct words, separators."""
+    n, chars, symbols, dup, repeat, upper, exclaim, lines, short, distinct, parting = counts.astype(np.float64).T
     words, chars1 = np.maximum(n, 1), np.maximum(chars, 1)
-    return np.column_stack([symbols / chars1, dup / np.maximum(lines, 1), repeat / words, upper / chars1, exclaim / chars1, chars / words, short / words, distinct / words])
+    return np.column_stack([symbols / chars1, dup / np.maximum(lines, 1), repeat / words, upper / chars1, exclaim / chars1, chars / words, short / words, distinct / words, parting / words])

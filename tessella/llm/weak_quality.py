@@ -25,37 +25,47 @@ LABELLERS = (
     ("upper_case", 3, -1.0, 0.0, 0.12, 0.3),
     ("exclamations", 4, -1.0, 0.0, 0.01, 0.05),
     ("word_length", 5, 3.0, 4.2, 6.0, 7.5),
-    ("short_words", 6, 0.03, 0.12, 0.5, 0.9),
-    ("distinct_words", 7, 0.25, 0.5, 1.0, 2.0),
+    ("short_words", 6, 0.03, 0.12, 0.42, 0.9),
+    ("distinct_words", 7, 0.25, 0.6, 1.0, 2.0),
+    ("separators", 8, -1.0, 0.0, 0.03, 0.15),
 )
 GOOD, BAD, NONE = 0, 1, 2
 
 
-def votes(ratios: np.ndarray) -> np.ndarray:
-    """GOOD, BAD or NONE of each labeller for each row of textstats.ratios()."""
+#: Under so many words the shares below say little of a text, and their labellers abstain.
+FEW_WORDS, UNSTEADY = 20, ("upper_case", "word_length", "short_words", "distinct_words", "separators")
+
+
+def votes(counts: np.ndarray) -> np.ndarray:
+    """GOOD, BAD or NONE of each labeller for each row of textstats.table()."""
+    ratios = textstats.ratios(counts)
+    few = counts[:, 0] < FEW_WORDS
     out = np.full((len(ratios), len(LABELLERS)), NONE, np.int8)
-    for k, (_, c, low, good, to, high) in enumerate(LABELLERS):
+    for k, (name, c, low, good, to, high) in enumerate(LABELLERS):
         x = ratios[:, c]
-        out[:, k] = np.where((x < low) | (x > high), BAD, np.where((x >= good) & (x <= to), GOOD, NONE))
+        vote = np.where((x < low) | (x > high), BAD, np.where((x >= good) & (x <= to), GOOD, NONE))
+        out[:, k] = np.where(few, NONE, vote) if name in UNSTEADY else vote
     return out
 
 
 def estimate(patterns: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Probability that each pattern of votes is good, the labellers' rates [class, labeller, vote] and the share of good texts.
+    """Probability that each pattern of votes is good, the labellers' rates [class, labeller, GOOD or BAD] and the share of good texts.
 
     Starts from the guess that any vote for bad is bad; then rates and labels explain each other until they settle.
+    A labeller that abstains tells nothing.
     """
     if not len(patterns):
-        return np.zeros(0), np.full((2, len(LABELLERS), 3), 1 / 3), 0.5
+        return np.zeros(0), np.full((2, len(LABELLERS), 2), 0.5), 0.5
     good = np.where((patterns == BAD).any(1), 0.2, 0.95)
-    share, rate = 0.5, np.zeros((2, patterns.shape[1], 3))
+    share, rate = 0.5, np.zeros((2, patterns.shape[1], 2))
     for _ in range(rounds):
         for k, p in enumerate((good, 1 - good)):
-            for v in range(3):
+            for v in (GOOD, BAD):
                 rate[k, :, v] = ((patterns == v) * (weight * p)[:, None]).sum(0)
         rate = (rate + 0.5) / (rate + 0.5).sum(2, keepdims=True)
         share = (weight @ good + 1) / (weight.sum() + 2)
-        like = [np.log(rate[k, np.arange(patterns.shape[1]), patterns]).sum(1) for k in (0, 1)]
+        tells = np.log(np.concatenate([rate, np.ones((2, patterns.shape[1], 1))], 2))
+        like = [tells[k, np.arange(patterns.shape[1]), patterns].sum(1) for k in (0, 1)]
         before, good = good, 1 / (1 + np.exp(np.clip(like[1] + np.log(1 - share) - like[0] - np.log(share), -500, 500)))
         if np.abs(good - before).max() < 1e-9:
             break
@@ -78,7 +88,7 @@ def shape(word: str) -> str:
 
 def _document_slots(ratios: np.ndarray) -> np.ndarray:
     """Hashed features of a whole text: the tenth in which each statistic lies."""
-    tenth = np.clip(np.floor(ratios * np.array([50, 10, 10, 10, 50, 1, 10, 10])), 0, 10).astype(int)
+    tenth = np.clip(np.floor(ratios * np.array([50, 10, 10, 10, 50, 1, 10, 10, 20])), 0, 10).astype(int)
     slots = np.array([[_slot("stat", f"{k}/{b}") for b in range(11)] for k in range(ratios.shape[1])])
     return slots[np.arange(ratios.shape[1]), tenth]
 
@@ -135,7 +145,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
 
     def vote(batches):
         for batch in slices(batches):
-            v = votes(textstats.ratios(textstats.table([t or "" for t in batch.column(1).to_pylist()])))
+            v = votes(textstats.table([t or "" for t in batch.column(1).to_pylist()]))
             yield pa.record_batch([batch.column(0), pa.array(["".join(map(str, r)) for r in v.tolist()], pa.string())], ["id", "pattern"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
@@ -151,9 +161,9 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
     def take(batches):
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ratios = textstats.ratios(textstats.table(texts))
-            x = [_features(t, s) for t, s in zip(texts, _document_slots(ratios), strict=True)]
-            y = [label.get("".join(map(str, v)), 0.5) for v in votes(ratios).tolist()]
+            counts = textstats.table(texts)
+            x = [_features(t, s) for t, s in zip(texts, _document_slots(textstats.ratios(counts)), strict=True)]
+            y = [label.get("".join(map(str, v)), 0.5) for v in votes(counts).tolist()]
             yield pa.record_batch([batch.column(0), pa.array([list(d) for d in x], pa.list_(pa.int32())), pa.array([list(d.values()) for d in x], pa.list_(pa.float64())), pa.array(y)], ["id", "slots", "shares", "good"])
 
     found = rows.join(F.broadcast(picked), F.col("id").eqNullSafe(F.col("sample_id"))).select("id", "body").mapInArrow(take, "id bigint, slots array<int>, shares array<double>, good double")
