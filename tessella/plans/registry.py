@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.plans.casts import CASTS
 from tessella.sources.tables import VIEWS, view_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,8 @@ def query(name: str, sql: str | None = None, views: str = "") -> Callable[[Query
             text = sql.strip()
             if with_:
                 text = f"WITH {with_}, {text[5:]}" if text.upper().startswith("WITH ") else f"WITH {with_} {text}"
+            if name in CASTS:
+                text = f"SELECT * REPLACE ({', '.join(f'CAST({chr(34)}{c}{chr(34)} AS {t}) AS {chr(34)}{c}{chr(34)}' for c, t in CASTS[name].items())}) FROM ({text})"
             ORACLES[name] = text
         return f
 
