@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -10,25 +10,27 @@ from . import common
 MIN_SITES, LG_K = 8, 10
 
 
-def _lines(docs: DataFrame, text_col: str, *keep) -> DataFrame:
-    """A row for each line that isn't blank; line: its hash without blanks at its ends."""
-    cut = F.explode(F.split(common.text_of(text_col), "\n")).alias("l")
-    return docs.select(*keep, cut).select(*[c for c in ("id", "site") if c in docs.select(*keep).columns], F.trim("l").alias("l")).where("l <> ''").withColumn("line", F.xxhash64("l")).drop("l")
+def _lines(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
+    """keep and a row for each line that isn't blank; line: its hash without blanks at its ends."""
+    kept = docs.select(*keep, F.explode(F.split(common.text_of(text_col), "\n")).alias("l"))
+    return kept.withColumn("l", F.trim("l")).where("l <> ''").withColumn("line", F.xxhash64("l")).drop("l")
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source", lg_k: int = LG_K) -> DataFrame:
     """(line, sites): hashes of lines on min_sites distinct sites or more; sites is exact near the threshold, else estimated.
 
-    Sketches of a line's sites merge by aggregation. An estimate has a standard error of 1.04 / sqrt(2 ** lg_k), 3 %;
-    lines estimated within a quarter of the threshold, over seven such errors, are counted exactly. A null site is a site of its own.
+    Equal texts count once, at the first of their sites by name: copies of a document are no boilerplate. Sketches of a
+    line's sites merge by aggregation. An estimate has a standard error of 1.04 / sqrt(2 ** lg_k), 3 %; lines estimated
+    within a quarter of the threshold, over seven such errors, are counted exactly. A null site is a site of its own.
     """
     site = F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site")
-    lines = _lines(docs, text_col, site)
-    # What one partition holds of a line and site goes in once, so that hot lines weigh no more than others.
-    spread = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites")).where(F.col("sites") >= min_sites * 0.75)
+    lines = _lines(docs, text_col, site, F.xxhash64(common.text_of(text_col)).alias("body"))
+    # A row for each line and text: hot lines and groups of copies shrink before they are dealt by line.
+    once = common.materialize(lines.groupBy("line", "body").agg(F.min("site").alias("site")).select("line", "site"), "lines")
+    spread = once.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites")).where(F.col("sites") >= min_sites * 0.75)
     spread = common.materialize(spread, "spread")
     near = spread.where(F.col("sites") <= min_sites * 1.25).select("line")
-    exact = lines.join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
+    exact = once.join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
     return spread.where(F.col("sites") > min_sites * 1.25).unionByName(exact)
 
 

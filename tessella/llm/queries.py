@@ -77,9 +77,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op6_line_dedup": """
-        WITH rows AS (SELECT doc_id, row_number() OVER () AS r, coalesce(source, '') AS site, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-        lines AS (SELECT r, doc_id, site, unnest(ls) AS l, generate_subscripts(ls, 1) AS n FROM rows),
-        bad AS (SELECT trim(l, ' ') AS b FROM lines WHERE trim(l, ' ') <> '' GROUP BY 1 HAVING count(DISTINCT site) >= 8)
+        WITH rows AS (SELECT doc_id, row_number() OVER () AS r, coalesce(source, '') AS site, coalesce(text, '') AS body, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        lines AS (SELECT r, doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS n FROM rows),
+        firsts AS (SELECT min(site) AS site, body FROM rows GROUP BY body),
+        bad AS (SELECT trim(l, ' ') AS b FROM (SELECT site, unnest(string_split(body, chr(10))) AS l FROM firsts) WHERE trim(l, ' ') <> '' GROUP BY 1 HAVING count(DISTINCT site) >= 8)
         SELECT doc_id, count(*) FILTER (trim(l, ' ') <> '') AS n_lines, count(b) AS n_removed,
                sha256(coalesce(string_agg(l, chr(10) ORDER BY n) FILTER (b IS NULL), '')) AS clean_sha256
         FROM lines LEFT JOIN bad ON trim(l, ' ') = b GROUP BY r, doc_id""",

@@ -136,10 +136,13 @@ def test_boilerplate_lines(spark):
     rows += [(100, None, None), (101, "s1", ""), (101, "s1", "shared by all\nmine"), (None, "s2", "mine two\nshared by all")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 AS lines", "2 AS gone", "3 AS site", "4 AS line")
     sites = defaultdict(set)
-    for _, s, t in rows:
-        for x in (t or "").split("\n"):
+    rows += [(200 + i, f"s{i % 12}", "copied line one\ncopied line two") for i in range(30)]  # copies count once
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 AS lines", "2 AS gone", "3 AS site", "4 AS line")
+    for t in {t or "" for _, _, t in rows}:
+        site = min(s or "" for _, s, x in rows if (x or "") == t)
+        for x in t.split("\n"):
             if x.strip(" "):
-                sites[x.strip(" ")].add(s)
+                sites[x.strip(" ")].add(site)
     for least in (3, 6, 8, 12):
         bad = {x for x, v in sites.items() if len(v) >= least}
         want = sorted(((i if i is not None else -1), "\n".join(x for x in (t or "").split("\n") if x.strip(" ") not in bad)) for i, _, t in rows)
