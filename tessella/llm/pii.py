@@ -69,13 +69,16 @@ def _found(text: Column, kind: str, pattern: str, trigger: str) -> Column:
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     context = kind == "token"
 
-    def entry(x: Column, i: Column) -> Column:
+    # The next gap is zipped in: named inside the function, the array would be made anew for every element.
+    zipped = F.arrays_zip(gaps.alias("g"), hits.alias("m"), F.slice(gaps, 2, 2**31 - 1).alias("next"))
+
+    def entry(x: Column) -> Column:
         near = F.right(x["g"], F.lit(80)) if context else F.lit(None).cast("string")
-        after = F.left(F.get(gaps, i + 1), F.lit(40)) if context else F.lit(None).cast("string")
+        after = F.left(x["next"], F.lit(40)) if context else F.lit(None).cast("string")
         return F.struct(F.lit(kind).alias("kind"), F.char_length(x["g"]).alias("gap"), x["m"].alias("m"), near.alias("before"), after.alias("after"))
 
     none = F.array().cast("array<struct<kind:string,gap:int,m:string,before:string,after:string>>")
-    return F.when(text.rlike(trigger), F.transform(F.arrays_zip(gaps.alias("g"), hits.alias("m")), entry)).otherwise(none)
+    return F.when(text.rlike(trigger), F.transform(zipped, entry)).otherwise(none)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
