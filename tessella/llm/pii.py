@@ -28,6 +28,8 @@ TOKEN = rf"(?<![^{_GAP}])[^{_GAP}0-9@]*+[0-9@][^{_GAP}]*+"
 _PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
 ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 3, 0.8
 MIN_DIGITS = 4
+#: Up to so many bytes of ids and discovered tokens are broadcast for masking.
+SENT_BYTES = 4 << 20
 INTRODUCERS = ("is", "no", "nr", "number", "id")
 SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
@@ -190,7 +192,7 @@ def digests(found: DataFrame) -> DataFrame:
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every span of its texts replaced by its kind in brackets, all other columns as they were.
 
-    Valid matches are replaced within the row, kind after kind; discovered tokens by a join on the few rows that have any.
+    Valid matches are replaced within the row, kind after kind; discovered tokens by a join with the rows that have any.
     Null texts stay null.
     """
     rows, finds = scan(docs, id_col, text_col)
@@ -203,7 +205,10 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return out
     key, gone = common.fresh(docs, "tess_id"), common.fresh(docs, "tess_tokens")
     has = candidates(finds).join(known, "token").join(rows, "row").groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("token").alias(gone))
-    out = out.join(has, F.col(id_col).eqNullSafe(F.col(key)), "left")
+    has = common.materialize(has, "tokens")
+    # Where ids and tokens are few they are sent to the texts; texts move only where they are not.
+    size = has.agg(F.coalesce(F.sum(F.length(F.array_join(gone, " ")) + 64), F.lit(0))).first()[0]
+    out = out.join(F.broadcast(has) if size <= SENT_BYTES else has, F.col(id_col).eqNullSafe(F.col(key)), "left")
     swapped = _swapped(text, TOKEN, lambda m: F.when(F.array_contains(gone, _bare(m)), F.lit("[OTHER]")).otherwise(m))
     return out.withColumn(text_col, F.when(F.col(gone).isNotNull(), swapped).otherwise(text)).select(*docs.columns)
 
