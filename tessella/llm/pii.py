@@ -72,7 +72,7 @@ def _found(text: Column, kind: str, pattern: str, trigger: str) -> Column:
     context = kind == "token"
 
     # The next gap is zipped in: named inside the function, the array would be made anew for every element.
-    zipped = F.arrays_zip(gaps.alias("g"), hits.alias("m"), F.slice(gaps, 2, 2**31 - 1).alias("next"))
+    zipped = F.arrays_zip(gaps.alias("g"), hits.alias("m"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))
 
     def entry(x: Column) -> Column:
         near = F.right(x["g"], F.lit(80)) if context else F.lit(None).cast("string")
