@@ -112,6 +112,8 @@ def keep_one(docs: DataFrame, width: int = 3, bits: int = 2, id_col: str = "doc_
 
 #: Wide fingerprints: longs of the one that is compared, blocks of the one that is only looked up, bits of a block.
 WIDE, BLOCKS, BLOCK_BITS = 16, 32, 24
+#: Rows of a crowded block that one part holds.
+PART = 4096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -159,24 +161,93 @@ def most_bits(similarity: float, longs: int = WIDE) -> int:
     return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * longs * 64)
 
 
-def similar_pairs(rows: DataFrame, bits: int, crowd: int = CROWD) -> DataFrame:
-    """Edges (a, b) of rows(row, fp, keys) that share a block and differ in at most `bits` bits of fp.
+def distances(fps: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Bits in which each row of fps differs from fp."""
+    return np.bitwise_count(fps ^ fp).sum(1, np.int64)
 
-    Blocks of up to `crowd` rows are paired. In fuller ones every row is held against one row of the block, drawn anew by
-    hash for each block: rows alike share many blocks, so they meet many others, and no block's pairs are all made.
+
+def forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Pairs of rows of fps (uint64) at most `bits` bits apart, no more than have the components of all such pairs.
+
+    Every two rows are compared, unless one is in a component already or the triangle inequality puts them apart: what is
+    more than bits + r from a component's first row is more than bits from each row at r from it.
+    """
+    rest, out = np.arange(len(fps)), []
+    while len(rest) > 1:
+        first, rest = rest[0], rest[1:]
+        far = distances(fps[rest], fps[first])
+        todo = [(first, 0)]
+        while todo and len(rest):
+            at, r = todo.pop()
+            can = np.flatnonzero(far <= bits + r)
+            near = can[distances(fps[rest[can]], fps[at]) <= bits]
+            if len(near):
+                out += [(int(at), int(x)) for x in rest[near]]
+                todo += zip(rest[near].tolist(), far[near].tolist(), strict=True)
+                stay = np.ones(len(rest), bool)
+                stay[near] = False
+                rest, far = rest[stay], far[stay]
+    return out
+
+
+def crowded_pairs(members: DataFrame, bits: int, part: int = PART) -> DataFrame:
+    """Edges (a, b) of members(which, key, n, row, fp), the rows of blocks, with the components of all pairs of a block at most `bits` bits apart.
+
+    A block of over `part` rows is dealt into parts by hash, and every two parts are compared in a group of their own,
+    so no task holds more than two parts at once. Rows sent grow as n / part of a block's n, comparisons as its square.
+    """
+    common.ship(members.sparkSession)
+    parts = F.ceil(F.col("n") / part)
+    own = F.pmod(F.xxhash64("row", "which"), parts)
+    each = F.when(parts == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), parts - 1), lambda q: q != own))
+    dealt = members.withColumn("own", own).select("which", "key", "own", "row", "fp", F.explode(each).alias("other"))
+    group = ["which", "key", "lo", "hi"]
+    dealt = dealt.select("which", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "row", "fp")
+    dealt = dealt.repartition(*group).sortWithinPartitions(*group)
+
+    def linked(held):
+        rows = np.concatenate([h[0] for h in held])
+        pairs = forest(np.concatenate([h[1] for h in held]), bits)
+        return [(min(x, y), max(x, y)) for x, y in ((int(rows[i]), int(rows[j])) for i, j in pairs)]
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = np.column_stack([batch.column(i).to_numpy() for i in range(4)])
+            rows = batch.column(4).to_numpy()
+            fps = batch.column(5).flatten().to_numpy().view(np.uint64).reshape(len(rows), -1)
+            cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1).tolist(), len(rows)]
+            out = []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                name = tuple(names[lo].tolist())
+                if name != at:
+                    out += linked(held) if held else []
+                    at, held = name, []
+                held.append((rows[lo:hi], fps[lo:hi]))
+            yield pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+        out = linked(held) if held else []
+        yield pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_pairs(rows: DataFrame, bits: int, crowd: int = CROWD, part: int = PART) -> DataFrame:
+    """Edges (a, b) of rows(row, fp, keys) with the components of all pairs that share a block and differ in at most `bits` bits of fp.
+
+    Blocks of up to `crowd` rows are paired, fuller ones go through crowded_pairs(): both compare all of a block.
     """
     blocks = rows.select("row", F.posexplode("keys").alias("which", "key"))
-    draw = F.xxhash64("row", "which")
-    full = blocks.groupBy("which", "key").agg(F.count("*").alias("n"), F.min_by("row", draw).alias("drawn")).where("n > 1")
+    full = blocks.groupBy("which", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = common.materialize(blocks.join(full, ["which", "key"]), "shared")
     few = shared.where(F.col("n") <= crowd).select("which", "key", "row")
-    pairs = few.withColumnRenamed("row", "a").join(few.withColumnRenamed("row", "b"), ["which", "key"]).where("a < b").select("a", "b")
-    drawn = shared.where((F.col("n") > crowd) & (F.col("row") != F.col("drawn"))).select(F.least("row", "drawn").alias("a"), F.greatest("row", "drawn").alias("b"))
-    pairs = pairs.unionByName(drawn).distinct()
+    pairs = few.withColumnRenamed("row", "a").join(few.withColumnRenamed("row", "b"), ["which", "key"]).where("a < b").select("a", "b").distinct()
     for c in ("a", "b"):
         pairs = pairs.join(rows.select(F.col("row").alias(f"row_{c}"), F.col("fp").alias(f"fp_{c}")), F.col(c) == F.col(f"row_{c}")).drop(f"row_{c}")
     apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return pairs.where(apart <= bits).select("a", "b")
+    members = shared.where(F.col("n") > crowd).join(rows.select("row", "fp"), "row")
+    return pairs.where(apart <= bits).select("a", "b").unionByName(crowded_pairs(members, bits, part))
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -175,3 +175,25 @@ def test_similar_groups_by_brute_force(spark):
     kept = simhash.keep_one_similar(docs)
     assert kept.columns == docs.columns and kept.where("doc_id >= 900").count() == 3
     assert simhash.similar_groups(docs.limit(0)).count() == 0
+
+
+def test_crowded_blocks_lose_no_pair(spark):
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 2**64, (600, simhash.WIDE), dtype=np.uint64)
+    bits = simhash.most_bits(0.8)
+    for i in range(0, 120, 3):  # i + 1 is alike i, i + 2 only alike i + 1
+        for j in (i + 1, i + 2):
+            flips = np.zeros(simhash.WIDE * 64, np.uint8)
+            flips[rng.choice(len(flips), bits - 10, replace=False)] = 1
+            fps[j] = fps[j - 1] ^ np.packbits(flips).view(np.uint64)
+    fps[200:400] = fps[200]  # a group of copies
+    fps[400:500, 0] = fps[200, 0] ^ np.arange(100, dtype=np.uint64)
+    fps[400:500, 1:] = fps[200, 1:]
+    want = _components(600, [(i, j) for i in range(600) for j in range(i) if np.bitwise_count(fps[i] ^ fps[j]).sum() <= bits])
+    keys = [[7, i if i % 2 else 9] for i in range(600)]  # all in one block, half of them in a second one
+    rows = spark.createDataFrame([(i, [int(x) for x in f.view(np.int64)], k) for i, (f, k) in enumerate(zip(fps, keys, strict=True))], "row long, fp array<long>, keys array<int>")
+    for part in (70, 4096):
+        got = [(r["a"], r["b"]) for r in simhash.similar_pairs(rows, bits, 16, part).collect()]
+        assert all(np.bitwise_count(fps[a] ^ fps[b]).sum() <= bits for a, b in got)
+        assert _components(600, got) == want
+        assert len(got) < 600 * 40
