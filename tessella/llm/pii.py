@@ -137,20 +137,24 @@ def discover(finds: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
     """Tokens (token, score) that no fixed pattern knows and trusted patterns find.
 
     A pattern's confidence is the mean score of its tokens, shrunk as by one token that is none; it counts from min_seeds
-    distinct seeds. A token's score is the chance that at least one of its patterns is right; seeds keep 1.
+    distinct tokens that are seeds or were found before, and below half of min_confidence it tells nothing. A token's score
+    is the chance that at least one of its patterns is right; seeds keep 1. Tokens found in a round support new patterns
+    in the next one, until no pattern is added or for `rounds` rounds.
     """
     graph = common.materialize(edges(candidates(finds)), "edges")
     seeds = common.materialize(graph.select("token").distinct().where(_seed(F.col("token"))), "seeds").withColumn("score", F.lit(1.0))
-    # A pattern without enough seeds never counts, in any round.
-    support = graph.join(seeds, "token").groupBy("pattern").agg(F.count("*").alias("n_seeds")).where(F.col("n_seeds") >= min_seeds).select("pattern")
-    graph = common.materialize(graph.join(support, "pattern"), "supported")
-    score = seeds
+    score, patterns = seeds, 0
     for _ in range(rounds):
-        trust = graph.join(score, "token", "left").groupBy("pattern").agg((F.coalesce(F.sum("score"), F.lit(0.0)) / (F.count("*") + 1)).alias("trust"))
+        firm = F.count(F.when(F.col("score") >= min_confidence, True))
+        trust = graph.join(score, "token", "left").groupBy("pattern").agg((F.coalesce(F.sum("score"), F.lit(0.0)) / (F.count("*") + 1)).alias("trust"), firm.alias("firm"))
+        trust = common.materialize(trust.where((F.col("firm") >= min_seeds) & (F.col("trust") >= min_confidence / 2)).select("pattern", "trust"), "trust")
         doubt = F.sum(F.log1p(-F.least("trust", F.lit(0.999))))
-        found = graph.join(trust, "pattern").groupBy("token").agg((F.lit(1.0) - F.exp(doubt)).alias("score"), F.max("trust").alias("trust"))
-        found = found.join(seeds.select("token"), "token", "left_anti").where(F.col("trust") >= min_confidence / 2)
+        found = graph.join(trust, "pattern").groupBy("token").agg((F.lit(1.0) - F.exp(doubt)).alias("score"))
+        found = found.join(seeds.select("token"), "token", "left_anti")
         score = common.materialize(seeds.unionByName(found.select("token", "score")), "scores")
+        before, patterns = patterns, trust.count()
+        if patterns <= before:
+            break
     return score.join(seeds.select("token"), "token", "left_anti").where(F.col("score") >= min_confidence)
 
 

@@ -52,3 +52,12 @@ def test_context_finds_unseen_identifiers(spark):
     text = {r["doc_id"]: r["text"] for r in pii.mask(docs).collect()}
     assert text[4] == "please quote member id: [OTHER] thanks" and text[0] == "please quote member id: [EMAIL] thanks" and text[50] == "we met in 1999 again"
     assert pii.mask(docs).columns == docs.columns
+
+
+def test_discovered_identifiers_support_new_patterns(spark):
+    known, unseen = ["joe@x.com", "amy@y.org", "bob@z.net", "10.1.2.3"], ["ZX81-4432", "77-1234-K", "QQ-90817"]
+    texts = [f"please quote member id: {x} thanks" for x in known * 2 + unseen]
+    texts += [f"the badge no: {x} expires soon" for x in [*unseen, "KL-55512"]]  # no seed stands here
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digests(pii.find(docs, min_confidence=0.7)).collect()}
+    assert got[len(texts) - 1] == "other:14:22"
