@@ -30,7 +30,6 @@ ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 3, 0.8
 MIN_DIGITS = 4
 #: Up to so many bytes of ids and discovered tokens are broadcast for masking.
 SENT_BYTES = 4 << 20
-INTRODUCERS = ("is", "no", "nr", "number", "id")
 SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
@@ -117,20 +116,26 @@ def candidates(finds: DataFrame) -> DataFrame:
 
 
 def edges(found: DataFrame) -> DataFrame:
-    """Distinct (pattern, token): the two words before a token, and the word before with the word after.
+    """Distinct (pattern, side, token): one and two words before a token, one and two words after it, and the word before with the word after.
 
-    The word before must introduce something (end in a colon, an equals sign or #, or be one of INTRODUCERS) and each
-    pattern must have a letter on either side of its blank: words that stand before anything tell nothing of what follows.
+    Any words make a pattern: what stands before anything gets a low confidence. side: `one` for words of one side, else `both`.
     """
     words = F.filter(F.split(F.lower("before"), rf"[{_GAP}]+"), lambda w: w != "")
+    follow = F.filter(F.split(F.lower("after"), rf"[{_GAP}]+"), lambda w: w != "")
     one, two = F.try_element_at(words, F.lit(-1)), F.try_element_at(words, F.lit(-2))
-    right = F.regexp_extract(F.lower("after"), rf"^[{_GAP}]*([^{_GAP}]+)", 1)
-    n = F.size(words)
-    introduces = (n >= 1) & (one.rlike("[:=#]$") | F.regexp_replace(one, "[.]$", "").isin(*INTRODUCERS))
-    letter = r"\p{L}"
-    left2 = F.when(introduces & (n >= 2) & (one.rlike(letter) | two.rlike(letter)), F.concat(F.lit("before:"), two, F.lit(" "), one))
-    around = F.when(introduces & one.rlike(letter) & right.rlike(letter), F.concat(F.lit("around:"), one, F.lit(" _ "), right))
-    return found.select("token", F.explode(F.array(left2, around)).alias("pattern")).where("pattern IS NOT NULL").distinct()
+    right, next_ = F.try_element_at(follow, F.lit(1)), F.try_element_at(follow, F.lit(2))
+
+    def pattern(side: str, *parts: Column) -> Column:
+        return F.struct(F.concat(*parts).alias("pattern"), F.lit(side).alias("side"))
+
+    kinds = [
+        pattern("one", F.lit("before:"), one),
+        pattern("one", F.lit("before:"), two, F.lit(" "), one),
+        pattern("one", F.lit("after:"), right),
+        pattern("one", F.lit("after:"), right, F.lit(" "), next_),
+        pattern("both", F.lit("around:"), one, F.lit(" _ "), right),
+    ]
+    return found.select("token", F.explode(F.array(*kinds)).alias("p")).select("p.pattern", "p.side", "token").where("pattern IS NOT NULL").distinct()
 
 
 def discover(finds: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -138,8 +143,9 @@ def discover(finds: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
 
     A pattern's confidence is the mean score of its tokens, shrunk as by one token that is none; it counts from min_seeds
     distinct tokens that are seeds or were found before, and below half of min_confidence it tells nothing. A token's score
-    is the chance that at least one of its patterns is right; seeds keep 1. Tokens found in a round support new patterns
-    in the next one, until no pattern is added or for `rounds` rounds.
+    is the chance that the best of its one-sided patterns or the best of its two-sided ones is right, as patterns of one side
+    lie within each other; seeds keep 1. Tokens found in a round support new patterns in the next one, until no pattern is
+    added or for `rounds` rounds.
     """
     graph = common.materialize(edges(candidates(finds)), "edges")
     seeds = common.materialize(graph.select("token").distinct().where(_seed(F.col("token"))), "seeds").withColumn("score", F.lit(1.0))
@@ -149,7 +155,8 @@ def discover(finds: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
         trust = graph.join(score, "token", "left").groupBy("pattern").agg((F.coalesce(F.sum("score"), F.lit(0.0)) / (F.count("*") + 1)).alias("trust"), firm.alias("firm"))
         trust = common.materialize(trust.where((F.col("firm") >= min_seeds) & (F.col("trust") >= min_confidence / 2)).select("pattern", "trust"), "trust")
         doubt = F.sum(F.log1p(-F.least("trust", F.lit(0.999))))
-        found = graph.join(trust, "pattern").groupBy("token").agg((F.lit(1.0) - F.exp(doubt)).alias("score"))
+        best = graph.join(trust, "pattern").groupBy("token", "side").agg(F.max("trust").alias("trust"))
+        found = best.groupBy("token").agg((F.lit(1.0) - F.exp(doubt)).alias("score"))
         found = found.join(seeds.select("token"), "token", "left_anti")
         score = common.materialize(seeds.unionByName(found.select("token", "score")), "scores")
         before, patterns = patterns, trust.count()

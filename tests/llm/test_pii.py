@@ -61,3 +61,13 @@ def test_discovered_identifiers_support_new_patterns(spark):
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r["spans"] for r in pii.digests(pii.find(docs, min_confidence=0.7)).collect()}
     assert got[len(texts) - 1] == "other:14:22"
+
+
+def test_any_words_make_a_pattern(spark):
+    known = [f"u{i}@x{i}.com" for i in range(8)]
+    texts = [f"please reach me at {x} today" for x in [*known, "ZX81-4432"]] + [f"{w} seen in {1990 + i} by all" for i, w in enumerate(["cat", "dog", "owl", *known])]
+    texts += [f"passeport {x}" for x in [*known, "X1234567"]]  # one word, nothing after it
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = [r["spans"] for r in sorted(pii.digests(pii.find(docs)).collect(), key=lambda r: r["doc_id"])]
+    assert got[8] == "other:19:28" and got[-1] == "other:10:18"
+    assert sum("other" in x for x in got) == 2  # years stand in contexts of their own
