@@ -1,6 +1,6 @@
 """Personal data: fixed patterns with checks, and bootstrapped contextual extraction. Native: DataFrame functions only.
 
-Bootstrapping: tokens that look like identifiers and pass a fixed pattern are seeds. The words around them make lexical
+Bootstrapping: what the fixed patterns find and their checks pass is a seed, blanks or not. The words around them make lexical
 patterns; patterns and tokens form a graph whose two sides score each other for some rounds; tokens that trusted
 patterns find are identifiers too, though no fixed pattern knows them.
 """
@@ -68,15 +68,24 @@ def _bare(token: Column) -> Column:
 def _found(text: Column, kind: str, pattern: str, trigger: str) -> Column:
     """Array of (kind, gap: code points since the match before, m: match or null at the end, before, after: the gaps' near ends)."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    context = kind == "token"
-
     # The next gap is zipped in: named inside the function, the array would be made anew for every element.
-    zipped = F.arrays_zip(gaps.alias("g"), hits.alias("m"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))
-
-    def entry(x: Column) -> Column:
-        near = F.right(x["g"], F.lit(80)) if context else F.lit(None).cast("string")
-        after = F.left(x["next"], F.lit(40)) if context else F.lit(None).cast("string")
-        return F.struct(F.lit(kind).alias("kind"), F.char_length(x["g"]).alias("gap"), x["m"].alias("m"), near.alias("before"), after.alias("after"))
+    zipped = F.arrays_zip(gaps.alias("g"), hits.alias("m"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"), F.slice(hits, F.lit(2), F.size(hits)).alias("then"))
+
+    def near(x: Column, i: Column) -> tuple[Column, Column]:
+        before, after = F.right(x["g"], F.lit(80)), F.left(x["next"], F.lit(40))
+        if kind == "token":
+            return before, after
+        # Matches may lie within words: a word that another match cuts, or that goes on into this one, is no context; marks are none.
+        before = F.when((i > 0) & (F.char_length(x["g"]) <= 80), F.regexp_replace(before, rf"^[^{_GAP}]+", "")).otherwise(before)
+        before = F.regexp_replace(before, rf"(?<![^{_GAP}])[^{_GAP}A-Za-z0-9]++$", "")
+        after = F.when(x["then"].isNotNull() & (F.char_length(x["next"]) <= 40), F.regexp_replace(after, rf"(?<![^{_GAP}])[^{_GAP}]++$", "")).otherwise(after)
+        after = F.regexp_replace(after, rf"^[^{_GAP}A-Za-z0-9]++", "")
+        counts = F.coalesce(valid(kind, x["m"]), F.lit(False))
+        return F.when(counts & before.rlike(rf"[{_GAP}]$"), before), F.when(counts & after.rlike(rf"^[{_GAP}]"), after)
+
+    def entry(x: Column, i: Column) -> Column:
+        before, after = near(x, i)
+        return F.struct(F.lit(kind).alias("kind"), F.char_length(x["g"]).alias("gap"), x["m"].alias("m"), before.alias("before"), after.alias("after"))
 
     none = F.array().cast("array<struct<kind:string,gap:int,m:string,before:string,after:string>>")
     return F.when(text.rlike(trigger), F.transform(zipped, entry)).otherwise(none)
@@ -102,11 +111,6 @@ def _is_valid() -> Column:
     return out
 
 
-def _seed(token: Column) -> Column:
-    whole = [token.rlike(f"^{_LOCAL}++@{_HOST}++(?:\\.{_HOST}++)++$"), token.rlike(r"^[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++$") & valid("ip", token), token.rlike(r"^[0-9](?:-?[0-9])++$") & valid("card", token)]
-    return whole[0] | whole[1] | whole[2]
-
-
 def candidates(finds: DataFrame) -> DataFrame:
     """(row, start, end, token, before, after) of tokens with enough digits, or an at sign, without marks at their ends."""
     t = finds.where("kind = 'token'").withColumn("token", _bare(F.col("m")))
@@ -115,15 +119,30 @@ def candidates(finds: DataFrame) -> DataFrame:
     return t.select("row", (F.col("start") + skip).alias("start"), (F.col("start") + skip + F.char_length("token")).alias("end"), "token", "before", "after")
 
 
+def occurrences(finds: DataFrame) -> DataFrame:
+    """(token, seed, before, after): valid matches of the fixed patterns, which are seeds, and candidates that touch none in their row."""
+    base = finds.where(F.col("kind") != "token").where(_is_valid())
+    both = base.select("row", "start", "end", F.col("m").alias("token"), F.lit(True).alias("seed"), "before", "after")
+    both = both.unionByName(candidates(finds).withColumn("seed", F.lit(False)))
+    # Of what starts before a candidate the furthest end counts, of what starts after it the first start.
+    up = Window.partitionBy("row").orderBy("start")
+    earlier = F.max(F.when(F.col("seed"), F.col("end"))).over(up)
+    later = F.min(F.when(F.col("seed"), F.col("start"))).over(up.rangeBetween(0, Window.unboundedFollowing))
+    both = both.withColumn("earlier", earlier).withColumn("later", later)
+    return both.where(F.col("seed") | ((F.coalesce("earlier", "start") <= F.col("start")) & (F.coalesce("later", "end") >= F.col("end")))).select("token", "seed", "before", "after")
+
+
 def edges(found: DataFrame) -> DataFrame:
-    """Distinct (pattern, side, token): one and two words before a token, one and two words after it, and the word before with the word after.
+    """Distinct (pattern, side, token, seed): one and two words before a token, one and two words after it, and the word before with the word after.
 
     Any words make a pattern: what stands before anything gets a low confidence. side: `one` for words of one side, else `both`.
     """
-    words = F.filter(F.split(F.lower("before"), rf"[{_GAP}]+"), lambda w: w != "")
-    follow = F.filter(F.split(F.lower("after"), rf"[{_GAP}]+"), lambda w: w != "")
-    one, two = F.try_element_at(words, F.lit(-1)), F.try_element_at(words, F.lit(-2))
-    right, next_ = F.try_element_at(follow, F.lit(1)), F.try_element_at(follow, F.lit(2))
+
+    def word(side: str, at: int) -> Column:
+        found = F.try_element_at(F.filter(F.split(F.lower(side), rf"[{_GAP}]+"), lambda w: w != ""), F.lit(at))
+        return F.when(~found.rlike("[0-9@]"), found)  # tokens are no words
+
+    one, two, right, next_ = word("before", -1), word("before", -2), word("after", 1), word("after", 2)
 
     def pattern(side: str, *parts: Column) -> Column:
         return F.struct(F.concat(*parts).alias("pattern"), F.lit(side).alias("side"))
@@ -135,7 +154,7 @@ def edges(found: DataFrame) -> DataFrame:
         pattern("one", F.lit("after:"), right, F.lit(" "), next_),
         pattern("both", F.lit("around:"), one, F.lit(" _ "), right),
     ]
-    return found.select("token", F.explode(F.array(*kinds)).alias("p")).select("p.pattern", "p.side", "token").where("pattern IS NOT NULL").distinct()
+    return found.select("token", "seed", F.explode(F.array(*kinds)).alias("p")).select("p.pattern", "p.side", "token", "seed").where("pattern IS NOT NULL").distinct()
 
 
 def discover(finds: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -147,8 +166,9 @@ def discover(finds: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
     lie within each other; seeds keep 1. Tokens found in a round support new patterns in the next one, until no pattern is
     added or for `rounds` rounds.
     """
-    graph = common.materialize(edges(candidates(finds)), "edges")
-    seeds = common.materialize(graph.select("token").distinct().where(_seed(F.col("token"))), "seeds").withColumn("score", F.lit(1.0))
+    graph = common.materialize(edges(occurrences(finds)), "edges")
+    seeds = common.materialize(graph.where("seed").select("token").distinct(), "seeds").withColumn("score", F.lit(1.0))
+    graph = graph.select("pattern", "side", "token").distinct()
     score, patterns = seeds, 0
     for _ in range(rounds):
         firm = F.count(F.when(F.col("score") >= min_confidence, True))

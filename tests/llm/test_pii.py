@@ -71,3 +71,13 @@ def test_any_words_make_a_pattern(spark):
     got = [r["spans"] for r in sorted(pii.digests(pii.find(docs)).collect(), key=lambda r: r["doc_id"])]
     assert got[8] == "other:19:28" and got[-1] == "other:10:18"
     assert sum("other" in x for x in got) == 2  # years stand in contexts of their own
+
+
+def test_phones_and_spaced_cards_seed_contexts(spark):
+    phones = [f"+1 (614) 555-80{i}" for i in range(10, 18)]
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881", "6011 0000 0000 0004", "3530 1113 3330 0000", "5555 5555 5555 4444"]
+    texts = [f"Office phone: {x}, call now" for x in [*phones, "020-7946-0123"]] + [f"charged to card ({x}) yesterday" for x in [*cards, "4111-22-9"]]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = [r["spans"] for r in sorted(pii.digests(pii.find(docs)).collect(), key=lambda r: r["doc_id"])]
+    assert got[8] == "other:14:27" and got[-1] == "other:17:26"
+    assert all("other" not in x for x in [*got[:8], *got[9:-1]])
