@@ -223,15 +223,15 @@ def digests(found: DataFrame) -> DataFrame:
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every span of its texts replaced by its kind in brackets, all other columns as they were.
 
-    Valid matches are replaced within the row, kind after kind; discovered tokens by a join with the rows that have any.
-    Null texts stay null.
+    Valid matches of all kinds are found in the text as it was and replaced within the row; of those that overlap the whole
+    stretch gives way to the kind of the longest. Discovered tokens are replaced by a join with the rows that have any. Null
+    texts stay null.
     """
     rows, finds = scan(docs, id_col, text_col)
     known = common.materialize(discover(finds).select("token"), "discovered")
     text = F.col(text_col)
-    out = docs
-    for k in KINDS:
-        out = out.withColumn(text_col, F.when(text.rlike(_TRIGGER[k]), _swapped(text, PATTERNS[k], lambda m, k=k: F.when(valid(k, m), F.lit(f"[{k.upper()}]")).otherwise(m))).otherwise(text))
+    trigger = "|".join(_TRIGGER.values())
+    out = docs.withColumn(text_col, F.when(text.rlike(trigger), _replaced(text)).otherwise(text))
     if known.isEmpty():
         return out
     key, gone = common.fresh(docs, "tess_id"), common.fresh(docs, "tess_tokens")
@@ -244,6 +244,51 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return out.withColumn(text_col, F.when(F.col(gone).isNotNull(), swapped).otherwise(text)).select(*docs.columns)
 
 
+def _valid_spans(text: Column, kind: str) -> Column:
+    """Array of (start, end, most: length of the longest match, rank of its kind) of the kind's valid matches in order."""
+    pattern, spans = PATTERNS[kind], "array<struct<start:int,end:int,most:int,rank:int>>"
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    # Only valid matches are appended, so that the array isn't made anew for every number of a text.
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        n = F.coalesce(F.char_length(x["m"]), F.lit(0))
+        start = acc["at"] + F.char_length(x["g"])
+        span = F.struct(start.alias("start"), (start + n).alias("end"), n.alias("most"), F.lit(KINDS.index(kind)).alias("rank"))
+        out = F.when(x["m"].isNotNull() & valid(kind, x["m"]), F.concat(acc["out"], F.array(span).cast(spans))).otherwise(acc["out"])
+        return F.struct((start + n).alias("at"), out.alias("out"))
+
+    found = F.aggregate(pieces, none, add, lambda acc: acc["out"])
+    return F.when(text.rlike(_TRIGGER[kind]), found).otherwise(F.array().cast(spans))
+
+
+def _replaced(text: Column) -> Column:
+    """The text with all kinds' valid matches replaced in one pass."""
+    spans = F.array_sort(F.concat(*[_valid_spans(text, k) for k in KINDS]))
+    kind = "struct<start:int,end:int,most:int,rank:int>"
+    # done: stretches that are closed, each after the text before it; cur: the one that the next span may overlap.
+    none = F.struct(F.lit(0).alias("upto"), F.lit("").alias("done"), F.lit(None).cast(kind).alias("cur"))
+
+    def closed(acc: Column) -> Column:
+        cur = acc["cur"]
+        label = F.concat(F.lit("["), F.upper(F.element_at(F.array(*[F.lit(k) for k in KINDS]), cur["rank"] + 1)), F.lit("]"))
+        return F.when(cur.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.substring(text, acc["upto"] + 1, cur["start"] - acc["upto"]), label))
+
+    def add(acc: Column, s: Column) -> Column:
+        cur = acc["cur"]
+        over = F.coalesce(s["start"] < cur["end"], F.lit(False))
+        longer = s["most"] > cur["most"]
+        grown = F.struct(cur["start"].alias("start"), F.greatest(cur["end"], s["end"]).alias("end"), F.greatest(cur["most"], s["most"]).alias("most"), F.when(longer, s["rank"]).otherwise(cur["rank"]).alias("rank"))
+        upto = F.when(over | cur.isNull(), acc["upto"]).otherwise(cur["end"])
+        return F.struct(upto.alias("upto"), F.when(over, acc["done"]).otherwise(closed(acc)).alias("done"), F.when(over, grown.cast(kind)).otherwise(s.cast(kind)).alias("cur"))
+
+    def finish(acc: Column) -> Column:
+        end = F.coalesce(acc["cur"]["end"], F.lit(0))
+        return F.concat(closed(acc), F.substring(text, end + 1, F.char_length(text)))
+
+    return F.aggregate(spans, none, add, finish)
+
+
 def _swapped(text: Column, pattern: str, new) -> Column:
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
     return F.array_join(F.transform(pieces, lambda x: F.concat(x["g"], F.when(x["m"].isNull(), F.lit("")).otherwise(new(x["m"])))), "")

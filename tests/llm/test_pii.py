@@ -81,3 +81,32 @@ def test_phones_and_spaced_cards_seed_contexts(spark):
     got = [r["spans"] for r in sorted(pii.digests(pii.find(docs)).collect(), key=lambda r: r["doc_id"])]
     assert got[8] == "other:14:27" and got[-1] == "other:17:26"
     assert all("other" not in x for x in [*got[:8], *got[9:-1]])
+
+
+def test_mask_replaces_the_spans_of_the_text_as_it_was(spark):
+    rng = random.Random(6)
+    pool = list("ab@.+- ()é🙂0123456789") + ["4111111111111111", "a@b.c", "+1 (614) 555-8001", "1.2.3.4", "+33.1.42.68.53.00"]
+    texts = ["Fax +33.1.42.68.53.00 now", "x1.2.3.4@b.c", "", None, "none"] + ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+
+    def want(t):
+        spans = sorted((int(s), int(e), k) for k, s, e in (x.split(":") for x in _brute(t).split(",") if x))
+        out, at, i = "", 0, 0
+        while i < len(spans):
+            group, end = [spans[i]], spans[i][1]
+            while (i := i + 1) < len(spans) and spans[i][0] < end:
+                group.append(spans[i])
+                end = max(end, spans[i][1])
+            longest = max(e - s for s, e, _ in group)
+            names = {k.upper() for s, e, k in group if e - s == longest}
+            out += t[at : group[0][0]] + f"[{'|'.join(sorted(names))}]"
+            at = end
+        return out + t[at:]
+
+    rows = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in rows.select("doc_id", pii._replaced(rows["text"]).alias("text")).collect()}
+    assert got[0] == "Fax [PHONE] now" and got[3] is None
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(rows.limit(5)).collect()}
+    assert masked[0] == "Fax [PHONE] now" and masked[3] is None and masked[4] == "none"
+    for i, t in enumerate(texts):
+        if t is not None and "|" not in (w := want(t)):
+            assert got[i] == w, repr(t)
