@@ -9,7 +9,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
@@ -18,6 +17,7 @@ from itertools import pairwise
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from . import common
 
@@ -98,8 +98,8 @@ class Memo(dict):
 class WordBpe:
     """encode() and decode() of one vocabulary file."""
 
-    #: These have \s in str.split() only.
-    _ODD = re.compile("[\x1c-\x1f]")
+    #: Blanks for str.split() that are none for the library; characters beyond those that all versions of Unicode agree on.
+    _odd, _new = re.compile("[\x1c-\x1f]"), re.compile("[^\x00-\u017f]")
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -108,8 +108,6 @@ class WordBpe:
         vocab = model["vocab"]
         suffix = model.get("end_of_word_suffix") or ""
         letters = byte_alphabet()
-        self._inner = [vocab[c] for c in letters]
-        self._last = [vocab[c + suffix] for c in letters]
         self._table = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
@@ -122,31 +120,39 @@ class WordBpe:
             self.strings[i] = s
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self._words = regex.compile(split["pattern"]["Regex"])
-        self._spaced = regex.compile(r"\S+")
+        self._spaced = regex.compile(r"[^ \t\n\v\f\r]+")
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        # Which characters are letters, what composes and what is lower case differs between versions of Unicode:
+        # beyond U+017F, up to where all have agreed ever since, the library's own normaliser and splitter say it.
+        library = Tokenizer.from_file(path)
+        self._normalise, self._cut, self._model = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str, library.model
+        self._letters, self._bytes = dict(enumerate(letters)), {c: b for b, c in enumerate(letters)}
+        self._inner = [vocab[c] for c in letters]
+        self._last = [vocab[c + suffix] for c in letters]
         self._memo = Memo(self._chunk)
 
-    def _word(self, word: str) -> bytes:
-        raw = word.encode("utf-8")
+    def _word(self, raw: bytes) -> bytes:
         symbols = [self._inner[b] for b in raw]
         symbols[-1] = self._last[raw[-1]]
         return array("I", merge(symbols, self._table) if len(symbols) > 1 else symbols).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        """The ids of text without white space. Letters alone are one word; most other chunks end in one mark."""
+        """The ids of text without ASCII's blanks. Letters alone are one word; most other chunks end in one mark."""
+        if self._new.search(chunk):
+            cut = self._cut(self._normalise(chunk))
+            return b"".join([self._word(bytes([self._bytes[c] for c in w])) for w, _ in cut])
+        chunk = chunk.lower()
         if chunk.isalpha():
-            return self._word(chunk)
+            return self._word(chunk.encode("utf-8"))
         if chunk[:-1].isalpha() and not chunk[-1].isalnum():
             return self._memo[chunk[:-1]] + self._memo[chunk[-1]]
         words = self._words.findall(chunk)
-        return b"".join([self._memo[w] for w in words]) if len(words) != 1 else self._word(words[0])
+        return b"".join([self._memo[w] for w in words]) if len(words) != 1 else self._word(words[0].encode("utf-8"))
 
     def _plain(self, text: str) -> bytes:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        # The library lowers letter by letter, so a sigma that ends a word is like any other.
-        lowered = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
-        chunks = self._spaced.findall(lowered) if self._ODD.search(lowered) else lowered.split()
+        if not self._new.search(text):
+            text = text.lower()
+        chunks = self._spaced.findall(text) if self._odd.search(text) else text.split()
         return b"".join(map(self._memo.__getitem__, chunks))
 
     def encode(self, text: str) -> bytes:
@@ -169,16 +175,8 @@ class WordBpe:
 class LibraryWordBpe(WordBpe):
     """The same, with the library's own merges of a word: for operators that take ids as given."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__(path)
-        self._model = Tokenizer.from_file(path).model
-        self._letters = dict(enumerate(byte_alphabet()))
-
-    def _word(self, word: str) -> bytes:
-        spelt = word.encode("utf-8").decode("latin-1").translate(self._letters)
-        return array("I", [t.id for t in self._model.tokenize(spelt)]).tobytes()
+    def _word(self, raw: bytes) -> bytes:
+        return array("I", [t.id for t in self._model.tokenize(raw.decode("latin-1").translate(self._letters))]).tobytes()
 
 
 _loaded: dict[tuple[str, type], WordBpe] = {}
