@@ -1,5 +1,6 @@
 """Encoding and counting against the public libraries; packing against its own laws."""
 
+import bisect
 import hashlib
 import random
 import zlib
@@ -77,43 +78,56 @@ def test_token_counts_over_rows(spark):
     assert token_counts.token_counts(docs.limit(0)).count() == 0
 
 
-def _lay_out(counts, capacity):
-    fill, seen = {}, {}
-    for length, lo, hi, first, at in packing.plan(counts, capacity):
-        for k in range(lo, hi):
-            assert (length, k) not in seen
-            seen[length, k] = True
-            fill.setdefault(first + k - lo, []).append((at, length))
-    assert len(seen) == sum(counts.values())
-    for parts in fill.values():
-        end = 0
-        for at, length in sorted(parts):
-            assert at == end
-            end += length
-        assert end <= capacity
-    return len(fill)
+def _best_fit_decreasing(sizes, capacity):
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        i = bisect.bisect_left(gaps, s)
+        bisect.insort(gaps, (gaps.pop(i) if i < len(gaps) else capacity) - s)
+    return len(gaps)
 
 
-def test_plan_lays_everything_out_without_gaps():
+@pytest.mark.parametrize("one_task", [30_000, 0])
+def test_places_fill_as_few_sequences_as_one_by_one(spark, monkeypatch, one_task):
+    monkeypatch.setattr(packing, "ONE_TASK", one_task)  # 0: every round is swept by many tasks
     rng = np.random.default_rng(0)
-    for capacity in (7, 64, 2048):
-        for _ in range(10):
-            sizes = rng.integers(1, capacity + 1, 400) if rng.random() < 0.5 else np.clip(rng.lognormal(np.log(capacity / 6), 1, 400).astype(int), 1, capacity)
-            counts = {int(k): int(n) for k, n in zip(*np.unique(sizes, return_counts=True), strict=True)}
-            n = _lay_out(counts, capacity)
-            # best-fit decreasing, one piece at a time
-            bins = []
-            for s in sorted(sizes.tolist(), reverse=True):
-                fit = [i for i, b in enumerate(bins) if b >= s]
-                if fit:
-                    i = min(fit, key=lambda j: bins[j])
-                    bins[i] -= s
-                else:
-                    bins.append(capacity - s)
-            assert n <= len(bins) * 1.03 + 1
-    assert packing.plan({}, 8) == []
-    with pytest.raises(ValueError):
-        packing.plan({9: 1}, 8)
+    for capacity, sizes in ((7, rng.integers(1, 8, 300)), (2048, np.clip(rng.lognormal(np.log(340), 1, 900).astype(int), 1, 2048)), (64, np.r_[np.full(200, 20), rng.integers(1, 65, 200)])):
+        rows = spark.createDataFrame([(i, int(x)) for i, x in enumerate(sizes)], "row long, size long").repartition(4)
+        got = packing.place(rows, capacity).collect()
+        assert sorted((r["row"], r["size"]) for r in got) == [(i, int(x)) for i, x in enumerate(sizes)]
+        fill = {}
+        for r in got:
+            fill[r["seq"]] = fill.get(r["seq"], 0) + r["size"]
+        assert max(fill.values()) <= capacity
+        assert len(fill) <= _best_fit_decreasing(sizes.tolist(), capacity) * 1.03 + 1
+    assert packing.place(rows.limit(0), 8).count() == 0
+
+
+def test_matches_are_successors(spark):
+    rng = np.random.default_rng(1)
+    for n in (1, 40, 400):
+        gaps, sizes = rng.integers(1, 30, n).tolist(), rng.integers(1, 30, 2 * n).tolist()
+        slots = spark.createDataFrame([*enumerate(gaps)], "seq long, size long")
+        pieces = spark.createDataFrame([*enumerate(sizes)], "row long, size long")
+        free, want, waiting = [], [], sorted(gaps)
+        for s in sorted(sizes, reverse=True):
+            while waiting and waiting[-1] >= s:
+                bisect.insort(free, waiting.pop())
+            i = bisect.bisect_left(free, s)
+            want.append((s, i < len(free)))
+            if i < len(free):
+                bisect.insort(free, free.pop(i) - s)
+        for one in (False, True):
+            got = packing.match(slots, pieces, one).collect()
+            assert sorted((r["row"], r["size"]) for r in got) == [*enumerate(sizes)]
+            put = {}
+            for r in got:
+                put.setdefault(r["seq"], []).append(r["size"])
+            left = put.pop(None, [])
+            assert all(sum(v) <= gaps[k] for k, v in put.items())
+            untouched = [g for k, g in enumerate(gaps) if k not in put]
+            assert not left or max(untouched, default=0) < min(left)
+            if one:
+                assert sorted((r["size"], r["seq"] is not None) for r in got) == sorted(want)
 
 
 def test_pack_over_rows(spark):
