@@ -1,8 +1,9 @@
 """Personal data: fixed patterns with checks, and bootstrapped contextual extraction. Native: DataFrame functions only.
 
-Bootstrapping: what the fixed patterns find and their checks pass is a seed, blanks or not. The words around them make lexical
-patterns; patterns and tokens form a graph whose two sides score each other for some rounds; tokens that trusted
-patterns find are identifiers too, though no fixed pattern knows them.
+Bootstrapping: what the fixed patterns find and their checks pass is a seed, blanks or not; a long token that mixes letters
+and digits, as keys and secrets do, is half a seed. The words around them make lexical patterns; patterns and tokens form
+a graph whose two sides score each other for some rounds; tokens that trusted patterns find are identifiers too, though
+no fixed pattern knows them.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ _TRIGGER = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]",
 #: Tokens with a digit or an at sign.
 TOKEN = rf"(?<![^{_GAP}])[^{_GAP}0-9@]*+[0-9@][^{_GAP}]*+"
 _PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
-ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 3, 0.8
+ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 6, 3, 0.8
+#: Score of a token that looks like a key before any pattern has found it: too low to count by itself.
+HALF_SEED = 0.5
 MIN_DIGITS = 4
 #: Up to so many bytes of ids and discovered tokens are broadcast for masking.
 SENT_BYTES = 4 << 20
@@ -65,20 +68,42 @@ def _bare(token: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(token, "^[^A-Za-z0-9]+", ""), "[^A-Za-z0-9]+$", "")
 
 
+def _head(text: Column) -> Column:
+    """Up to three words at the start, with the blanks around them. Possessive, so that long words cost no second look."""
+    return F.regexp_extract(text, rf"^[{_GAP}]*+(?:[^{_GAP}]++[{_GAP}]*+){{0,3}}", 0)
+
+
+def _tail(text: Column) -> Column:
+    return F.reverse(_head(F.reverse(text)))
+
+
 def _found(text: Column, kind: str, pattern: str, trigger: str) -> Column:
-    """Array of (kind, gap: code points since the match before, m: match or null at the end, before, after: the gaps' near ends)."""
+    """Array of (kind, gap: code points since the match before, m: match or null at the end, before, after: the words next to it)."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # The next gap is zipped in: named inside the function, the array would be made anew for every element.
-    zipped = F.arrays_zip(gaps.alias("g"), hits.alias("m"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"), F.slice(hits, F.lit(2), F.size(hits)).alias("then"))
+    none = F.array().cast("array<struct<kind:string,gap:int,m:string,before:string,after:string>>")
+
+    def later(x: Column, by: int) -> Column:
+        return F.slice(x, F.lit(1 + by), F.size(x))
+
+    def earlier(x: Column, by: int) -> Column:
+        return F.concat(F.array_repeat(F.lit(None).cast("string"), by), x)
+
+    # Neighbours are zipped in: named inside the function, the arrays would be made anew for every element.
+    parts = [gaps.alias("g"), hits.alias("m"), later(gaps, 1).alias("next"), later(hits, 1).alias("then")]
+    if kind == "token":  # tokens are context too, so a window may reach beyond them
+        parts += [earlier(hits, 1).alias("m1"), earlier(gaps, 1).alias("g1"), earlier(hits, 2).alias("m2"), later(gaps, 2).alias("next2"), later(hits, 2).alias("then2")]
 
     def near(x: Column, i: Column) -> tuple[Column, Column]:
-        before, after = F.right(x["g"], F.lit(80)), F.left(x["next"], F.lit(40))
+        before, after = _tail(x["g"]), _head(x["next"])
+        whole = F.char_length(before) == F.char_length(x["g"]), F.char_length(after) == F.char_length(x["next"])
         if kind == "token":
+            before = F.when(whole[0] & x["m1"].isNotNull(), F.concat_ws("", x["m2"], _tail(x["g1"]), x["m1"], before)).otherwise(before)
+            after = F.when(whole[1] & x["then"].isNotNull(), F.concat_ws("", after, x["then"], _head(x["next2"]), x["then2"])).otherwise(after)
             return before, after
         # Matches may lie within words: a word that another match cuts, or that goes on into this one, is no context; marks are none.
-        before = F.when((i > 0) & (F.char_length(x["g"]) <= 80), F.regexp_replace(before, rf"^[^{_GAP}]+", "")).otherwise(before)
+        before = F.when((i > 0) & whole[0], F.regexp_replace(before, rf"^[^{_GAP}]+", "")).otherwise(before)
         before = F.regexp_replace(before, rf"(?<![^{_GAP}])[^{_GAP}A-Za-z0-9]++$", "")
-        after = F.when(x["then"].isNotNull() & (F.char_length(x["next"]) <= 40), F.regexp_replace(after, rf"(?<![^{_GAP}])[^{_GAP}]++$", "")).otherwise(after)
+        after = F.when(x["then"].isNotNull() & whole[1], F.regexp_replace(after, rf"(?<![^{_GAP}])[^{_GAP}]++$", "")).otherwise(after)
         after = F.regexp_replace(after, rf"^[^{_GAP}A-Za-z0-9]++", "")
         counts = F.coalesce(valid(kind, x["m"]), F.lit(False))
         return F.when(counts & before.rlike(rf"[{_GAP}]$"), before), F.when(counts & after.rlike(rf"^[{_GAP}]"), after)
@@ -87,7 +112,8 @@ def _found(text: Column, kind: str, pattern: str, trigger: str) -> Column:
         before, after = near(x, i)
         return F.struct(F.lit(kind).alias("kind"), F.char_length(x["g"]).alias("gap"), x["m"].alias("m"), before.alias("before"), after.alias("after"))
 
-    none = F.array().cast("array<struct<kind:string,gap:int,m:string,before:string,after:string>>")
+    # Shifted arrays are longer or shorter than gaps: only what has a gap is an entry.
+    zipped = F.slice(F.arrays_zip(*parts), F.lit(1), F.size(gaps))
     return F.when(text.rlike(trigger), F.transform(zipped, entry)).otherwise(none)
 
 
@@ -120,7 +146,7 @@ def candidates(finds: DataFrame) -> DataFrame:
 
 
 def occurrences(finds: DataFrame) -> DataFrame:
-    """(token, seed, before, after): valid matches of the fixed patterns, which are seeds, and candidates that touch none in their row."""
+    """(row, start, end, token, seed, before, after): valid matches of the fixed patterns, which are seeds, and candidates that touch none in their row."""
     base = finds.where(F.col("kind") != "token").where(_is_valid())
     both = base.select("row", "start", "end", F.col("m").alias("token"), F.lit(True).alias("seed"), "before", "after")
     both = both.unionByName(candidates(finds).withColumn("seed", F.lit(False)))
@@ -129,18 +155,27 @@ def occurrences(finds: DataFrame) -> DataFrame:
     earlier = F.max(F.when(F.col("seed"), F.col("end"))).over(up)
     later = F.min(F.when(F.col("seed"), F.col("start"))).over(up.rangeBetween(0, Window.unboundedFollowing))
     both = both.withColumn("earlier", earlier).withColumn("later", later)
-    return both.where(F.col("seed") | ((F.coalesce("earlier", "start") <= F.col("start")) & (F.coalesce("later", "end") >= F.col("end")))).select("token", "seed", "before", "after")
+    alone = (F.coalesce("earlier", "start") <= F.col("start")) & (F.coalesce("later", "end") >= F.col("end"))
+    return both.where(F.col("seed") | alone).drop("earlier", "later")
+
+
+def _like_a_key(token: Column) -> Column:
+    """20 letters, digits, low lines and hyphens or more, six of them digits and six letters, ten different ones."""
+    letters, digits = F.length(F.regexp_replace(token, "[^A-Za-z]", "")), F.length(_digits(token))
+    return token.rlike("^[A-Za-z0-9_-]{20,}$") & (letters >= 6) & (digits >= 6) & (F.size(F.array_distinct(F.split(token, ""))) >= 10)
 
 
 def edges(found: DataFrame) -> DataFrame:
-    """Distinct (pattern, side, token, seed): one and two words before a token, one and two words after it, and the word before with the word after.
+    """Distinct (pattern, side, token, prior): one and two words before a token, one and two words after it, and the word before with the word after.
 
-    Any words make a pattern: what stands before anything gets a low confidence. side: `one` for words of one side, else `both`.
+    Any words make a pattern: what stands before anything gets a low confidence; figures in words are all one, mere numbers
+    and words with an at sign are none. side: `one` for words of one side, else `both`. prior: 1 of a seed, HALF_SEED, or 0.
     """
 
     def word(side: str, at: int) -> Column:
         found = F.try_element_at(F.filter(F.split(F.lower(side), rf"[{_GAP}]+"), lambda w: w != ""), F.lit(at))
-        return F.when(~found.rlike("[0-9@]"), found)  # tokens are no words
+        mere = found.contains("@") | (found.rlike("[0-9]") & ~found.rlike(r"\p{L}"))
+        return F.when(~mere, F.regexp_replace(found, "[0-9]+", "0"))
 
     one, two, right, next_ = word("before", -1), word("before", -2), word("after", 1), word("after", 2)
 
@@ -154,35 +189,43 @@ def edges(found: DataFrame) -> DataFrame:
         pattern("one", F.lit("after:"), right, F.lit(" "), next_),
         pattern("both", F.lit("around:"), one, F.lit(" _ "), right),
     ]
-    return found.select("token", "seed", F.explode(F.array(*kinds)).alias("p")).select("p.pattern", "p.side", "token", "seed").where("pattern IS NOT NULL").distinct()
+    prior = F.when(F.col("seed"), F.lit(1.0)).when(_like_a_key(F.col("token")), F.lit(HALF_SEED)).otherwise(F.lit(0.0))
+    return found.select("token", prior.alias("prior"), F.explode(F.array(*kinds)).alias("p")).select("p.pattern", "p.side", "token", "prior").where("pattern IS NOT NULL").distinct()
 
 
-def discover(finds: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Tokens (token, score) that no fixed pattern knows and trusted patterns find.
+def discover(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Tokens (token, score) of occurrences() that no fixed pattern knows and trusted patterns find.
 
-    A pattern's confidence is the mean score of its tokens, shrunk as by one token that is none; it counts from min_seeds
-    distinct tokens that are seeds or were found before, and below half of min_confidence it tells nothing. A token's score
-    is the chance that the best of its one-sided patterns or the best of its two-sided ones is right, as patterns of one side
-    lie within each other; seeds keep 1. Tokens found in a round support new patterns in the next one, until no pattern is
-    added or for `rounds` rounds.
+    A pattern counts from min_seeds distinct tokens that are seeds, half or whole, or were found before. What stands in it
+    and is no seed speaks against it by the share of the token's own patterns that don't count: a number that stands anywhere
+    does, a token seen in such contexts only is an open question. Confidence is the score in favour over that for and against
+    and one more; below half of min_confidence it tells nothing. A token's score is the chance that its prior, the best of its
+    one-sided patterns or the best of its two-sided ones is right, as patterns of one side lie within each other; seeds keep 1.
+    Tokens found in a round support new patterns in the next one, until scores settle or for `rounds` rounds.
     """
-    graph = common.materialize(edges(occurrences(finds)), "edges")
-    seeds = common.materialize(graph.where("seed").select("token").distinct(), "seeds").withColumn("score", F.lit(1.0))
+    graph = common.materialize(edges(found), "edges")
+    priors = graph.where("prior > 0").groupBy("token").agg(F.max("prior").alias("prior"))
+    priors = common.materialize(priors.withColumn("score", F.col("prior")), "priors")
     graph = graph.select("pattern", "side", "token").distinct()
-    score, patterns = seeds, 0
+    score, total = priors, 0.0
     for _ in range(rounds):
-        firm = F.count(F.when(F.col("score") >= min_confidence, True))
-        trust = graph.join(score, "token", "left").groupBy("pattern").agg((F.coalesce(F.sum("score"), F.lit(0.0)) / (F.count("*") + 1)).alias("trust"), firm.alias("firm"))
-        trust = common.materialize(trust.where((F.col("firm") >= min_seeds) & (F.col("trust") >= min_confidence / 2)).select("pattern", "trust"), "trust")
-        doubt = F.sum(F.log1p(-F.least("trust", F.lit(0.999))))
+        scored = graph.join(score, "token", "left").select("pattern", "token", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("prior", F.lit(0.0)).alias("prior"))
+        firm = F.count(F.when((F.col("score") >= min_confidence) | (F.col("prior") > 0), True))
+        counting = common.materialize(scored.groupBy("pattern").agg(firm.alias("firm")).where(F.col("firm") >= min_seeds).select("pattern"), "counting").withColumn("counts", F.lit(1.0))
+        stray = graph.join(counting, "pattern", "left").groupBy("token").agg((F.lit(1.0) - F.avg(F.coalesce("counts", F.lit(0.0)))).alias("stray"))
+        for_, against = F.sum("score"), F.sum((F.lit(1.0) - F.col("score")) * F.col("stray"))
+        trust = scored.join(counting, "pattern", "left_semi").join(stray, "token").groupBy("pattern").agg((for_ / (for_ + against + 1)).alias("trust"))
+        trust = trust.where(F.col("trust") >= min_confidence / 2)
         best = graph.join(trust, "pattern").groupBy("token", "side").agg(F.max("trust").alias("trust"))
-        found = best.groupBy("token").agg((F.lit(1.0) - F.exp(doubt)).alias("score"))
-        found = found.join(seeds.select("token"), "token", "left_anti")
-        score = common.materialize(seeds.unionByName(found.select("token", "score")), "scores")
-        before, patterns = patterns, trust.count()
-        if patterns <= before:
+        doubt = best.groupBy("token").agg(F.sum(F.log1p(-F.least("trust", F.lit(0.999)))).alias("doubt"))
+        both = priors.select("token", "prior").join(doubt, "token", "full")
+        prior = F.coalesce("prior", F.lit(0.0))
+        told = F.when(prior < 1, F.lit(1.0) - (F.lit(1.0) - prior) * F.exp(F.coalesce("doubt", F.lit(0.0)))).otherwise(F.lit(1.0))
+        score = common.materialize(both.select("token", prior.alias("prior"), told.alias("score")), "scores")
+        before, total = total, score.agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
+        if abs(total - before) <= 0.001 * total:
             break
-    return score.join(seeds.select("token"), "token", "left_anti").where(F.col("score") >= min_confidence)
+    return score.where((F.col("prior") < 1) & (F.col("score") >= min_confidence)).select("token", "score")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -196,14 +239,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     for i, k in enumerate(KINDS):
         rank = F.when(F.col("kind") == k, F.lit(i)).otherwise(rank)
     fixed = finds.where(F.col("kind") != "token").where(_is_valid()).select("row", F.struct("start", rank.alias("rank"), "end", "kind").alias("span"))
-    other = candidates(finds).join(discover(finds, rounds, min_seeds, min_confidence).select("token"), "token")
+    found = occurrences(finds)
+    other = found.where(~F.col("seed")).join(discover(found, rounds, min_seeds, min_confidence).select("token"), "token")
     other = other.select("row", F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit("other").alias("kind")).alias("span"))
     spans = fixed.unionByName(other).groupBy(F.col("row").alias("of")).agg(F.array_sort(F.collect_list("span")).alias("spans"))
     out = rows.join(spans, rows["row"] == spans["of"], "left")
-    base = F.filter("spans", lambda s: s["rank"] < len(KINDS))
-    more = F.filter("spans", lambda s: (s["rank"] == len(KINDS)) & ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    out = out.withColumn("spans", F.coalesce(F.col("spans").cast(SPANS), F.array().cast(SPANS))).withColumn("base", base)
-    return out.select("doc_id", "base", more.alias("more"))
+    out = out.withColumn("spans", F.coalesce(F.col("spans").cast(SPANS), F.array().cast(SPANS)))
+    return out.select("doc_id", F.filter("spans", lambda s: s["rank"] < len(KINDS)).alias("base"), F.filter("spans", lambda s: s["rank"] == len(KINDS)).alias("more"))
 
 
 def _written(spans: Column) -> Column:
@@ -224,18 +266,19 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """docs with every span of its texts replaced by its kind in brackets, all other columns as they were.
 
     Valid matches of all kinds are found in the text as it was and replaced within the row; of those that overlap the whole
-    stretch gives way to the kind of the longest. Discovered tokens are replaced by a join with the rows that have any. Null
-    texts stay null.
+    stretch gives way to the kind of the longest. Discovered tokens are replaced by a join with the rows that have any, by
+    doc_id: rows that share one share its tokens. Null texts stay null; an empty table stays empty.
     """
     rows, finds = scan(docs, id_col, text_col)
-    known = common.materialize(discover(finds).select("token"), "discovered")
+    found = occurrences(finds)
+    known = common.materialize(discover(found).select("token"), "discovered")
     text = F.col(text_col)
     trigger = "|".join(_TRIGGER.values())
     out = docs.withColumn(text_col, F.when(text.rlike(trigger), _replaced(text)).otherwise(text))
     if known.isEmpty():
         return out
     key, gone = common.fresh(docs, "tess_id"), common.fresh(docs, "tess_tokens")
-    has = candidates(finds).join(known, "token").join(rows, "row").groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("token").alias(gone))
+    has = found.where(~F.col("seed")).join(known, "token").join(rows, "row").groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("token").alias(gone))
     has = common.materialize(has, "tokens")
     # Where ids and tokens are few they are sent to the texts; texts move only where they are not.
     size = has.agg(F.coalesce(F.sum(F.length(F.array_join(gone, " ")) + 64), F.lit(0))).first()[0]
