@@ -1,4 +1,4 @@
-"""Removal of lines that spread over many sites: HyperLogLog by line, exact counts near the threshold. Native."""
+"""Removal of lines that spread over many sites: HyperLogLog by line hash, exact counts near the threshold. Native."""
 
 from __future__ import annotations
 
@@ -8,29 +8,37 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_SITES, LG_K = 8, 10
+#: Up to so many boilerplate lines and characters of them are sent to the texts; with more, lines are joined with them.
+SENT_LINES, SENT_CHARS = 2000, 1 << 20
 
 
 def _lines(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
-    """keep and a row for each line that isn't blank; line: its hash without blanks at its ends."""
+    """keep and a row for each line that isn't blank; l: the line without blanks at its ends, line: its hash."""
     kept = docs.select(*keep, F.explode(F.split(common.text_of(text_col), "\n")).alias("l"))
-    return kept.withColumn("l", F.trim("l")).where("l <> ''").withColumn("line", F.xxhash64("l")).drop("l")
+    return kept.withColumn("l", F.trim("l")).where("l <> ''").withColumn("line", F.xxhash64("l"))
+
+
+def _spread(pairs: DataFrame, key: str, least: float, lg_k: int) -> DataFrame:
+    return pairs.groupBy(key).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites")).where(F.col("sites") >= least)
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source", lg_k: int = LG_K) -> DataFrame:
-    """(line, sites): hashes of lines on min_sites distinct sites or more; sites is exact near the threshold, else estimated.
+    """(l, sites): lines on min_sites distinct sites or more; sites is exact near the threshold, else estimated.
 
-    Equal texts count once, at the first of their sites by name: copies of a document are no boilerplate. Sketches of a
-    line's sites merge by aggregation. An estimate has a standard error of 1.04 / sqrt(2 ** lg_k), 3 %; lines estimated
-    within a quarter of the threshold, over seven such errors, are counted exactly. A null site is a site of its own.
+    Sketches of the sites of a line hash merge by aggregation. Of hashes that may spread far enough the lines themselves
+    are read, so that lines of one hash are told apart. An estimate has a standard error of 1.04 / sqrt(2 ** lg_k), 3 %;
+    lines estimated within a quarter of the threshold, over seven such errors, are counted exactly. A null site is a site
+    of its own. Copies of a text on many sites spread like any other lines. An empty table has no such lines.
     """
     site = F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site")
-    lines = _lines(docs, text_col, site, F.xxhash64(common.text_of(text_col)).alias("body"))
-    # A row for each line and text: hot lines and groups of copies shrink before they are dealt by line.
-    once = common.materialize(lines.groupBy("line", "body").agg(F.min("site").alias("site")).select("line", "site"), "lines")
-    spread = once.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites")).where(F.col("sites") >= min_sites * 0.75)
-    spread = common.materialize(spread, "spread")
-    near = spread.where(F.col("sites") <= min_sites * 1.25).select("line")
-    exact = once.join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
+    lines = _lines(docs, text_col, site)
+    # A row for each line hash and site: hot lines shrink before they are dealt by line.
+    wide = _spread(lines.select("line", "site").distinct(), "line", min_sites * 0.75, lg_k).select("line")
+    wide = common.materialize(wide, "wide")
+    pairs = common.materialize(lines.join(wide, "line", "left_semi").select("l", "site").distinct(), "pairs")
+    spread = common.materialize(_spread(pairs, "l", min_sites * 0.75, lg_k), "spread")
+    near = spread.where(F.col("sites") <= min_sites * 1.25).select("l")
+    exact = pairs.join(near, "l", "left_semi").groupBy("l").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
     return spread.where(F.col("sites") > min_sites * 1.25).unionByName(exact)
 
 
@@ -40,18 +48,17 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str
     Kept lines stay as they are, blank ones too, in order. Null text counts as empty. Rows that repeat a doc_id keep
     their own texts. A text whose lines are all boilerplate becomes empty; an empty table gives no rows.
     """
-    found = common.materialize(boilerplate(docs, min_sites, text_col, site_col), "boilerplate")
-    lines = _lines(docs, text_col, F.col(id_col).alias("id"))
-    drop = lines.join(found.select("line"), "line").groupBy(F.col("id").alias("drop_id")).agg(F.collect_set("line").alias("gone"))
+    found = common.materialize(boilerplate(docs, min_sites, text_col, site_col).select("l"), "boilerplate")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.split(common.text_of(text_col), "\n").alias("lines"))
-    none = F.array().cast("array<bigint>")
-    rows = rows.join(drop, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left").select("doc_id", "lines", F.coalesce("gone", none).alias("gone"))
-    full = F.filter("lines", lambda line: F.trim(line) != "")
-    kept = F.filter("lines", lambda line: ~F.array_contains(F.col("gone"), F.xxhash64(F.trim(line))) | (F.trim(line) == ""))
-    kept = F.when(F.size("gone") == 0, F.col("lines")).otherwise(kept)
-    return rows.select(
-        "doc_id",
-        F.array_join(kept, "\n").alias("text"),
-        F.size(full).cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(kept)).cast("long").alias("n_removed"),
-    )
+    n, chars = found.agg(F.count("*"), F.coalesce(F.sum(F.length("l")), F.lit(0))).first()
+    full = F.size(F.filter("lines", lambda line: F.trim(line) != "")).cast("long")
+    if n <= SENT_LINES and chars <= SENT_CHARS:
+        gone = [r[0] for r in found.collect()]
+        kept = F.filter("lines", lambda line: ~F.trim(line).isin(gone)) if gone else F.col("lines")
+        removed = F.size("lines") - F.size(kept)
+        return rows.select("doc_id", F.array_join(kept, "\n").alias("text"), full.alias("n_lines"), removed.cast("long").alias("n_removed"))
+    each = rows.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", full.alias("n_lines"), F.posexplode("lines").alias("at", "line"))
+    each = each.join(found.withColumn("gone", F.lit(True)), F.trim("line") == F.col("l"), "left")
+    kept = F.array_sort(F.collect_list(F.when(F.col("gone").isNull(), F.struct("at", "line"))))
+    back = each.groupBy("row", "doc_id", "n_lines").agg(kept.alias("kept"), F.count("gone").alias("n_removed"))
+    return back.select("doc_id", F.array_join(F.transform("kept", lambda x: x["line"]), "\n").alias("text"), "n_lines", "n_removed")

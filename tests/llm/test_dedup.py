@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 
 from tessella.llm import common, components, digest_index, line_dedup, sharding, simhash
@@ -131,18 +132,18 @@ def test_near_duplicates_over_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_boilerplate_lines(spark):
+@pytest.mark.parametrize("sent", [2000, 0])
+def test_boilerplate_lines(spark, monkeypatch, sent):
+    monkeypatch.setattr(line_dedup, "SENT_LINES", sent)  # 0: lines are joined
     rows = [(i, f"s{i % 12}", f"own line {i}\n  shared by all \n\nshared by {i % 2}\n{'rare' if i % 12 < 3 else 'x' + str(i)}") for i in range(60)]
-    rows += [(100, None, None), (101, "s1", ""), (101, "s1", "shared by all\nmine"), (None, "s2", "mine two\nshared by all")]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 AS lines", "2 AS gone", "3 AS site", "4 AS line")
+    rows += [(100, None, None), (101, "s1", ""), (101, "s1", "shared by all\nmine"), (None, "s2", "mine two\nshared by all"), (102, "s3", "long " * 40_000 + "\nshared by all")]
+    rows += [(200 + i, f"s{i % 12}", "copied line one\ncopied line two") for i in range(30)]  # copies spread like other lines
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 AS lines", "2 AS gone", "3 AS site", "4 AS line", "5 AS l", "6 AS row")
     sites = defaultdict(set)
-    rows += [(200 + i, f"s{i % 12}", "copied line one\ncopied line two") for i in range(30)]  # copies count once
-    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 AS lines", "2 AS gone", "3 AS site", "4 AS line")
-    for t in {t or "" for _, _, t in rows}:
-        site = min(s or "" for _, s, x in rows if (x or "") == t)
-        for x in t.split("\n"):
+    for _, s, t in rows:
+        for x in (t or "").split("\n"):
             if x.strip(" "):
-                sites[x.strip(" ")].add(site)
+                sites[x.strip(" ")].add(s or "")
     for least in (3, 6, 8, 12):
         bad = {x for x, v in sites.items() if len(v) >= least}
         want = sorted(((i if i is not None else -1), "\n".join(x for x in (t or "").split("\n") if x.strip(" ") not in bad)) for i, _, t in rows)
