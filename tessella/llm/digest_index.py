@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS = 64
-_COLUMNS = "digest binary, keep_id bigint, keep_chars bigint, keep_row bigint, batch string"
-
 
 def normalised(text: Column) -> Column:
     return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), " \t\n\x0b\f\r", text)
@@ -27,40 +24,56 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A Parquet table at `path`, CLUSTERED BY and SORTED BY digest. Any session can open it again; appends add files to its buckets."""
+    """A Parquet table at `path`, CLUSTERED BY and SORTED BY digest. Any session can open it again; appends add files to its buckets.
+
+    buckets: as many as shuffles have partitions where not given; a bucket is what one task holds of the index, so their
+    number should grow with it. It and the type of ids are settled when the index is made and read from it later.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, id_type: str = "bigint"):
         self.spark, self.path = spark, path
+        layout = f"{path}/_layout"  # Spark takes no folder of such a name for data
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(layout)
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            self.buckets, self.id_type = spark.read.schema("buckets int, id_type string").json(layout).first()
+        else:
+            self.buckets, self.id_type = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), id_type
+            spark.createDataFrame([(self.buckets, id_type)], "buckets int, id_type string").coalesce(1).write.json(layout)
         self.table = f"digest_index_{uuid.uuid4().hex}"
-        spark.sql(f"CREATE TABLE {self.table} ({_COLUMNS}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
-        self.buckets = buckets
+        columns = f"digest binary, keep_id {self.id_type}, batch string"
+        spark.sql(f"CREATE TABLE {self.table} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'")
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
     def absent(self, groups: DataFrame) -> DataFrame:
-        """The rows of groups whose digest the index lacks. The index side needs neither shuffle nor sort of its rows."""
+        """The rows of groups whose digest the index lacks. The index side isn't shuffled."""
         return groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
+    def known(self, groups: DataFrame) -> DataFrame:
+        """groups with keep_id and batch of the index for their digests. The index side isn't shuffled."""
+        return groups.join(self.read().hint("merge"), "digest")
+
     def append(self, rows: DataFrame) -> None:
-        names = [c.split(" ")[0] for c in _COLUMNS.split(", ")]
-        rows.select(*names).repartition(self.buckets, "digest").write.insertInto(self.table)
+        rows.select("digest", "keep_id", "batch").repartition(self.buckets, "digest").write.insertInto(self.table)
 
     def close(self) -> None:
-        """Forgets the name; the files stay."""
+        """Forgets the name; the files stay, and so do frames that read them."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256; the index then holds every digest.
 
     Of equal texts new to the index the row with the most code points stays, then the smallest doc_id (null ids
     last), then one of the repeated rows. Texts that the index knows already all go, their keep_id is the indexed one.
-    group_size counts the rows of docs. Null text counts as empty, and empty texts are equal.
+    group_size counts the rows of docs. Null text counts as empty, and empty texts are equal. Ids are of any type that
+    sorts, that of the index. batch: the caller's name for these docs. The index is written when this is called; if the
+    result is lost, the same docs under the same name give it again, as what a batch has put in is new to itself.
     """
-    rows, groups, batch = _register(docs, index, id_col, text_col)
-    known = docs.sparkSession.read.schema(_COLUMNS).parquet(index.path).withColumnRenamed("digest", "known")
-    verdict = groups.join(known, groups["digest"] == known["known"]).select("digest", "group_size", "keep_id", F.when(F.col("batch") == batch, F.col("keep_row")).alias("keep_row"))
+    batch = batch or uuid.uuid4().hex
+    rows, groups = _register(docs, index, id_col, text_col, batch)
+    verdict = index.known(groups.drop("keep_id")).select("digest", "group_size", "keep_id", F.when(F.col("batch") == batch, F.col("keep_row")).alias("keep_row"))
     return rows.join(verdict, "digest").select(
         "doc_id",
         "keep_id",
@@ -70,29 +83,42 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     )
 
 
-def _register(docs: DataFrame, index: DigestIndex, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, str]:
+def _register(docs: DataFrame, index: DigestIndex, id_col: str, text_col: str, batch: str) -> tuple[DataFrame, DataFrame]:
+    """rows(doc_id, row, chars, digest) and groups(digest, group_size, keep_id, keep_row); what is new is in the index afterwards."""
     text = common.text_of(text_col)
-    rows = common.materialize(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.char_length(text).cast("long").alias("chars"), digest(text).alias("digest")),
-        "digests",
-    )
-    best = F.max(F.struct("chars", (-F.col("doc_id")).alias("id"), (-F.col("row")).alias("row")))
-    groups = common.materialize(rows.groupBy("digest").agg(F.count("*").alias("group_size"), best.alias("best")), "groups")
-    batch = uuid.uuid4().hex
-    new = groups.select("digest", (-F.col("best.id")).alias("keep_id"), F.col("best.chars").alias("keep_chars"), (-F.col("best.row")).alias("keep_row"), F.lit(batch).alias("batch"))
-    index.append(index.absent(new))
-    return rows, groups, batch
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.char_length(text).cast("long").alias("chars"), digest(text).alias("digest"))
+    rows = common.materialize(rows, "digests")
+    best = F.min(F.struct((-F.col("chars")).alias("least"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row"))
+    groups = rows.groupBy("digest").agg(F.count("*").alias("group_size"), best.alias("best"))
+    groups = common.materialize(groups.select("digest", "group_size", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row")), "groups")
+    index.append(index.absent(groups).withColumn("batch", F.lit(batch)))
+    return rows, groups
+
 
+def keep_first(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
+    """The rows of docs that stay, all columns as they were: the winners of deduplicate(), one of each repeated row.
 
-def keep_first(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, all columns as they were: the winners of deduplicate(), one of each repeated row."""
+    Null texts count as empty; an empty table stays empty.
+    """
     spark = docs.sparkSession
-    index = index or DigestIndex(spark, common.scratch_path(spark, "index"))
-    _, _, batch = _register(docs, index, id_col, text_col)
+    index = index or DigestIndex(spark, common.scratch_path(spark, "index"), id_type=docs.schema[id_col].dataType.simpleString())
+    batch = batch or uuid.uuid4().hex
+    rows, groups = _register(docs, index, id_col, text_col, batch)
     d, i, n = (common.fresh(docs, x) for x in ("tess_digest", "tess_id", "tess_nth"))
-    won = spark.read.schema(_COLUMNS).parquet(index.path).where(F.col("batch") == batch).select(F.col("digest").alias(d), F.col("keep_id").alias(i))
-    marked = docs.withColumn(d, digest(common.text_of(text_col)))
-    same = (marked[d] == won[d]) & marked[id_col].cast("long").eqNullSafe(won[i])
-    nth = F.row_number().over(Window.partitionBy(marked[d], won[i]).orderBy(F.char_length(common.text_of(text_col)).desc()))
+    won = index.known(groups.drop("keep_id")).where(F.col("batch") == batch).select("digest", "keep_row")
+    # How many rows of the winner's text and id there are: one, but for repeated rows.
+    mine = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("chars")).alias("least"), "row"))["row"].alias("row"))
+    mine = mine.join(won, (mine["digest"] == won["digest"]) & (mine["row"] == won["keep_row"]), "left_semi")
+    mine = common.materialize(mine.select(F.col("digest").alias(d), F.col("doc_id").alias(i), "n"), "winners")
     index.close()
-    return marked.join(won, same).withColumn(n, nth).where(F.col(n) == 1).select(*[marked[c] for c in docs.columns])
+    marked = docs.withColumn(d, digest(common.text_of(text_col)))
+
+    def same(won: DataFrame) -> Column:
+        return (marked[d] == won[d]) & marked[id_col].eqNullSafe(won[i])
+
+    once, often = mine.where("n = 1"), mine.where("n > 1")
+    out = marked.join(once, same(once), "left_semi")
+    if not often.isEmpty():
+        nth = F.row_number().over(Window.partitionBy(d, id_col).orderBy(F.char_length(common.text_of(text_col)).desc()))
+        out = out.unionByName(marked.join(often, same(often), "left_semi").withColumn(n, nth).where(F.col(n) == 1).drop(n))
+    return out.select(*docs.columns)

@@ -52,8 +52,9 @@ def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table against an empty index."""
-    index = digest_index.DigestIndex(spark, common.scratch_path(spark, "digest_index"))
-    found = digest_index.deduplicate(_documents(spark, sf_dir), index)
+    docs = _documents(spark, sf_dir)
+    index = digest_index.DigestIndex(spark, common.scratch_path(spark, "digest_index"), id_type=docs.schema["doc_id"].dataType.simpleString())
+    found = digest_index.deduplicate(docs, index)
     index.close()
     return found
 

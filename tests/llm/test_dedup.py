@@ -65,6 +65,27 @@ def test_exact_duplicates(spark):
     assert digest_index.deduplicate(docs.limit(0), empty).count() == 0
 
 
+def test_exact_duplicates_survive_a_lost_result(spark):
+    docs = spark.createDataFrame([("b", "x y"), ("a", "xy"), (None, "xy"), ("c", "z" * 300_000)], "doc_id string, text string")
+    path = common.scratch_path(spark, "index")
+    index = digest_index.DigestIndex(spark, path, 3, "string")
+    digest_index.deduplicate(docs, index, batch="monday")  # never read
+    index.close()
+    index = digest_index.DigestIndex(spark, path)  # opened again: its own buckets and ids
+    assert (index.buckets, index.id_type) == (3, "string")
+    got = digest_index.deduplicate(docs, index, batch="monday")
+    assert sorted((r["doc_id"] or "", r["keep_id"], r["kept"]) for r in got.collect()) == [("", "b", False), ("a", "b", False), ("b", "b", True), ("c", "c", True)]
+    assert not any(r["kept"] for r in digest_index.deduplicate(docs, index, batch="tuesday").collect())
+    groups = spark.createDataFrame([(b"x", 1)], "digest binary, n int")
+    for plan in (index.known(groups), index.absent(groups)):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in text  # that of groups
+    index.close()
+    far = spark.createDataFrame([(-(2**63), "a"), (5, "a")], "doc_id long, text string")
+    assert [r["doc_id"] for r in digest_index.keep_first(far).collect()] == [-(2**63)]
+    assert digest_index.keep_first(docs.selectExpr("*", "1 AS tess_digest", "2 AS n")).count() == 2
+
+
 def test_fingerprint_by_brute_force():
     rng = random.Random(2)
     for _ in range(300):
