@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -112,8 +113,10 @@ def keep_one(docs: DataFrame, width: int = 3, bits: int = 2, id_col: str = "doc_
 
 #: Wide fingerprints: longs of the one that is compared, blocks of the one that is only looked up, bits of a block.
 WIDE, BLOCKS, BLOCK_BITS = 16, 32, 24
-#: Rows of a crowded block that one part holds.
-PART = 4096
+#: Fingerprints may be as far apart as those of texts this much less alike: three times their scatter. Shingles decide.
+SLACK = 0.08
+#: Rows of a crowded block, or shingles of a group, that one part holds.
+PART, PART_SHINGLES = 4096, 2_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,8 +137,8 @@ def majority(hashes: np.ndarray, longs: int) -> np.ndarray:
     return np.packbits(total * 2 > len(h), bitorder="little").view(np.uint64)
 
 
-def wide_fingerprint(text: str, width: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray] | None:
-    """(fingerprint of the distinct shingles, block keys from that of the distinct words); None without words.
+def wide_fingerprint(text: str, width: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(fingerprint of the distinct shingles, block keys from that of the distinct words, the shingles' hashes in order); None without words.
 
     Edits change few words but `width` shingles each: words make the better keys, shingles the better measure.
     """
@@ -153,7 +156,7 @@ def wide_fingerprint(text: str, width: int, seed: int = 42) -> tuple[np.ndarray,
     keys = np.packbits(np.unpackbits(bits.view(np.uint8), bitorder="little").reshape(BLOCKS, BLOCK_BITS), axis=1, bitorder="little")
     padded = np.zeros((BLOCKS, 4), np.uint8)
     padded[:, : keys.shape[1]] = keys
-    return majority(shingles, WIDE), padded.view(np.uint32)[:, 0]
+    return majority(shingles, WIDE), padded.view(np.uint32)[:, 0], np.unique(shingles.astype(np.uint32))
 
 
 def most_bits(similarity: float, longs: int = WIDE) -> int:
@@ -166,77 +169,117 @@ def distances(fps: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps ^ fp).sum(1, np.int64)
 
 
-def forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Pairs of rows of fps (uint64) at most `bits` bits apart, no more than have the components of all such pairs.
+def apart(sets: list[np.ndarray], one: np.ndarray) -> np.ndarray:
+    """One less the Jaccard similarity of each of the sorted sets and one."""
+    both = np.fromiter((np.isin(x, one, assume_unique=True, kind="sort").sum() if len(x) and len(one) else 0 for x in sets), np.float64, len(sets))
+    size = np.fromiter(map(len, sets), np.float64, len(sets)) + len(one) - both
+    return 1 - np.divide(both, size, out=np.ones(len(sets)), where=size > 0)
 
-    Every two rows are compared, unless one is in a component already or the triangle inequality puts them apart: what is
-    more than bits + r from a component's first row is more than bits from each row at r from it.
+
+def forest(far_from, n: int, most: float, linked: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of n items at most `most` apart, no more than have the components of all such pairs.
+
+    far_from(which, one): distances of items from one, in a metric. Every two are compared, unless one is in a component
+    already or the triangle inequality puts them apart: what is more than most + r from a component's first item is more
+    than most from each at r from it. linked: items, by number, that are known to be in one component.
     """
-    rest, out = np.arange(len(fps)), []
-    while len(rest) > 1:
-        first, rest = rest[0], rest[1:]
-        far = distances(fps[rest], fps[first])
-        todo = [(first, 0)]
+    rest, out = np.arange(n), []
+    first = linked if linked is not None and len(linked) else rest[:1]
+    while len(rest) and len(first):
+        rest = rest[~np.isin(rest, first)] if len(first) > 1 or rest[0] != first[0] else rest[1:]
+        far = far_from(rest, first[0])
+        todo = list(zip(first.tolist(), far_from(first, first[0]).tolist(), strict=True))
         while todo and len(rest):
             at, r = todo.pop()
-            can = np.flatnonzero(far <= bits + r)
-            near = can[distances(fps[rest[can]], fps[at]) <= bits]
+            can = np.flatnonzero(far <= most + r)
+            near = can[far_from(rest[can], at) <= most] if r else can
             if len(near):
                 out += [(int(at), int(x)) for x in rest[near]]
                 todo += zip(rest[near].tolist(), far[near].tolist(), strict=True)
                 stay = np.ones(len(rest), bool)
                 stay[near] = False
                 rest, far = rest[stay], far[stay]
+        first = rest[:1]
     return out
 
 
-def crowded_pairs(members: DataFrame, bits: int, part: int = PART) -> DataFrame:
-    """Edges (a, b) of members(which, key, n, row, fp), the rows of blocks, with the components of all pairs of a block at most `bits` bits apart.
+def _far_bits(held: list) -> Callable:
+    fps = np.stack(held).view(np.uint64)
+    return lambda which, one: distances(fps[which], fps[one])
+
+
+def _far_sets(held: list) -> Callable:
+    sets = [x.view(np.uint32) for x in held]
+    return lambda which, one: apart([sets[i] for i in which], sets[one])
+
+
+def group_edges(members: DataFrame, near: Callable[[Column, Column], Column], far: Callable, most: float, part: int) -> DataFrame:
+    """Edges (a, b) of members(which, key, n, row, fp, weight) that have the components of all pairs of a group (which, key) at most `most` apart.
 
-    A block of over `part` rows is dealt into parts by hash, and every two parts are compared in a group of their own,
-    so no task holds more than two parts at once. Rows sent grow as n / part of a block's n, comparisons as its square.
+    n: weight of the whole group. Groups up to `part` are compared in one task. In heavier ones all rows are held against
+    the group's first row; what is near to it, be it a third of all rows, is one component and needs no more looks among
+    itself. The others are dealt into parts, and every two parts are compared of which not both are near to the first row:
+    no task holds more than two parts, comparisons grow as the square of what is unlike the first row only.
+    near(fp, fp) says as a Column what far, of a list of fp, says as distances.
     """
     common.ship(members.sparkSession)
-    parts = F.ceil(F.col("n") / part)
-    own = F.pmod(F.xxhash64("row", "which"), parts)
-    each = F.when(parts == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), parts - 1), lambda q: q != own))
-    dealt = members.withColumn("own", own).select("which", "key", "own", "row", "fp", F.explode(each).alias("other"))
     group = ["which", "key", "lo", "hi"]
-    dealt = dealt.select("which", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "row", "fp")
+    zero = F.lit(0).cast("long")
+    light = members.where(F.col("n") <= part).select("which", "key", zero.alias("lo"), zero.alias("hi"), "row", "fp", F.lit(False).alias("linked"))
+    heavy = common.materialize(members.where(F.col("n") > part), "heavy")
+    dealt, stars = light, None
+    if not heavy.isEmpty():
+        first = heavy.groupBy(F.col("which").alias("w"), F.col("key").alias("k")).agg(F.min("row").alias("first"), F.min_by("fp", "row").alias("fp1"))
+        heavy = heavy.join(first, (heavy["which"] == first["w"]) & (heavy["key"] == first["k"])).withColumn("linked", (F.col("row") == F.col("first")) | near(F.col("fp"), F.col("fp1")))
+        heavy = common.materialize(heavy.drop("w", "k", "fp1"), "starred")
+        stars = heavy.where("linked AND row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+        sizes = heavy.groupBy(F.col("which").alias("w"), F.col("key").alias("k")).agg(*[F.ceil(F.coalesce(F.sum(F.when(c, F.col("weight"))), F.lit(0)) / part).alias(x) for x, c in (("apart", ~F.col("linked")), ("near", F.col("linked")))])
+        heavy = heavy.join(sizes.where("apart > 0"), (heavy["which"] == F.col("w")) & (heavy["key"] == F.col("k")))
+        own = F.when(F.col("linked"), F.col("apart") + F.pmod(F.xxhash64("row"), F.col("near"))).otherwise(F.pmod(F.xxhash64("row"), F.col("apart")))
+        others = F.sequence(zero, F.when(F.col("linked"), F.col("apart")).otherwise(F.col("apart") + F.col("near")) - 1)
+        heavy = heavy.withColumn("own", own).withColumn("other", F.explode(F.filter(others, lambda q: q != F.col("own"))))
+        dealt = dealt.unionByName(heavy.select("which", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "row", "fp", "linked"))
     dealt = dealt.repartition(*group).sortWithinPartitions(*group)
 
-    def linked(held):
-        rows = np.concatenate([h[0] for h in held])
-        pairs = forest(np.concatenate([h[1] for h in held]), bits)
-        return [(min(x, y), max(x, y)) for x, y in ((int(rows[i]), int(rows[j])) for i, j in pairs)]
+    def edges(held):
+        rows = [h[0] for h in held]
+        known = np.flatnonzero([h[2] for h in held])
+        pairs = forest(far([h[1] for h in held]), len(rows), most, known)
+        return [(min(rows[i], rows[j]), max(rows[i], rows[j])) for i, j in pairs]
 
     def run(batches):
-        at, held = None, []
+        at, held, out = None, [], []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = np.column_stack([batch.column(i).to_numpy() for i in range(4)])
-            rows = batch.column(4).to_numpy()
-            fps = batch.column(5).flatten().to_numpy().view(np.uint64).reshape(len(rows), -1)
-            cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1).tolist(), len(rows)]
-            out = []
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                name = tuple(names[lo].tolist())
+            names = list(zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True))
+            rows, linked = batch.column(4).to_pylist(), batch.column(6).to_pylist()
+            values, offsets = batch.column(5).values.to_numpy(), batch.column(5).offsets.to_numpy()
+            for k, name in enumerate(names):
                 if name != at:
-                    out += linked(held) if held else []
+                    out += edges(held) if len(held) > 1 else []
                     at, held = name, []
-                held.append((rows[lo:hi], fps[lo:hi]))
+                held.append((rows[k], values[offsets[k] : offsets[k + 1]].copy(), linked[k]))
             yield pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-        out = linked(held) if held else []
+            out = []
+        out = edges(held) if len(held) > 1 else []
         yield pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    found = dealt.mapInArrow(run, "a bigint, b bigint")
+    return found if stars is None else found.unionByName(stars)
+
+
+def _bits_apart(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def _jaccard(a: Column, b: Column) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both)
 
 
 def similar_pairs(rows: DataFrame, bits: int, crowd: int = CROWD, part: int = PART) -> DataFrame:
     """Edges (a, b) of rows(row, fp, keys) with the components of all pairs that share a block and differ in at most `bits` bits of fp.
 
-    Blocks of up to `crowd` rows are paired, fuller ones go through crowded_pairs(): both compare all of a block.
+    Blocks of up to `crowd` rows are paired, fuller ones go through group_edges(): both compare all of a block.
     """
     blocks = rows.select("row", F.posexplode("keys").alias("which", "key"))
     full = blocks.groupBy("which", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -245,15 +288,17 @@ def similar_pairs(rows: DataFrame, bits: int, crowd: int = CROWD, part: int = PA
     pairs = few.withColumnRenamed("row", "a").join(few.withColumnRenamed("row", "b"), ["which", "key"]).where("a < b").select("a", "b").distinct()
     for c in ("a", "b"):
         pairs = pairs.join(rows.select(F.col("row").alias(f"row_{c}"), F.col("fp").alias(f"fp_{c}")), F.col(c) == F.col(f"row_{c}")).drop(f"row_{c}")
-    apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    members = shared.where(F.col("n") > crowd).join(rows.select("row", "fp"), "row")
-    return pairs.where(apart <= bits).select("a", "b").unionByName(crowded_pairs(members, bits, part))
+    members = shared.where(F.col("n") > crowd).join(rows.select("row", "fp"), "row").withColumn("weight", F.lit(1))
+    crowded = group_edges(members, lambda a, b: _bits_apart(a, b) <= bits, _far_bits, bits, part)
+    return pairs.where(_bits_apart(F.col("fp_a"), F.col("fp_b")) <= bits).select("a", "b").unionByName(crowded)
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id of rows whose shingles of `width` words are alike, by wide fingerprints; rows without a partner don't appear.
+    """doc_id, component_id of rows whose shingles of `width` words are alike; rows without a partner don't appear.
 
-    Texts without words have no partner. component_id is the smallest doc_id of the component.
+    Components of wide fingerprints that are near enough hold the candidates; within each, links are pairs whose sets of
+    shingles (by 32-bit hashes) have a Jaccard similarity from `similarity` up. Texts without words, null or empty, have
+    no partner. component_id is the smallest doc_id of the component. An empty table gives no rows.
     """
     common.ship(docs.sparkSession)
 
@@ -261,14 +306,19 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_
         for batch in slices(batches):
             found = [wide_fingerprint(t or "", width) for t in batch.column(1).to_pylist()]
             has = pa.array([f is not None for f in found])
-            fp = [f[0].view(np.int64).tolist() for f in found if f]
-            keys = [f[1].view(np.int32).tolist() for f in found if f]
-            yield pa.record_batch([batch.column(0).filter(has), pa.array(fp, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int32()))], ["doc_id", "fp", "keys"])
+            columns = [pa.array([f[i].view(kind) for f in found if f], pa.list_(to)) for i, kind, to in ((0, np.int64, pa.int64()), (1, np.int32, pa.int32()), (2, np.int32, pa.int32()))]
+            yield pa.record_batch([batch.column(0).filter(has), *columns], ["doc_id", "fp", "keys", "shingles"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp array<bigint>, keys array<int>")
+    rows = docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp array<bigint>, keys array<int>, shingles array<int>")
     rows = common.materialize(rows.withColumn("row", F.monotonically_increasing_id()), "wide")
-    member = connected_components(similar_pairs(rows, most_bits(similarity)))
+    near = connected_components(similar_pairs(rows.select("row", "fp", "keys"), most_bits(similarity - SLACK)))
+    sets = rows.select(F.col("row").alias("node"), F.col("shingles").alias("fp"), F.size("shingles").cast("long").alias("weight")).join(near, "node")
+    sets = common.materialize(sets, "sets")
+    total = sets.groupBy("root").agg(F.sum("weight").alias("n"))
+    members = sets.join(total, "root").select(F.lit(0).alias("which"), F.col("root").alias("key"), "n", F.col("node").alias("row"), "fp", "weight")
+    most = 1 - similarity + 1e-12
+    member = connected_components(group_edges(members, lambda a, b: 1 - _jaccard(a, b) <= most, _far_sets, most, PART_SHINGLES))
     member = member.join(rows.select("row", "doc_id"), member["node"] == F.col("row")).select("doc_id", "root")
     return member.join(member.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 

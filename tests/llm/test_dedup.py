@@ -173,7 +173,8 @@ def test_boilerplate_lines(spark, monkeypatch, sent):
     assert line_dedup.remove_boilerplate(docs.limit(0)).count() == 0
 
 
-def test_similar_groups_by_brute_force(spark):
+@pytest.mark.parametrize("part", [100, 2_000_000])
+def test_similar_groups_by_brute_force(spark, monkeypatch, part):
     rng = random.Random(8)
     vocab = [f"{a}{b}{c}" for a in "bdfglm" for b in ("ano", "ire", "ulo") for c in ("st", "r", "nd", "ck", "pel")]
     texts = []
@@ -188,12 +189,12 @@ def test_similar_groups_by_brute_force(spark):
     docs = spark.createDataFrame([*enumerate(texts), (900, None), (901, ""), (901, "")], "doc_id long, text string").selectExpr("*", "1 AS fp", "2 AS row", "3 AS keys")
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
     alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(max(0, i - 3), i)}
+    monkeypatch.setattr(simhash, "PART_SHINGLES", part)  # 100: groups of few texts are heavy
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
-    sure = [p for p, j in alike.items() if j >= 0.85]
-    assert sum(got.get(i, i) == got.get(j, j) for i, j in sure) >= 0.97 * len(sure)
-    assert all(i // 4 == j // 4 for i, j in got.items())
-    apart = [p for p, j in alike.items() if j < 0.6]
-    assert sum(got.get(i, i) != got.get(j, j) for i, j in apart) >= 0.97 * len(apart)
+    links = [p for p, j in alike.items() if j >= 0.8]
+    assert sum(got.get(i, i) == got.get(j, j) for i, j in links) >= 0.99 * len(links)
+    exact = _components(len(texts), links)
+    assert all(exact[i] == exact[j] for i, j in got.items())  # nothing is linked that isn't alike
     kept = simhash.keep_one_similar(docs)
     assert kept.columns == docs.columns and kept.where("doc_id >= 900").count() == 3
     assert simhash.similar_groups(docs.limit(0)).count() == 0
@@ -219,3 +220,15 @@ def test_crowded_blocks_lose_no_pair(spark):
         assert all(np.bitwise_count(fps[a] ^ fps[b]).sum() <= bits for a, b in got)
         assert _components(600, got) == want
         assert len(got) < 600 * 40
+
+
+def test_forest_in_a_metric():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 60):
+        sets = [np.unique(rng.integers(0, 40, rng.integers(0, 30))) for _ in range(n)]
+        far = lambda which, one: simhash.apart([sets[i] for i in which], sets[one])
+        want = _components(n, [(i, j) for i in range(n) for j in range(i) if far([i], j)[0] <= 0.6])
+        assert _components(n, simhash.forest(far, n, 0.6)) == want
+        known = np.array([0, *[i for i in range(1, n) if want[i] == want[0]]])
+        got = _components(n, simhash.forest(far, n, 0.6, known) + [(0, int(i)) for i in known[1:]])
+        assert got == want
