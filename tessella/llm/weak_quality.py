@@ -79,7 +79,7 @@ def _slot(kind: str, value: str) -> int:
 def shape(word: str) -> str:
     """Classes of characters, runs at most twice: Word -> Aaa, 12!! -> 99!!."""
     out = ""
-    for c in word[:32]:
+    for c in word:
         s = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
         if out[-2:] != s + s:
             out += s
@@ -146,17 +146,18 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
     def vote(batches):
         for batch in slices(batches):
             v = votes(textstats.table([t or "" for t in batch.column(1).to_pylist()]))
-            yield pa.record_batch([batch.column(0), pa.array(["".join(map(str, r)) for r in v.tolist()], pa.string())], ["id", "pattern"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(["".join(map(str, r)) for r in v.tolist()], pa.string())], ["id", "hash", "pattern"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    voted = common.materialize(rows.mapInArrow(vote, "id bigint, pattern string"), "votes")
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.xxhash64(common.text_of(text_col)).alias("hash"))
+    voted = common.materialize(rows.mapInArrow(vote, f"id {kind}, hash bigint, pattern string"), "votes")
     counted = sorted((r[0], r[1]) for r in voted.groupBy("pattern").count().collect())
     patterns = np.array([list(map(int, p)) for p, _ in counted], np.int64).reshape(len(counted), len(LABELLERS))
     good, rate, _ = estimate(patterns, np.array([n for _, n in counted], np.float64))
     label = {p: float(g) for (p, _), g in zip(counted, good, strict=True)}
 
-    # The sample's ids, at most sample_rows, are broadcast; equal ids come along and are cut again.
-    picked = voted.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select(F.col("id").alias("sample_id")).distinct()
+    # Ids and text hashes of the sample, at most sample_rows, are broadcast; repeated rows count once.
+    picked = voted.select("id", "hash").distinct().orderBy(F.xxhash64("id"), "id", "hash").limit(sample_rows).select(F.col("id").alias("sample_id"), F.col("hash").alias("sample_hash"))
 
     def take(batches):
         for batch in slices(batches):
@@ -166,8 +167,9 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
             y = [label.get("".join(map(str, v)), 0.5) for v in votes(counts).tolist()]
             yield pa.record_batch([batch.column(0), pa.array([list(d) for d in x], pa.list_(pa.int32())), pa.array([list(d.values()) for d in x], pa.list_(pa.float64())), pa.array(y)], ["id", "slots", "shares", "good"])
 
-    found = rows.join(F.broadcast(picked), F.col("id").eqNullSafe(F.col("sample_id"))).select("id", "body").mapInArrow(take, "id bigint, slots array<int>, shares array<double>, good double")
-    found = sorted(found.limit(2 * sample_rows).collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1]))[:sample_rows]
+    sample = rows.join(F.broadcast(picked), F.col("id").eqNullSafe(F.col("sample_id")) & (F.col("hash") == F.col("sample_hash"))).dropDuplicates(["id", "hash"])
+    found = sample.select("id", "body").mapInArrow(take, f"id {kind}, slots array<int>, shares array<double>, good double").collect()
+    found.sort(key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1], r[2]))
     return train([dict(zip(r[1], r[2], strict=True)) for r in found], np.array([r[3] for r in found])), rate
 
 

@@ -38,6 +38,38 @@ def test_rules_on_held_out_labels(spark):
     assert kept[~good].mean() < 0.08
 
 
+def test_path_lengths_by_brute_force():
+    rng = np.random.default_rng(3)
+    rows = rng.random((200, 4))
+    forest = quality_rules.IsolationForest(rows, trees=20, subsample=32)
+    seen = rng.random((50, 4)) * 1.5
+
+    def usual(n):
+        return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    for x, got in zip(seen, forest.anomaly(seen), strict=True):
+        total = 0.0
+        for feature, cut, left, right, depth in forest.trees:
+            at = steps = 0
+            while feature[at] >= 0:
+                at, steps = (left if x[feature[at]] <= cut[at] else right)[at], steps + 1
+            assert depth[at] >= steps  # what the subsample left in a leaf counts on
+            total += depth[at]
+        assert abs(got - 2 ** (-total / 20 / usual(32))) < 1e-9
+    alone = forest.anomaly(np.array([[9.0] * 4, [0.5] * 4]))
+    assert alone[0] > alone[1]
+
+
+def test_ids_of_any_type(spark):
+    text = " ".join(f"word{i} of the" for i in range(60))
+    docs = spark.createDataFrame([("a", text), ("b", None), (None, "x" * 300_000), ("c", "y" * 2000 + " " + text)], "doc_id string, text string").selectExpr("*", "1 AS id", "2 AS body", "3 AS hash", "4 AS quality")
+    labels = spark.createDataFrame([("a", 1), ("c", 0), ("a", 1)], "doc_id string, quality int")
+    assert sorted(r["doc_id"] or "" for r in quality_rules.keep_good(docs, labels).collect()) in (["a"], ["a", "c"])
+    assert quality_rules.keep_good(docs.limit(0), labels).count() == 0
+    got = [weak_quality.classify(docs).select("doc_id", "score").collect() for _ in range(2)]
+    assert len(got[0]) == 4 and sorted(map(repr, got[0])) == sorted(map(repr, got[1]))
+
+
 def test_judge_rows(spark):
     text = " ".join(f"word{i} of the" for i in range(60))
     docs = spark.createDataFrame([(1, text, 1), (2, None, 1), (3, "", 1), (4, "a b " * 40, 1), (1, text, 1)], "doc_id long, text string, kept int")
