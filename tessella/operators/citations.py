@@ -15,14 +15,20 @@ def exploded(citations: DataFrame, key: str, text: str, order: str) -> DataFrame
 
 def sequence_issues(numbers: DataFrame, key: str, order: list[str]) -> DataFrame:
     """key, kind, number: missing between the smallest and largest, reused, and out of order by first appearance."""
-    span = numbers.groupBy(key).agg(F.min("number").alias("lo"), F.max("number").alias("hi"))
-    every = span.select(key, F.explode(F.sequence("lo", "hi")).alias("number"))
-    missing = every.join(numbers.select(key, "number").distinct(), [key, "number"], "left_anti").withColumn("kind", F.lit("missing"))
-    reused = numbers.groupBy(key, "number").count().where("count > 1").select(key, "number", F.lit("reused").alias("kind"))
-    first = numbers.groupBy(key, "number").agg(F.min(F.struct(*order)).alias("at"))
+    once = numbers.groupBy(key, "number").agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("at"))
+    following = F.lead("number").over(Window.partitionBy(key).orderBy("number"))
     highest = F.max("number").over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    late = first.withColumn("before", highest).where(F.col("number") < F.col("before")).select(key, "number", F.lit("out-of-order").alias("kind"))
-    return missing.select(key, "kind", "number").unionByName(reused.select(key, "kind", "number")).unionByName(late.select(key, "kind", "number"))
+    once = once.withColumn("following", following).withColumn("before", highest)
+
+    def issue(kind: str, number: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), number.alias("number"))
+
+    number = F.col("number")
+    none = F.array().cast(f"array<struct<kind:string,number:{numbers.schema['number'].dataType.simpleString()}>>")
+    missing = F.when(F.col("following") > number + 1, F.transform(F.sequence(number + 1, F.col("following") - 1), lambda x: issue("missing", x))).otherwise(none)
+    reused = F.when(F.col("n") > 1, F.array(issue("reused", number))).otherwise(none)
+    late = F.when(number < F.col("before"), F.array(issue("out-of-order", number))).otherwise(none)
+    return once.select(key, F.explode(F.concat(missing, reused, late)).alias("issue")).select(key, "issue.*")
 
 
 def gaps(numbers: DataFrame, key: str) -> DataFrame:

@@ -191,8 +191,6 @@ STYLE_RULES += (
     ("nature-british-spelling", "publisher", "WARNING", _any(AMERICAN), "the British spelling"),
 )
 # fmt: on
-#: Longer texts match no rule.
-RULE_LIMIT = 102_400
 
 
 def safe_pattern(pattern: str) -> bool:
@@ -204,9 +202,11 @@ def safe_pattern(pattern: str) -> bool:
     return len(pattern) <= 500 and not re.search(r"\([^)]*[+*][^)]*\)[+*]", pattern)
 
 
-def apply_rules(docs: DataFrame, key: str, text: str, rules: list[tuple[str, str]], limit: int = RULE_LIMIT) -> DataFrame:
+def apply_rules(docs: DataFrame, key: str, text: str, rules: list[tuple[str, str]], limit: int | None = None) -> DataFrame:
     """key, rule, start, end, match of every match, in characters; rules: (id, pattern), unsafe ones are left out.
 
+    limit: texts of more characters match no rule; none where not given, so that whole tables are read.
+
     Each rule is one pass of the JVM's matcher over a text, all in one projection: gaps between matches give the offsets.
     """
     t = F.col(text)
@@ -225,7 +225,8 @@ def apply_rules(docs: DataFrame, key: str, text: str, rules: list[tuple[str, str
         return F.when(t.rlike(pattern), F.aggregate(found, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kinds))
 
     every = F.concat(*[of(r, p) for r, p in rules if safe_pattern(p)])
-    return docs.where(F.char_length(t) <= limit).select(key, F.explode(every).alias("r")).select(key, "r.*")
+    docs = docs if limit is None else docs.where(F.char_length(t) <= limit)
+    return docs.select(key, F.explode(every).alias("r")).select(key, "r.*")
 
 
 def house_rules(docs: DataFrame, key: str, text: str, rules: list[dict]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,11 +86,17 @@ def compare_audits(before: DataFrame, after: DataFrame, keys: list[str], order:
     def ranked(df: DataFrame, by: list[str]) -> DataFrame:
         return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
 
+    def held(df: DataFrame, other: DataFrame, by: list[str], how: str) -> DataFrame:
+        # Issues without a place are alike in place.
+        mine, theirs = ranked(df, by), ranked(other, by).select(*[F.col(c).alias(f"_{c}") for c in [*by, "_n"]])
+        same = [mine[c].eqNullSafe(theirs[f"_{c}"]) for c in [*by, "_n"]]
+        return mine.join(theirs, reduce(Column.__and__, same), how).drop("_n")
+
     def rest(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
-        return ranked(df, by).join(ranked(other, by).select(*by, "_n"), [*by, "_n"], "left_anti").drop("_n")
+        return held(df, other, by, "left_anti")
 
-    def common(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-        return ranked(a, by).join(ranked(b, by).select(*by, "_n"), [*by, "_n"], "left_semi").drop("_n")
+    def common(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
+        return held(df, other, by, "left_semi")
 
     old2, new2 = rest(before, after, first), rest(after, before, first)
     parts = [common(before, after, first).withColumn("status", F.lit("remaining")), common(old2, new2, second).withColumn("status", F.lit("remaining")), rest(old2, new2, second).withColumn("status", F.lit("resolved")), rest(new2, old2, second).withColumn("status", F.lit("regression"))]

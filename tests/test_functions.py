@@ -106,6 +106,23 @@ def test_audit_comparison(spark):
     assert got == {("remaining", 2), ("resolved", 1), ("regression", 1)}
 
 
+def test_issues_without_a_place_are_alike_in_place(spark):
+    kind = "file_id long, issue_id long, code string, location string, severity string"
+    before = spark.createDataFrame([(1, 1, "X", None, "minor"), (1, 2, "X", None, "minor")], kind)
+    after = spark.createDataFrame([(1, 10, "X", None, "serious"), (1, 11, "Y", None, "minor")], kind)
+    got = sorted((r["status"], r["severity"]) for r in issues.compare_audits(before, after, ["file_id"], "issue_id").collect())
+    assert got == [("regression", "minor"), ("remaining", "minor"), ("resolved", "minor")]
+
+
+def test_sequence_issues(spark):
+    from tessella.operators import citations
+
+    rows = [("a", 1, 1), ("a", 2, 5), ("a", 3, 2), ("a", 4, 5), ("b", 1, 7), (None, 1, 1), (None, 2, 3)]
+    got = citations.sequence_issues(spark.createDataFrame(rows, "book string, at int, number int"), "book", ["at"]).collect()
+    want = [(None, "missing", 2), ("a", "missing", 3), ("a", "missing", 4), ("a", "out-of-order", 2), ("a", "reused", 5)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_shares_sum_to_the_pool(spark):
     df = spark.createDataFrame([("a", i, w) for i, w in enumerate((1, 1, 1))] + [("b", 0, 0)], "k string, i long, w long")
     got = timesheets.distribute(df, ["k"], F.lit(100), "w", ["i"]).collect()
