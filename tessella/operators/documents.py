@@ -193,6 +193,10 @@ STYLE_RULES += (
 # fmt: on
 
 
+#: Characters of a text up to which rules run where the caller says nothing else.
+RULE_LIMIT = 102_400
+
+
 def safe_pattern(pattern: str) -> bool:
     """Whether a rule from outside may run: it compiles, is short, and repeats no repetition."""
     try:
@@ -202,10 +206,10 @@ def safe_pattern(pattern: str) -> bool:
     return len(pattern) <= 500 and not re.search(r"\([^)]*[+*][^)]*\)[+*]", pattern)
 
 
-def apply_rules(docs: DataFrame, key: str, text: str, rules: list[tuple[str, str]], limit: int | None = None) -> DataFrame:
+def apply_rules(docs: DataFrame, key: str, text: str, rules: list[tuple[str, str]], limit: int | None = RULE_LIMIT) -> DataFrame:
     """key, rule, start, end, match of every match, in characters; rules: (id, pattern), unsafe ones are left out.
 
-    limit: texts of more characters match no rule; none where not given, so that whole tables are read.
+    limit: texts of more characters match no rule, as some rules take time squared in a word of such length; None reads all.
 
     Each rule is one pass of the JVM's matcher over a text, all in one projection: gaps between matches give the offsets.
     """

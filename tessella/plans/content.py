@@ -352,12 +352,12 @@ def _(spark, d):
 @query("re1_style_rules")
 def _(spark, d):
     rules = [(r[0], r[3]) for r in doc.STYLE_RULES]
-    return doc.apply_rules(_docs(spark, d), "doc_id", "text", rules).groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return doc.apply_rules(_docs(spark, d), "doc_id", "text", rules, limit=None).groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 @query("re2_sentence_start", "SELECT doc_id, len(regexp_extract_all(text, '[.!?] [a-z]')) AS n FROM documents WHERE regexp_matches(text, '[.!?] [a-z]')")
 def _(spark, d):
-    return doc.apply_rules(_docs(spark, d), "doc_id", "text", [("cap", r"[.!?] [a-z]")]).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return doc.apply_rules(_docs(spark, d), "doc_id", "text", [("cap", r"[.!?] [a-z]")], limit=None).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("re4_house_rules", "SELECT doc_id, len(regexp_extract_all(lower(text), '\\bidiot\\b')) AS n FROM documents WHERE regexp_matches(lower(text), '\\bidiot\\b') AND length(text) <= 102400")
