@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: A group of over one in so many of all rows is joined by broadcast: there are fewer than that, whatever the input.
+HOT = 1000
+
 
 def normalised(text: Column) -> Column:
     return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), " \t\n\x0b\f\r", text)
@@ -54,6 +57,10 @@ class DigestIndex:
         """groups with keep_id and batch of the index for their digests. The index side isn't shuffled."""
         return groups.join(self.read().hint("merge"), "digest")
 
+    def few(self, digests: list[bytes]) -> DataFrame:
+        """The index rows of these digests, out of their buckets alone."""
+        return self.read().where(F.col("digest").isin(digests))
+
     def append(self, rows: DataFrame) -> None:
         rows.select("digest", "keep_id", "batch").repartition(self.buckets, "digest").write.insertInto(self.table)
 
@@ -67,14 +74,25 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
     Of equal texts new to the index the row with the most code points stays, then the smallest doc_id (null ids
     last), then one of the repeated rows. Texts that the index knows already all go, their keep_id is the indexed one.
-    group_size counts the rows of docs. Null text counts as empty, and empty texts are equal. Ids are of any type that
-    sorts, that of the index. batch: the caller's name for these docs. The index is written when this is called; if the
-    result is lost, the same docs under the same name give it again, as what a batch has put in is new to itself.
+    group_size counts the rows of docs. Copies of a text with over a thousandth of all rows find their group by
+    broadcast, so none gathers in one task. Null text counts as empty, and empty texts are equal. Ids are of any type
+    that sorts, that of the index. batch: the caller's name for these docs. The index is written when this is called;
+    if the result is lost, the same docs under the same name give it again, as what a batch has put in is new to itself.
     """
     batch = batch or uuid.uuid4().hex
     rows, groups = _register(docs, index, id_col, text_col, batch)
-    verdict = index.known(groups.drop("keep_id")).select("digest", "group_size", "keep_id", F.when(F.col("batch") == batch, F.col("keep_row")).alias("keep_row"))
-    return rows.join(verdict, "digest").select(
+    groups = groups.drop("keep_id")
+    share = rows.count() / HOT
+    hot = [bytes(r[0]) for r in groups.where(F.col("group_size") > share).select("digest").collect()]
+
+    def verdict(known: DataFrame) -> DataFrame:
+        return known.select("digest", "group_size", "keep_id", F.when(F.col("batch") == batch, F.col("keep_row")).alias("keep_row"))
+
+    is_hot = F.col("digest").isin(hot)
+    joined = rows.where(~is_hot).join(verdict(index.known(groups.where(~is_hot))), "digest")
+    if hot:
+        joined = joined.unionByName(rows.where(is_hot).join(F.broadcast(verdict(groups.where(is_hot).join(F.broadcast(index.few(hot)), "digest"))), "digest"))
+    return joined.select(
         "doc_id",
         "keep_id",
         "group_size",

@@ -65,6 +65,24 @@ def test_exact_duplicates(spark):
     assert digest_index.deduplicate(docs.limit(0), empty).count() == 0
 
 
+def test_exact_duplicates_of_hot_and_other_groups(spark):
+    rng = random.Random(9)
+    texts = [f"t{i}" for i in range(1500)] + ["hot one"] * 700 + [rng.choice(["ho t one", "hotone", "t7 ", " t8", None, "\t"]) for _ in range(300)]
+    rng.shuffle(texts)
+    index = digest_index.DigestIndex(spark, common.scratch_path(spark, "index"), 4)
+    got = digest_index.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), index)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" in plan  # one task never holds the copies of a hot text
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault("".join((t or "").split()), []).append((-len(t or ""), i))
+    want = {i: (min(g)[1], len(g), i == min(g)[1]) for g in groups.values() for _, i in g}
+    rows = got.collect()
+    assert len(rows) == len(texts) and {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in rows} == want
+    assert not any(r["kept"] for r in digest_index.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), index).collect())
+    index.close()
+
+
 def test_exact_duplicates_survive_a_lost_result(spark):
     docs = spark.createDataFrame([("b", "x y"), ("a", "xy"), (None, "xy"), ("c", "z" * 300_000)], "doc_id string, text string")
     path = common.scratch_path(spark, "index")
