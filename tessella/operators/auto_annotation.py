@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.labels import by_machine
+from tessella.operators.kernels import Columns, per_group
 
 
 def page_types(zones: DataFrame, last_page: int) -> DataFrame:
@@ -33,21 +34,20 @@ def heading_levels(headings: DataFrame, keys: list[str], order: list[str], toler
     Both steps depend on what they gave before, so a document's headings are walked in order.
     """
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(g: Columns) -> Columns:
         level, top, of = 0, None, {}
-        for h in sorted(set(pdf["h"]), reverse=True):
+        for h in sorted(set(g["h"].tolist()), reverse=True):
             if top is None or h < top * (1 - tolerance):
                 level, top = level + 1, h
             of[h] = min(level, deepest)
-        pdf = pdf.sort_values(order, kind="stable")
         before, out = 0, []
-        for h in pdf["h"]:
+        for h in g["h"].tolist():
             before = min(of[h], before + 1)
             out.append(before)
-        return pdf[[*keys, *order]].assign(level=out)
+        return {**{c: g[c] for c in order}, "level": np.array(out, np.int32)}
 
-    fields = ", ".join(f"{c} {headings.schema[c].dataType.simpleString()}" for c in [*keys, *order])
-    return headings.groupBy(*keys).applyInPandas(walk, fields + ", level int")
+    fields = {c: headings.schema[c].dataType.simpleString() for c in order}
+    return per_group(headings, keys, order, [*order, "h"], walk, {**fields, "level": "int"})
 
 
 def annotate(zones: DataFrame, page_height: float = 100.0) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.geometry import box, iou
 from tessella.operators import matching as m
+from tessella.sources.tables import view
 
 FIELDS = "run_id long, page_number long, detector string, zone_type string, x double, y double, w double, h double, confidence double, o1 long"
 
@@ -64,3 +65,27 @@ def test_merged_boxes_and_reading_order(spark):
     two = _zones(spark, [(1, "A", "p", (60, 0, 30, 10), 0), (1, "A", "p", (0, 0, 30, 10), 0), (1, "A", "p", (0, 40, 30, 10), 0), (1, "A", "p", (60, 40, 30, 10), 0)])
     assert {r["o1"]: r["place"] for r in m.reading_order(two, ["run_id", "page_number"], ["o1"]).collect()} == {1: 1, 2: 2, 0: 3, 3: 4}
     assert m.duplicate_figures(z, ["run_id", "page_number"], ["o1"]).where(F.col("rejected")).count() == 0
+
+
+def test_heading_levels_by_brute_force(spark, sf):
+    from tessella.operators import auto_annotation as auto
+
+    heads = view(spark, sf, "zones").where("zone_type = 'section-header'")
+    order = ["page_number", "y", "o1", "o2", "o3", "o4"]
+    got = sorted((r["run_id"], *[r[c] for c in order], r["level"]) for r in auto.heading_levels(heads, ["run_id"], order).collect())
+    runs = {}
+    for r in sorted(heads.select("run_id", *order, "h").collect(), key=tuple):
+        runs.setdefault(r["run_id"], []).append(r)
+    want = []
+    for rows in runs.values():
+        tops = []  # the tallest heading of each band
+        for h in sorted((r["h"] for r in rows), reverse=True):
+            if not tops or h < tops[-1] * 0.85:
+                tops.append(h)
+        before = 0
+        for r in rows:
+            band = min(6, sum(t >= r["h"] for t in tops))
+            before = min(band, before + 1)
+            want.append((*r[:-1], before))
+    assert got == sorted(want) and {w[-1] for w in want} >= {1, 2, 3}
+    assert auto.heading_levels(heads.limit(0), ["run_id"], order).count() == 0
