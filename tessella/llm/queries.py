@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, digest_index, line_dedup, packing, pii, quality_rules, sharding, simhash, token_counts, weak_quality
+from . import bpe, common, digest_index, line_dedup, packing, pii, quality_rules, sharding, simhash, token_counts, toxicity, weak_quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op12_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, passages (start:end in code points, comma-joined)."""
+    found = toxicity.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    spans = F.transform("passages", lambda x: F.concat_ws(":", x["start"], x["end"]))
+    return found.select("doc_id", "held_out", "score", "predicted", F.array_join(spans, ",").alias("passages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_counts": op2_token_counts,
@@ -74,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_contextual_pii": op8_contextual_pii,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_toxic_passages": op12_toxic_passages,
 }
 
 ORACLES: dict[str, str] = {
