@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -193,10 +194,6 @@ STYLE_RULES += (
 # fmt: on
 
 
-#: Characters of a text up to which rules run where the caller says nothing else.
-RULE_LIMIT = 102_400
-
-
 def safe_pattern(pattern: str) -> bool:
     """Whether a rule from outside may run: it compiles, is short, and repeats no repetition."""
     try:
@@ -206,10 +203,11 @@ def safe_pattern(pattern: str) -> bool:
     return len(pattern) <= 500 and not re.search(r"\([^)]*[+*][^)]*\)[+*]", pattern)
 
 
-def apply_rules(docs: DataFrame, key: str, text: str, rules: list[tuple[str, str]], limit: int | None = RULE_LIMIT) -> DataFrame:
+def apply_rules(docs: DataFrame, key: str, text: str, rules: list[tuple[str, str]], limit: int | None = None) -> DataFrame:
     """key, rule, start, end, match of every match, in characters; rules: (id, pattern), unsafe ones are left out.
 
-    limit: texts of more characters match no rule, as some rules take time squared in a word of such length; None reads all.
+    limit: texts of more characters match no rule, for rules that take time squared in a word of such length; None reads all.
+    A null text has no matches.
 
     Each rule is one pass of the JVM's matcher over a text, all in one projection: gaps between matches give the offsets.
     """
@@ -233,18 +231,81 @@ def apply_rules(docs: DataFrame, key: str, text: str, rules: list[tuple[str, str
     return docs.select(key, F.explode(every).alias("r")).select(key, "r.*")
 
 
+_ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_WORD_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
+
+
+class Phrases:
+    """Many phrases looked up in one pass over a text, whole words, ASCII letters in any case.
+
+    rules: (id, phrase, fixed). Where fixed is set, the phrase in its own spelling is no match. As with a pattern for each
+    rule, matches of one rule don't overlap: of those that do the leftmost counts. Empty phrases match nothing.
+    """
+
+    def __init__(self, rules: list[tuple[str, str, bool]]):
+        by: dict[str, list[int]] = {}
+        for k, (_, phrase, _) in enumerate(rules):
+            if phrase:
+                by.setdefault(phrase.translate(_ASCII_LOWER), []).append(k)
+        self.rules, self._automaton = rules, ahocorasick.Automaton()
+        for low, ks in by.items():
+            self._automaton.add_word(low, (len(low), ks))
+        if by:
+            self._automaton.make_automaton()
+
+    def find(self, text: str) -> list[tuple[int, int, int]]:
+        """(rule, start, end) of every match, in code points, by end."""
+        if not self.rules or not len(self._automaton):
+            return []
+        out, last = [], {}
+        for end, (size, ks) in self._automaton.iter(text.translate(_ASCII_LOWER)):
+            start, end = end - size + 1, end + 1
+            before, after = text[start - 1 : start] in _WORD_CHARS, text[end : end + 1] in _WORD_CHARS
+            if before == (text[start] in _WORD_CHARS) or after == (text[end - 1] in _WORD_CHARS):
+                continue
+            for k in ks:
+                _, phrase, fixed = self.rules[k]
+                if start >= last.get(k, 0) and not (fixed and text[start:end] == phrase):
+                    last[k] = end
+                    out.append((k, start, end))
+        return out
+
+
+def phrase_rules(docs: DataFrame, key: str, text: str, rules: list[tuple[str, str, bool]]) -> DataFrame:
+    """key, rule, start, end, match of every match of Phrases(rules), in characters; a null text has none.
+
+    The automaton of all phrases is broadcast once (rules are a list that the caller holds); a text is read once, however
+    many phrases there are, and no row moves between tasks.
+    """
+    ship = docs.sparkSession.sparkContext.broadcast(rules)
+    kind = docs.schema[key].dataType.simpleString()
+    names = [key, "rule", "start", "end", "match"]
+
+    def run(batches):
+        phrases = Phrases(ship.value)
+        for batch in batches:
+            rows, rule, start, end, match = [], [], [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                for k, a, b in phrases.find(t or ""):
+                    rows.append(i)
+                    rule.append(phrases.rules[k][0])
+                    start.append(a)
+                    end.append(b)
+                    match.append(t[a:b])
+            yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(rule, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(match, pa.string())], names)
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, rule string, start int, end int, match string")
+
+
 def house_rules(docs: DataFrame, key: str, text: str, rules: list[dict]) -> DataFrame:
-    """Rules stored as data: kind PATTERN (pattern), TERMINOLOGY (avoid) or CAPITALIZATION (term whose spelling is fixed)."""
-    made = []
-    for r in rules:
-        if r["kind"] == "TERMINOLOGY":
-            made.append((r["id"], rf"(?i)\b{re.escape(r['avoid'])}\b"))
-        elif r["kind"] == "CAPITALIZATION":
-            term = re.escape(r["term"])
-            made.append((r["id"], rf"\b(?!{term}\b)(?i:{term})\b"))
-        else:
-            made.append((r["id"], r["pattern"]))
-    return apply_rules(docs, key, text, made)
+    """key, rule, start, end, match of rules stored as data: kind PATTERN (pattern), TERMINOLOGY (avoid) or CAPITALIZATION
+    (term whose spelling is fixed). Whole texts are read; phrases of all rules in one pass, each pattern in one of its own."""
+    words = [(r["id"], r["avoid"], False) if r["kind"] == "TERMINOLOGY" else (r["id"], r["term"], True) for r in rules if r["kind"] in ("TERMINOLOGY", "CAPITALIZATION")]
+    patterns = [(r["id"], r["pattern"]) for r in rules if r["kind"] not in ("TERMINOLOGY", "CAPITALIZATION")]
+    if not words:
+        return apply_rules(docs, key, text, patterns)
+    found = phrase_rules(docs, key, text, words)
+    return found.unionByName(apply_rules(docs, key, text, patterns)) if patterns else found
 
 
 def audit_pages(pages: DataFrame, key: str, html: str) -> DataFrame:
