@@ -18,8 +18,9 @@ def _lines(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
     return kept.withColumn("l", F.trim("l")).where("l <> ''").withColumn("line", F.xxhash64("l"))
 
 
-def _spread(pairs: DataFrame, key: str, least: float, lg_k: int) -> DataFrame:
-    return pairs.groupBy(key).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites")).where(F.col("sites") >= least)
+def _spread(lines: DataFrame, key: str, least: float, lg_k: int) -> DataFrame:
+    """key, sites (estimated) of what stands on `least` sites or more. Tasks sketch their own rows, sketches merge by key."""
+    return lines.groupBy(key).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites")).where(F.col("sites") >= least)
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source", lg_k: int = LG_K) -> DataFrame:
@@ -32,13 +33,11 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "te
     """
     site = F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site")
     lines = _lines(docs, text_col, site)
-    # A row for each line hash and site: hot lines shrink before they are dealt by line.
-    wide = _spread(lines.select("line", "site").distinct(), "line", min_sites * 0.75, lg_k).select("line")
-    wide = common.materialize(wide, "wide")
-    pairs = common.materialize(lines.join(wide, "line", "left_semi").select("l", "site").distinct(), "pairs")
-    spread = common.materialize(_spread(pairs, "l", min_sites * 0.75, lg_k), "spread")
+    wide = common.materialize(_spread(lines.select("line", "site"), "line", min_sites * 0.75, lg_k).select("line"), "wide")
+    spread = common.materialize(_spread(lines.join(wide, "line", "left_semi").select("l", "site"), "l", min_sites * 0.75, lg_k), "spread")
     near = spread.where(F.col("sites") <= min_sites * 1.25).select("l")
-    exact = pairs.join(near, "l", "left_semi").groupBy("l").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
+    # Sites are counted one by one only for lines near the threshold: what is kept of them grows with lines and sites, not with copies.
+    exact = lines.join(near, "l", "left_semi").select("l", "site").distinct().groupBy("l").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
     return spread.where(F.col("sites") > min_sites * 1.25).unionByName(exact)
 
 

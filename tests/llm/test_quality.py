@@ -105,3 +105,11 @@ def test_estimate_finds_the_reliable_labellers():
     assert abs(share - 0.8) < 0.05
     assert rate[0, 0, weak_quality.GOOD] > 0.9 > rate[0, 2, weak_quality.GOOD]
     assert ((good[inverse.ravel()] > 0.5) == y).mean() > 0.93
+
+
+def test_ids_of_documents_and_labels_differ_in_type(spark):
+    text = " ".join(f"word{i} of the" for i in range(60))
+    docs = spark.createDataFrame([("1", text), ("x", text), (None, "")], "doc_id string, text string")
+    labels = spark.createDataFrame([(1, 1), (7, 0), (None, 0)], "doc_id long, quality int")
+    assert sorted(r["doc_id"] for r in quality_rules.keep_good(docs, labels).collect()) == ["1", "x"]
+    assert quality_rules.judge(docs.selectExpr("CAST(hash(doc_id) AS DECIMAL(20, 0)) AS doc_id", "text"), labels).count() == 3
