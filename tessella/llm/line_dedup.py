@@ -35,9 +35,11 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "te
     lines = _lines(docs, text_col, site)
     wide = common.materialize(_spread(lines.select("line", "site"), "line", min_sites * 0.75, lg_k).select("line"), "wide")
     spread = common.materialize(_spread(lines.join(wide, "line", "left_semi").select("l", "site"), "l", min_sites * 0.75, lg_k), "spread")
-    near = spread.where(F.col("sites") <= min_sites * 1.25).select("l")
+    near = spread.where(F.col("sites") <= min_sites * 1.25).select("l", F.xxhash64("l").alias("line"))
     # Sites are counted one by one only for lines near the threshold: what is kept of them grows with lines and sites, not with copies.
-    exact = lines.join(near, "l", "left_semi").select("l", "site").distinct().groupBy("l").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
+    # Their hashes find them first, as a table of numbers is soon small enough to be sent to the lines.
+    few = lines.join(common.materialize(near.select("line").distinct(), "near"), "line", "left_semi").join(near.select("l"), "l", "left_semi")
+    exact = few.select("l", "site").distinct().groupBy("l").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
     return spread.where(F.col("sites") > min_sites * 1.25).unionByName(exact)
 
 
