@@ -405,6 +405,97 @@ def _(spark, d):
     return pub.dangling_notes(table(spark, d, "pages").withColumn("book", (F.col("page_id") % 10).cast("int")), "book", "page_id", "html")
 
 
+#: Pieces of markup by page number: code that each should give, or none.
+_MARKUP = (
+    ("", '<div class="sidebar_wrapper"><p>a</p></div> <div class="maincontent_wrapper">m</div>'),
+    ("MARKUP-SIDEBAR-MAINCONTENT-MISSING", '<div class="sidebar_wrapper"><p>a</p></div>text<div class="maincontent_wrapper">m</div>'),
+    ("MARKUP-TEXTBOX-USES-REAL-HEADER", '<div class="txt_box1"><div><h2>b</h2></div></div>'),
+    ("MARKUP-FLOATBOX-USES-REAL-HEADER", '<h1>h</h1><aside class="floatbox_left"><div><h3>b</h3></div></aside>'),
+    ("MARKUP-POETRY-WRONG-STRUCTURE", '<div class="poetry_stanza"><div><p>l</p></div></div>'),
+    ("MARKUP-SPEECHBUBBLE-WRONG-CLASS", '<figure class="speech-bubble"></figure>'),
+    ("MARKUP-METHOD-STEPS-NOT-OL", '<ol><li class="method_steps">s</li></ol><p>1. a</p><p>2. b</p> <p>3. c</p>'),
+    ("", '<h1>h</h1><div class="txt_box"><h2>b</h2></div><figure class="speechbubble_r"></figure><p>1. a</p><hr/><p>2. b</p><p>3. c</p>'),
+)
+_N = len(_MARKUP)
+
+
+def _publications(spark, d):
+    """book, part, n, c: every page, with a piece of markup by its number before its own body; ten pages by turns are a book."""
+    pages = table(spark, d, "pages")
+    k = F.col("page_id")
+    pieces = F.array(*[F.lit(m) for _, m in _MARKUP])
+    full = F.concat(F.lit("<html><head><title>t</title></head><body>"), F.get(pieces, (k % _N).cast("int")), F.regexp_extract("html", r"(?s)<body[^>]*>(.*)", 1))
+    return pages.select((k % 10).alias("book"), F.format_string("text/%d.xhtml", k).alias("part"), k.alias("n"), full.alias("c"))
+
+
+def _parsed(files):
+    from tessella.operators import element_trees as et
+
+    return et, et.elements(files, ["book", "part"], "c")
+
+
+@query("re5b_element_places", "WITH h AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages) SELECT page_id, len(regexp_extract_all(h, '<p\\b')) AS paragraphs, len(regexp_extract_all(h, '<[a-zA-Z]')) + 2 * len(regexp_extract_all(html, '<script\\b')) + len(regexp_extract_all(html, '<style\\b')) - len(regexp_extract_all(html, '<script\\b')) AS elements, len(regexp_extract_all(regexp_extract(h, '(?s)<nav>(.*?)</nav>', 1), '<a\\b')) AS links_in_nav FROM h JOIN pages USING (page_id)")
+def _(spark, d):
+    """Elements by page, and links that stand inside the navigation, by containment."""
+    from tessella.operators import element_trees as et
+
+    tree = et.elements(table(spark, d, "pages"), ["page_id"], "html")
+    links = et.inside(tree, ["page_id"], F.col("tag") == "nav", F.col("tag") == "a").groupBy("page_id").agg(F.countDistinct("node").alias("links"))
+    found = tree.groupBy("page_id").agg(F.count_if(F.col("tag") == "p").alias("paragraphs"), F.count_if(F.col("tag") != "#text").alias("elements"))
+    return found.join(links, "page_id", "left").select("page_id", "paragraphs", "elements", F.coalesce("links", F.lit(0)).alias("links_in_nav"))
+
+
+@query("re6d_content_markup", "WITH b AS (SELECT page_id % 10 AS book FROM pages WHERE page_id % 8 = 6 GROUP BY 1 HAVING count(*) >= 3), p AS (SELECT page_id % 10 AS book, 'text/' || page_id || '.xhtml' AS part, CASE page_id % 8 " + " ".join(f"WHEN {i} THEN '{c}'" for i, (c, _) in enumerate(_MARKUP) if c) + " END AS code FROM pages) SELECT * FROM p WHERE code IS NOT NULL AND (code <> 'MARKUP-METHOD-STEPS-NOT-OL' OR book IN (SELECT book FROM b))")
+def _(spark, d):
+    et, tree = _parsed(_publications(spark, d))
+    return et.content_markup(tree, "book", "part")
+
+
+_PACKAGE = "c AS (SELECT c_custkey AS book, lower(c_mktsegment) AS logo, c_custkey % 7 AS k FROM customer)"
+
+
+def _front_pages(spark, d):
+    """Books of three parts from customers: a front page whose marks vary with the number, a brand page, a page of channels."""
+    c = table(spark, d, "customer")
+    k, seg = F.col("c_custkey") % 7, F.col("c_mktsegment")
+    title = F.concat(F.when(k == 1, "<h3>").otherwise('<h3 class="booktitle">'), F.lit("T</h3>"), F.when(k == 2, "").otherwise(F.concat(F.lit('<figure class="imprint_logo"><img alt="'), F.when(k == 3, F.lit("x")).otherwise(F.lower(seg)), F.lit('"/></figure>'))))
+    front = F.concat(F.lit('<body epub:type="frontmatter"><section epub:type="'), F.when(k == 4, "preface").otherwise("titlepage"), F.lit('">'), title, F.lit("</section></body>"))
+    brand = F.concat(F.lit('<body id="'), F.when(k == 5, "b").otherwise("brand_page"), F.lit('"><figure class="wide '), F.when(k == 6, "image_full").otherwise("brand_logo_solo"), F.lit('"><img alt="'), F.when(k == 3, F.lit("y")).otherwise(seg), F.lit('"/></figure></body>'))
+    one, two = F.lit('<a href="https://twitter.com/'), F.lit('<a href="https://facebook.com/')
+    first = F.concat(one, F.when(k == 2, "others").otherwise("ink"), F.lit('">t</a>'))
+    second = F.when(k == 3, "").otherwise(F.concat(two, F.lit('ink">f</a>')))
+    social = F.concat(F.when(k == 4, "<body>").otherwise('<body epub:type="backmatter">'), F.when(k == 5, F.concat(second, first)).otherwise(F.concat(first, second)), F.when(k == 6, "").otherwise("<p>Read <b>on</b></p>"), F.lit("</body>"))
+    parts = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(p).alias("part"), h.alias("c")) for n, p, h in ((1, "a.xhtml", front), (2, "b.xhtml", brand), (3, "z.xhtml", social))])
+    return c.select(F.col("c_custkey").alias("book"), F.explode(parts).alias("x")).select("book", "x.*"), c
+
+
+@query("re6e_title_pages", f"WITH {_PACKAGE} SELECT book, CASE k WHEN 1 THEN 'TITLE-PAGE-WRONG-STRUCTURE' WHEN 2 THEN 'TITLE-PAGE-MISSING-IMPRINT-LOGO' WHEN 3 THEN 'TITLE-PAGE-WRONG-LOGO-ALT' ELSE 'TITLE-PAGE-MISSING' END AS code FROM c WHERE k IN (1, 2, 3, 4)")
+def _(spark, d):
+    files, c = _front_pages(spark, d)
+    et, tree = _parsed(files)
+    rules = c.select(F.col("c_custkey").alias("book"), F.col("c_mktsegment").alias("logo_alt"), F.lit(False).alias("image_only"))
+    return et.title_pages(tree, files.select("book", "part", "n"), rules, "book", "part", "n")
+
+
+@query("re6f_brand_pages", f"WITH {_PACKAGE} SELECT book, CASE k WHEN 3 THEN 'BRAND-PAGE-WRONG-LOGO-ALT' WHEN 5 THEN 'BRAND-PAGE-MISSING' ELSE 'BRAND-PAGE-WRONG-CLASS' END AS code FROM c WHERE k IN (3, 5, 6)")
+def _(spark, d):
+    files, c = _front_pages(spark, d)
+    et, tree = _parsed(files)
+    rules = c.select(F.col("c_custkey").alias("book"), F.lit("brand_logo_solo").alias("figure_class"), F.col("c_mktsegment").alias("logo_alt"))
+    return et.brand_pages(tree, files.select("book", "part", "n"), rules, "book", "part", "n")
+
+
+@query("re6g_socials_pages", f"WITH {_PACKAGE} SELECT book, CASE k WHEN 2 THEN 'SOCIALS-HANDLE-WRONG' WHEN 3 THEN 'SOCIALS-PAGE-MISSING' WHEN 4 THEN 'SOCIALS-PAGE-MISSING' WHEN 5 THEN 'SOCIALS-CHANNEL-ORDER-WRONG' ELSE 'SOCIALS-STRAPLINE-MISSING' END AS code, CASE k WHEN 2 THEN 'twitter' END AS channel FROM c WHERE k IN (2, 3, 4, 5, 6)")
+def _(spark, d):
+    """Every book should name two channels in an order, with a line below; where only one is named nothing tells the page."""
+    files, c = _front_pages(spark, d)
+    et, tree = _parsed(files)
+    wanted = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(n).alias("channel"), F.lit(h).alias("handle")) for i, (n, h) in enumerate((("twitter", "twitter.com/ink"), ("facebook", "facebook.com/ink")))])
+    channels = c.select(F.col("c_custkey").alias("book"), F.explode(wanted).alias("x")).select("book", "x.*")
+    lines = c.select(F.col("c_custkey").alias("book"), F.lit("Read on").alias("strapline"))
+    return et.socials_pages(tree, files.select("book", "part", "n"), channels, lines, "book", "part", "n", r"follow_ink\.xhtml$")
+
+
 @query("re7_tagged_files", "WITH p AS (SELECT p_partkey, p_size % 3 <> 0 AS tagged, p_size % 4 <> 0 AS pdfua, p_size AS pages, p_partkey % 5 AS bookmarks FROM part) SELECT p_partkey, 'PDF-UNTAGGED' AS code FROM p WHERE NOT tagged UNION ALL SELECT p_partkey, 'PDFUA-IDENTIFIER-MISSING' FROM p WHERE NOT pdfua UNION ALL SELECT p_partkey, 'BOOKMARK-MISSING' FROM p WHERE pages >= 10 AND bookmarks = 0 UNION ALL SELECT p_partkey, 'BOOKMARK-INSUFFICIENT' FROM p WHERE pages >= 10 AND bookmarks > 0 AND bookmarks < pages / 10.0")
 def _(spark, d):
     from tessella.operators import pdf_checks as pdf
