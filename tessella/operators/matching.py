@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.geometry import box, iou
@@ -12,6 +14,8 @@ from tessella.functions.numbers import half_up
 from tessella.operators.kernels import Columns, per_group
 
 THRESHOLD, MIN_INSTANCES = 0.5, 5
+#: Overlaps of a page that are held at once.
+ROWS_CELLS = 1 << 20
 
 
 def _boxes(g: Columns) -> np.ndarray:
@@ -27,11 +31,43 @@ def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((inter > 0) & (union > 0), np.minimum(1.0, inter / np.where(union > 0, union, 1.0)), 0.0)
 
 
+def _iou_rows(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+    """A row of iou_matrix for each of a, made some at a time, so that a page's boxes are never all crossed in memory."""
+    step = max(1, ROWS_CELLS // max(len(b), 1))
+    for k in range(0, len(a), step):
+        yield from iou_matrix(a[k : k + step], b)
+
+
 def candidate_pairs(zones: DataFrame, keys: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of a detector A and a detector B region of one page that overlap by threshold or more."""
-    a = zones.where("detector = 'A'").select(*keys, *[F.col(c).alias(f"a_{c}") for c in ("x", "y", "w", "h", "zone_type", "o1", "o2", "o3", "o4")])
-    b = zones.where("detector = 'B'").select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("x", "y", "w", "h", "zone_type", "o1", "o2", "o3", "o4")])
-    return a.join(b, keys).withColumn("iou", iou(box("a_"), box("b_"))).where(F.col("iou") >= threshold)
+    """Pairs of a detector A and a detector B region of one page that overlap by threshold (over 0, at most 1) or more.
+
+    A spatial join: overlap by t bounds how far sizes and centres of two boxes may differ, so width and height of a B box
+    give the side of its cells, by powers of two, and it stands in the few cells that its partners' centres can lie in; an
+    A box stands in one cell of every size that a partner can have. Each pair meets in one cell alone, and the cells' work
+    grows with what lies close together, not with a page. Boxes without area and pages of null keys have no pairs.
+    """
+    columns = ("x", "y", "w", "h", "zone_type", "o1", "o2", "o3", "o4")
+    slack = 1e-9  # for what rounding may move over a bound
+    least, reach = threshold * (1 - slack), (1 / threshold - 1) / 2 + slack
+
+    def level(size: Column) -> Column:
+        return F.ceil(F.log2(size)).cast("int")
+
+    def cell(at: Column, level: Column) -> Column:
+        return F.floor(at / F.pow(F.lit(2.0), level)).cast("long")
+
+    zones = zones.where("w > 0 AND h > 0")
+    a = zones.where("detector = 'A'").select(*keys, *[F.col(c).alias(f"a_{c}") for c in columns])
+    b = zones.where("detector = 'B'").select(*keys, *[F.col(c).alias(f"b_{c}") for c in columns])
+    cells = []
+    for axis, size in (("x", "w"), ("y", "h")):
+        long, centre = F.col(f"a_{size}"), F.col(f"a_{axis}") + F.col(f"a_{size}") / 2
+        a = a.withColumn(f"_level_{axis}", F.explode(F.sequence(level(long * least), level(long / least)))).withColumn(f"_cell_{axis}", cell(centre, F.col(f"_level_{axis}")))
+        long, centre = F.col(f"b_{size}"), F.col(f"b_{axis}") + F.col(f"b_{size}") / 2
+        own = level(long)
+        b = b.withColumn(f"_level_{axis}", own).withColumn(f"_cell_{axis}", F.explode(F.sequence(cell(centre - long * reach, own), cell(centre + long * reach, own))))
+        cells += [f"_level_{axis}", f"_cell_{axis}"]
+    return a.join(b, [*keys, *cells]).drop(*cells).withColumn("iou", iou(box("a_"), box("b_"))).where(F.col("iou") >= threshold)
 
 
 def match_zones(zones: DataFrame, keys: list[str], order: list[str], threshold: float = THRESHOLD) -> DataFrame:
@@ -45,11 +81,10 @@ def match_zones(zones: DataFrame, keys: list[str], order: list[str], threshold:
         first = g["detector"] == "A"
         a_type, b_type = g["zone_type"][first].tolist(), g["zone_type"][~first].tolist()
         boxes = _boxes(g)
-        overlap = iou_matrix(boxes[first], boxes[~first])
         free = np.ones(len(b_type), bool)
         rows = []
-        for i in range(len(a_type)):
-            best = np.where(free, overlap[i], 0.0)
+        for i, overlap in enumerate(_iou_rows(boxes[first], boxes[~first])):
+            best = np.where(free, overlap, 0.0)
             k = int(best.argmax()) if len(best) else -1
             top = float(best[k]) if k >= 0 else 0.0
             if top >= threshold and top > 0:
@@ -84,10 +119,9 @@ def match_precision(truth: DataFrame, predicted: DataFrame, keys: list[str], ord
         pred = np.flatnonzero(~gt)
         pred = pred[np.argsort(-g["confidence"][pred], kind="stable")]
         boxes = _boxes(g)
-        overlap = iou_matrix(boxes[pred], boxes[gt])
         free, tp = np.ones(int(gt.sum()), bool), np.zeros(len(pred), np.int32)
-        for i in range(len(pred) if len(free) else 0):
-            best = np.where(free, overlap[i], 0.0)
+        for i, overlap in enumerate(_iou_rows(boxes[pred], boxes[gt]) if len(free) else ()):
+            best = np.where(free, overlap, 0.0)
             k = int(best.argmax())
             if best[k] >= threshold and best[k] > 0:
                 free[k], tp[i] = False, 1
@@ -128,11 +162,10 @@ def duplicate_figures(zones: DataFrame, keys: list[str], order: list[str], thres
 
     def page(g: Columns) -> Columns:
         boxes = _boxes(g)
-        overlap = iou_matrix(boxes, boxes)
         gone = np.zeros(len(boxes), bool)
-        for i in range(len(boxes)):
+        for i, overlap in enumerate(_iou_rows(boxes, boxes)):
             if not gone[i]:
-                gone[i + 1 :] |= overlap[i, i + 1 :] >= threshold
+                gone[i + 1 :] |= overlap[i + 1 :] >= threshold
         return {**{c: g[c] for c in order}, "rejected": gone}
 
     out = {**{c: zones.schema[c].dataType.simpleString() for c in order}, "rejected": "boolean"}

@@ -1,5 +1,6 @@
 """Hand-valued cases of matching and accuracy."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,36 @@ def test_heading_levels_by_brute_force(spark, sf):
             want.append((*r[:-1], before))
     assert got == sorted(want) and {w[-1] for w in want} >= {1, 2, 3}
     assert auto.heading_levels(heads.limit(0), ["run_id"], order).count() == 0
+
+
+def _random_zones(spark, n, seed, page=None):
+    rng = np.random.default_rng(seed)
+    size = 2.0 ** rng.uniform(-4, 9, (n, 2))
+    at = rng.uniform(-500, 500, (n, 2))
+    near = rng.integers(0, n, n // 2)  # half of them close to another box
+    at[: n // 2], size[: n // 2] = at[near] + size[near] * rng.uniform(-0.4, 0.4, (n // 2, 2)), size[near] * 2 ** rng.uniform(-1, 1, (n // 2, 2))
+    size[::50, 0] = 0
+    rows = [(int(page if page is not None else i % 3), float(x), float(y), float(w), float(h), "T", "AB"[i % 2], i, 0, 0, 0) for i, ((x, y), (w, h)) in enumerate(zip(at, size, strict=True))]
+    rows += [(1, float(2**k), 0.0, float(2**k), 8.0, "T", d, 10_000 + k, 0, 0, 0) for k in range(8) for d in "AB"] + [(1, 0.0, 0.0, w, 4.0, "T", d, 20_000, 0, 0, 0) for w, d in ((4.0, "A"), (8.0, "B"), (2.0, "B"))]
+    rows.append((None, 0.0, 0.0, 4.0, 4.0, "T", "A", 30_000, 0, 0, 0))
+    return spark.createDataFrame(rows, "page int, x double, y double, w double, h double, zone_type string, detector string, o1 long, o2 int, o3 int, o4 int"), rows
+
+
+@pytest.mark.parametrize("page", [None, 1])
+def test_candidate_pairs_by_brute_force(spark, page):
+    zones, rows = _random_zones(spark, 1200, 5, page)
+    a, b = [r for r in rows if r[6] == "A"], [r for r in rows if r[6] == "B"]
+    overlap = m.iou_matrix(np.array([r[1:5] for r in a]), np.array([r[1:5] for r in b]))
+    for threshold in (0.5, 0.3, 0.9):
+        got = sorted((r["page"], r["a_o1"], r["b_o1"]) for r in m.candidate_pairs(zones, ["page"], threshold).collect())
+        want = sorted((a[i][0], a[i][7], b[j][7]) for i, j in zip(*np.nonzero(overlap >= threshold), strict=True) if a[i][0] == b[j][0] and a[i][0] is not None)
+        assert got == want and (len(got) > 10 or threshold == 0.9)
+    plan = m.candidate_pairs(zones, ["page"])._jdf.queryExecution().executedPlan().toString()
+    assert "_cell_x" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_matching_in_blocks(spark, monkeypatch):
+    zones, _ = _random_zones(spark, 300, 6)
+    whole = sorted(map(tuple, m.match_zones(zones, ["page"], ["o1"]).collect()), key=repr)
+    monkeypatch.setattr(m, "ROWS_CELLS", 7)
+    assert sorted(map(tuple, m.match_zones(zones, ["page"], ["o1"]).collect()), key=repr) == whole
