@@ -30,7 +30,10 @@ _PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
 ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 6, 3, 0.8
 #: Score of a token that looks like a key before any pattern has found it: too low to count by itself.
 HALF_SEED = 0.5
+#: A token has so many digits or an at sign; what has neither is never looked at.
 MIN_DIGITS = 4
+#: A word tells something if so large a share of all its occurrences in the corpus stand within two words of a token.
+TELLING = 0.2
 #: Up to so many bytes of ids and discovered tokens are broadcast for masking.
 SENT_BYTES = 4 << 20
 SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
@@ -165,45 +168,68 @@ def _like_a_key(token: Column) -> Column:
     return token.rlike("^[A-Za-z0-9_-]{20,}$") & (letters >= 6) & (digits >= 6) & (F.size(F.array_distinct(F.split(token, ""))) >= 10)
 
 
-def edges(found: DataFrame) -> DataFrame:
-    """Distinct (pattern, side, token, prior): one and two words before a token, one and two words after it, and the word before with the word after.
+def _mere_number(token: Column) -> Column:
+    return ~token.rlike(r"[\p{L}@]")
 
-    Any words make a pattern: what stands before anything gets a low confidence; figures in words are all one, mere numbers
-    and words with an at sign are none. side: `one` for words of one side, else `both`. prior: 1 of a seed, HALF_SEED, or 0.
-    """
+
+def _neighbours() -> tuple[Column, Column, Column, Column]:
+    """The word before, the one before that, the word after, the one after that; figures in words are all one, mere numbers
+    and words with an at sign are none."""
 
     def word(side: str, at: int) -> Column:
         found = F.try_element_at(F.filter(F.split(F.lower(side), rf"[{_GAP}]+"), lambda w: w != ""), F.lit(at))
         mere = found.contains("@") | (found.rlike("[0-9]") & ~found.rlike(r"\p{L}"))
         return F.when(~mere, F.regexp_replace(found, "[0-9]+", "0"))
 
-    one, two, right, next_ = word("before", -1), word("before", -2), word("after", 1), word("after", 2)
+    return word("before", -1), word("before", -2), word("after", 1), word("after", 2)
+
+
+def edges(found: DataFrame, telling: DataFrame | None = None) -> DataFrame:
+    """Distinct (pattern, side, token, prior): one and two words before a token, one and two words after it, and the word before with the word after.
+
+    Any words make a pattern: what stands before anything gets a low confidence. telling (word): patterns without such a word
+    are left out. Mere numbers that are no seeds stand in no pattern of a single word, as numbers follow any word. side: `one`
+    for words of one side, else `both`. prior: 1 of a seed, HALF_SEED, or 0.
+    """
+    one, two, right, next_ = _neighbours()
 
-    def pattern(side: str, *parts: Column) -> Column:
-        return F.struct(F.concat(*parts).alias("pattern"), F.lit(side).alias("side"))
+    def pattern(side: str, label: str, *words: Column) -> Column:
+        text = F.concat(F.lit(label), *[x for i, w in enumerate(words) for x in ([F.lit(" _ " if side == "both" else " ")] if i else []) + [w]])
+        return F.struct(text.alias("pattern"), F.lit(side).alias("side"), F.array(*words).alias("words"))
 
-    kinds = [
-        pattern("one", F.lit("before:"), one),
-        pattern("one", F.lit("before:"), two, F.lit(" "), one),
-        pattern("one", F.lit("after:"), right),
-        pattern("one", F.lit("after:"), right, F.lit(" "), next_),
-        pattern("both", F.lit("around:"), one, F.lit(" _ "), right),
-    ]
+    kinds = F.array(pattern("one", "before:", one), pattern("one", "before:", two, one), pattern("one", "after:", right), pattern("one", "after:", right, next_), pattern("both", "around:", one, right))
     prior = F.when(F.col("seed"), F.lit(1.0)).when(_like_a_key(F.col("token")), F.lit(HALF_SEED)).otherwise(F.lit(0.0))
-    return found.select("token", prior.alias("prior"), F.explode(F.array(*kinds)).alias("p")).select("p.pattern", "p.side", "token", "prior").where("pattern IS NOT NULL").distinct()
+    each = found.select("token", "seed", prior.alias("prior"), F.explode(kinds).alias("p")).where("p.pattern IS NOT NULL")
+    each = each.where(F.col("seed") | ~_mere_number(F.col("token")) | (F.size("p.words") > 1)).select("p.pattern", "p.side", "p.words", "token", "prior")
+    if telling is not None:
+        each = each.withColumn("word", F.explode("words")).join(telling.select("word"), "word")
+    return each.select("pattern", "side", "token", "prior").distinct()
+
+
+def telling_words(texts: DataFrame, found: DataFrame, share: float = TELLING, least: int = MIN_SEEDS, text_col: str = "text") -> DataFrame:
+    """(word) of which at least `share` of all occurrences in the corpus, and `least` ones, stand within two words of a token.
+
+    `the` stands before some number in any corpus, and nearly always before something else; what introduces identifiers does
+    so most of the time. Only words that stand beside tokens are counted, in one pass over the texts.
+    """
+    beside = found.select(F.explode(F.array(*_neighbours())).alias("word")).where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("beside")).where(F.col("beside") >= least)
+    beside = common.materialize(beside, "beside")
+    words = texts.select(F.explode(F.split(F.regexp_replace(F.lower(text_col), "[0-9]+", "0"), rf"[{_GAP}]+")).alias("word"))
+    total = words.join(beside.select("word"), "word", "left_semi").groupBy("word").agg(F.count("*").alias("total"))
+    return common.materialize(beside.join(total, "word").where(F.col("beside") >= share * F.col("total")).select("word"), "telling")
 
 
-def discover(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Tokens (token, score) of occurrences() that no fixed pattern knows and trusted patterns find.
+def discover(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, telling: DataFrame | None = None) -> DataFrame:
+    """Tokens (token, score) of occurrences() that no fixed pattern knows and trusted patterns find; telling: see edges().
 
     A pattern counts from min_seeds distinct tokens that are seeds, half or whole, or were found before. What stands in it
     and is no seed speaks against it by the share of the token's own patterns that don't count: a number that stands anywhere
-    does, a token seen in such contexts only is an open question. Confidence is the score in favour over that for and against
+    does, a token seen in such contexts only is an open question, unless it is a mere number. Confidence is the score in favour over that for and against
     and one more; below half of min_confidence it tells nothing. A token's score is the chance that its prior, the best of its
     one-sided patterns or the best of its two-sided ones is right, as patterns of one side lie within each other; seeds keep 1.
     Tokens found in a round support new patterns in the next one, until scores settle or for `rounds` rounds.
     """
-    graph = common.materialize(edges(found), "edges")
+    graph = common.materialize(edges(found, telling), "edges")
     priors = graph.where("prior > 0").groupBy("token").agg(F.max("prior").alias("prior"))
     priors = common.materialize(priors.withColumn("score", F.col("prior")), "priors")
     graph = graph.select("pattern", "side", "token").distinct()
@@ -213,6 +239,7 @@ def discover(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
         firm = F.count(F.when((F.col("score") >= min_confidence) | (F.col("prior") > 0), True))
         counting = common.materialize(scored.groupBy("pattern").agg(firm.alias("firm")).where(F.col("firm") >= min_seeds).select("pattern"), "counting").withColumn("counts", F.lit(1.0))
         stray = graph.join(counting, "pattern", "left").groupBy("token").agg((F.lit(1.0) - F.avg(F.coalesce("counts", F.lit(0.0)))).alias("stray"))
+        stray = stray.withColumn("stray", F.when(_mere_number(F.col("token")), F.lit(1.0)).otherwise(F.col("stray")))
         for_, against = F.sum("score"), F.sum((F.lit(1.0) - F.col("score")) * F.col("stray"))
         trust = scored.join(counting, "pattern", "left_semi").join(stray, "token").groupBy("pattern").agg((for_ / (for_ + against + 1)).alias("trust"))
         trust = trust.where(F.col("trust") >= min_confidence / 2)
@@ -240,7 +267,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
         rank = F.when(F.col("kind") == k, F.lit(i)).otherwise(rank)
     fixed = finds.where(F.col("kind") != "token").where(_is_valid()).select("row", F.struct("start", rank.alias("rank"), "end", "kind").alias("span"))
     found = occurrences(finds)
-    other = found.where(~F.col("seed")).join(discover(found, rounds, min_seeds, min_confidence).select("token"), "token")
+    other = found.where(~F.col("seed")).join(discover(found, rounds, min_seeds, min_confidence, telling_words(docs, found, text_col=text_col)).select("token"), "token")
     other = other.select("row", F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit("other").alias("kind")).alias("span"))
     spans = fixed.unionByName(other).groupBy(F.col("row").alias("of")).agg(F.array_sort(F.collect_list("span")).alias("spans"))
     out = rows.join(spans, rows["row"] == spans["of"], "left")
@@ -271,7 +298,7 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     rows, finds = scan(docs, id_col, text_col)
     found = occurrences(finds)
-    known = common.materialize(discover(found).select("token"), "discovered")
+    known = common.materialize(discover(found, telling=telling_words(docs, found, text_col=text_col)).select("token"), "discovered")
     text = F.col(text_col)
     trigger = "|".join(_TRIGGER.values())
     out = docs.withColumn(text_col, F.when(text.rlike(trigger), _replaced(text)).otherwise(text))
