@@ -224,7 +224,7 @@ def discover(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
 
     A pattern counts from min_seeds distinct tokens that are seeds, half or whole, or were found before. What stands in it
     and is no seed speaks against it by the share of the token's own patterns that don't count: a number that stands anywhere
-    does, a token seen in such contexts only is an open question, unless it is a mere number. Confidence is the score in favour over that for and against
+    does, a token seen in such contexts only is an open question. A mere number that is no seed always counts against. Confidence is the score in favour over that for and against
     and one more; below half of min_confidence it tells nothing. A token's score is the chance that its prior, the best of its
     one-sided patterns or the best of its two-sided ones is right, as patterns of one side lie within each other; seeds keep 1.
     Tokens found in a round support new patterns in the next one, until scores settle or for `rounds` rounds.
@@ -239,8 +239,9 @@ def discover(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
         firm = F.count(F.when((F.col("score") >= min_confidence) | (F.col("prior") > 0), True))
         counting = common.materialize(scored.groupBy("pattern").agg(firm.alias("firm")).where(F.col("firm") >= min_seeds).select("pattern"), "counting").withColumn("counts", F.lit(1.0))
         stray = graph.join(counting, "pattern", "left").groupBy("token").agg((F.lit(1.0) - F.avg(F.coalesce("counts", F.lit(0.0)))).alias("stray"))
-        stray = stray.withColumn("stray", F.when(_mere_number(F.col("token")), F.lit(1.0)).otherwise(F.col("stray")))
-        for_, against = F.sum("score"), F.sum((F.lit(1.0) - F.col("score")) * F.col("stray"))
+        mere = _mere_number(F.col("token")) & (F.col("prior") < 1)
+        for_ = F.sum(F.when(mere, F.lit(0.0)).otherwise(F.col("score")))
+        against = F.sum(F.when(mere, F.lit(1.0)).otherwise((F.lit(1.0) - F.col("score")) * F.col("stray")))
         trust = scored.join(counting, "pattern", "left_semi").join(stray, "token").groupBy("pattern").agg((for_ / (for_ + against + 1)).alias("trust"))
         trust = trust.where(F.col("trust") >= min_confidence / 2)
         best = graph.join(trust, "pattern").groupBy("token", "side").agg(F.max("trust").alias("trust"))

@@ -130,7 +130,7 @@ def test_function_words_and_years_tell_nothing(spark):
     got = {r["doc_id"]: r["spans"] for r in pii.digests(pii.find(docs)).collect()}
     assert sorted(i for i, x in got.items() if "other" in x) == [i for i in sorted(got) if i >= len(texts) - 20]
     masked = {r["doc_id"]: r["text"] for r in pii.mask(docs).collect()}
-    assert masked[12] == texts[12] and masked[len(texts) - 1] == 'token = "[OTHER]" end'
+    assert masked[12] == texts[12] and masked[len(texts) - 1] == "token = [OTHER] end"
 
 
 def _scores(found, rounds, min_seeds, least, half):
@@ -148,9 +148,10 @@ def _scores(found, rounds, min_seeds, least, half):
         mine = {}
         for a, _, t in graph:
             mine.setdefault(t, set()).add((a, _))
-        stray = {t: 1.0 if not re.search(r"[^\W\d_]|@", t) else 1 - sum(a in counting for a, _ in x) / len(x) for t, x in mine.items()}
-        pro = {a: sum(score.get(t, 0) for t in of[a]) for a in counting}
-        trust = {a: pro[a] / (pro[a] + sum((1 - score.get(t, 0)) * stray[t] for t in of[a]) + 1) for a in counting}
+        stray = {t: 1 - sum(a in counting for a, _ in x) / len(x) for t, x in mine.items()}
+        mere = {t for t, p in prior.items() if p < 1 and not re.search(r"[^\W\d_]|@", t)}
+        pro = {a: sum(0 if t in mere else score.get(t, 0) for t in of[a]) for a in counting}
+        trust = {a: pro[a] / (pro[a] + sum(1 if t in mere else (1 - score.get(t, 0)) * stray[t] for t in of[a]) + 1) for a in counting}
         best = {}
         for a, b, t in graph:
             if trust.get(a, 0) >= least / 2:
