@@ -287,10 +287,10 @@ def _(spark, d):
     return iss.overall_compliance(_mapped(spark, d))
 
 
-@query("lx39_verification_queue", f"WITH {_RULES}, r AS (SELECT DISTINCT criterion, CAST(substr(criterion, 3, 1) AS INTEGER) AS cr FROM rules), i AS (SELECT criterion, min(CASE severity WHEN 'critical' THEN 0 WHEN 'serious' THEN 1 WHEN 'moderate' THEN 2 ELSE 3 END) AS sev FROM issues JOIN rules USING (code) WHERE file_id = 3 GROUP BY 1) SELECT r.criterion, coalesce(sev, 99) AS severity_rank, cr AS confidence_rank FROM r LEFT JOIN i USING (criterion)", "issues")
+@query("lx39_verification_queue", f"WITH {_RULES}, r AS (SELECT DISTINCT criterion, CAST(substr(criterion, 3, 1) AS INTEGER) AS cr FROM rules), i AS (SELECT criterion, min(CASE severity WHEN 'critical' THEN 0 WHEN 'serious' THEN 1 WHEN 'moderate' THEN 2 ELSE 3 END) AS sev FROM issues JOIN rules USING (code) GROUP BY 1) SELECT r.criterion, coalesce(sev, 99) AS severity_rank, cr AS confidence_rank FROM r LEFT JOIN i USING (criterion)", "issues")
 def _(spark, d):
     results = _rules(spark).select("criterion").distinct().withColumn("confidence_rank", F.expr("CAST(substring(criterion, 3, 1) AS INT)"))
-    return iss.verification_queue(results, view(spark, d, "issues").where("file_id = 3").join(F.broadcast(_rules(spark)), "code"))
+    return iss.verification_queue(results, view(spark, d, "issues").join(F.broadcast(_rules(spark)), "code"))
 
 
 @query("lx40_can_finalise", "SELECT file_id, count(*) FILTER (severity IN ('critical', 'serious') AND page IS NULL) AS blockers, count(*) FILTER (severity IN ('critical', 'serious') AND page IS NULL) = 0 AS can_finalise FROM issues GROUP BY 1", "issues")
@@ -321,9 +321,10 @@ def _(spark, d):
     return view(spark, d, "issues").select("issue_id", F.coalesce(lookup(F.col("code"), {"R4": "alt-text", "R5": "heading", "R6": "other"}), F.lit("other")).alias("change_type"))
 
 
-@query("sf27_criterion_principle", f"WITH {_RULES} SELECT DISTINCT criterion, CASE substr(criterion, 1, 1) WHEN '1' THEN 'Perceivable' WHEN '2' THEN 'Operable' END AS principle FROM rules")
+@query("sf27_criterion_principle", f"WITH {_RULES} SELECT issue_id, criterion, CASE substr(criterion, 1, 1) WHEN '1' THEN 'Perceivable' WHEN '2' THEN 'Operable' END AS principle FROM issues JOIN rules USING (code)", "issues")
 def _(spark, d):
-    return _rules(spark).select("criterion").distinct().select("criterion", codes.principle(F.col("criterion")).alias("principle"))
+    found = view(spark, d, "issues").join(F.broadcast(_rules(spark)), "code")
+    return found.select("issue_id", "criterion", codes.principle(F.col("criterion")).alias("principle"))
 
 
 @query("sf32_remarks", "SELECT issue_id, CASE WHEN severity = 'minor' THEN 'ok' WHEN length(message) < 10 THEN 'too short' WHEN NOT contains(message, '1') THEN 'no detail' ELSE 'ok' END AS remark_check FROM issues", "issues")
@@ -342,10 +343,11 @@ def _(spark, d):
     return view(spark, d, "issues").select("issue_id", codes.confidence_label(F.col("value"), 20, 8).alias("label"))
 
 
-@query("re10_criterion_tiers", f"WITH {_RULES} SELECT DISTINCT criterion, CASE WHEN criterion LIKE '1.1.%' THEN 'manual' WHEN criterion LIKE '1.%' THEN 'high' ELSE 'medium' END AS tier FROM rules")
+@query("re10_criterion_tiers", f"WITH {_RULES} SELECT criterion, CASE WHEN criterion LIKE '1.1.%' THEN 'manual' WHEN criterion LIKE '1.%' THEN 'high' ELSE 'medium' END AS tier, count(*) AS issues FROM issues JOIN rules USING (code) GROUP BY ALL", "issues")
 def _(spark, d):
     c = F.col("criterion")
-    return _rules(spark).select("criterion").distinct().select("criterion", F.when(c.startswith("1.1."), "manual").when(c.startswith("1."), "high").otherwise("medium").alias("tier"))
+    found = view(spark, d, "issues").join(F.broadcast(_rules(spark)), "code").groupBy("criterion").agg(F.count("*").alias("issues"))
+    return found.select("criterion", "issues", F.when(c.startswith("1.1."), "manual").when(c.startswith("1."), "high").otherwise("medium").alias("tier"))
 
 
 @query("re11_human_override", f"WITH {_CONF_CTE}, v AS (SELECT DISTINCT file_id, 'Supports' AS verified FROM issues WHERE file_id % 9 = 0) SELECT conf.file_id, criterion, coalesce(verified, conformance) AS conformance FROM conf LEFT JOIN v USING (file_id)", "issues")

@@ -490,7 +490,7 @@ def _(spark, d):
 @query("snk5_replace_group", "SELECT n_regionkey, n_name FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 1, 'only'")
 def _(spark, d):
     n = table(spark, d, "nation").select("n_regionkey", "n_name")
-    return rel.replace_group(n, n.where("n_regionkey = 1").limit(1).withColumn("n_name", F.lit("only")), ["n_regionkey"])
+    return rel.replace_group(n, n.where("n_regionkey = 1").groupBy("n_regionkey").agg(F.lit("only").alias("n_name")), ["n_regionkey"])
 
 
 @query("snk14_rows_as_json", "SELECT r_regionkey, '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS row_json FROM region")

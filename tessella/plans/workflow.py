@@ -97,6 +97,13 @@ def _(spark, d):
     return view(spark, d, "workflow_events").groupBy((F.col("workflow_id") % 7).alias("batch_id"), "state").agg(F.count("*").alias("n"))
 
 
+@query("ss10_job_attempts")
+def _(spark, d):
+    """Users as jobs: a purchase is an attempt that went well, anything else one that failed."""
+    e = view(spark, d, "workflow_events")
+    return st.job_attempts(e.select(F.col("workflow_id").alias("job_id"), "event_id", "ts_ms", (F.col("state") == "purchase").alias("ok")))
+
+
 @query("ss11_idempotent", "SELECT workflow_id, state, min(event_id) AS event_id FROM workflow_events GROUP BY 1, 2", "workflow_events")
 def _(spark, d):
     e = view(spark, d, "workflow_events")

@@ -59,3 +59,38 @@ def token_bucket(events: DataFrame, capacity: float, per_ms: float) -> DataFrame
         return {"event_id": g["event_id"], "allowed": np.array(refill(g["ts_ms"], capacity, per_ms)[0], bool)}
 
     return per_group(events, ["workflow_id"], ["ts_ms", "event_id"], ["ts_ms", "event_id"], kernel, {"event_id": "bigint", "allowed": "boolean"})
+
+
+#: Attempts of a job, the delay before the first repeat, how long finished and failed jobs are remembered.
+ATTEMPTS, DELAY_MS, KEEP_DONE_MS, KEEP_FAILED_MS = 3, 1000, 24 * 3_600_000, 7 * 24 * 3_600_000
+
+
+def attempt(state: tuple[int, int | None], ts_ms: int, ok: bool) -> tuple[str, int | None, tuple[int, int | None]]:
+    """What an attempt's outcome means for its job: (verdict, due, new state); state: failures so far, when the job is forgotten.
+
+    A failure is repeated after a delay that doubles each time, the last one fails the job; due: when it is repeated or
+    forgotten. Outcomes of a job that has ended, such as a message delivered twice, change nothing until it is forgotten.
+    """
+    failures, until = state
+    if until is not None and ts_ms < until:
+        return "DUPLICATE", until, state
+    failures = 0 if until is not None else failures
+    if ok:
+        return "COMPLETED", ts_ms + KEEP_DONE_MS, (failures, ts_ms + KEEP_DONE_MS)
+    failures += 1
+    if failures >= ATTEMPTS:
+        return "FAILED", ts_ms + KEEP_FAILED_MS, (failures, ts_ms + KEEP_FAILED_MS)
+    return "RETRY", ts_ms + DELAY_MS * 2 ** (failures - 1), (failures, None)
+
+
+def job_attempts(events: DataFrame) -> DataFrame:
+    """job_id, event_id, verdict, due_ms of every outcome (job_id, event_id, ts_ms, ok), by time and event_id within a job."""
+
+    def job(g: Columns) -> Columns:
+        state, out = (0, None), []
+        for ts, ok in zip(g["ts_ms"].tolist(), g["ok"].tolist(), strict=True):
+            verdict, due, state = attempt(state, ts, ok)
+            out.append((verdict, due))
+        return {"event_id": g["event_id"], "verdict": np.array([v for v, _ in out], object), "due_ms": np.array([d for _, d in out], np.int64)}
+
+    return per_group(events, ["job_id"], ["ts_ms", "event_id"], ["event_id", "ts_ms", "ok"], job, {"event_id": "bigint", "verdict": "string", "due_ms": "bigint"})

@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .batch import anchor, refill
+from .batch import anchor, attempt, refill
 
 
 def event_stream(spark, folder: str, schema: str, files_per_batch: int = 1) -> DataFrame:
@@ -79,6 +81,46 @@ def state_totals(events: DataFrame) -> DataFrame:
     return events.groupBy("workflow_id").applyInPandasWithState(step, "workflow_id bigint, state string, dwell_ms bigint", "state string, since bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+class _Jobs(StatefulProcessor):
+    """State of a job: failures so far and when it is forgotten, for which a timer stands; nothing is kept beyond that."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", StructType([StructField("failures", LongType()), StructField("until", LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        pdf = _by_time(rows)
+        state = tuple(self.job.get()) if self.job.exists() else (0, None)
+        out, old = [], state[1]
+        for event, ts, ok in zip(pdf["event_id"].tolist(), pdf["ts_ms"].tolist(), pdf["ok"].tolist(), strict=True):
+            verdict, due, state = attempt(state, ts, bool(ok))
+            out.append((key[0], event, verdict, due))
+        self.job.update(state)
+        if state[1] != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if state[1] is not None:
+                self.handle.registerTimer(state[1])
+        yield pd.DataFrame(out, columns=["job_id", "event_id", "verdict", "due_ms"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.job.clear()
+        yield pd.DataFrame({"job_id": pd.Series(dtype="int64"), "event_id": pd.Series(dtype="int64"), "verdict": pd.Series(dtype="object"), "due_ms": pd.Series(dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def job_attempts(events: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """As batch.job_attempts(), for a stream with a timestamp ts: each outcome's verdict as it comes in.
+
+    Needs the RocksDB state store. A timer at the end of its retention takes a job's state away once no event can be
+    earlier; outputs don't depend on it, as a later outcome starts anew anyway. Delivered once more, outcomes are DUPLICATE.
+    """
+    out = StructType([StructField("job_id", LongType()), StructField("event_id", LongType()), StructField("verdict", StringType()), StructField("due_ms", LongType())])
+    return events.withWatermark("ts", late).groupBy("job_id").transformWithStateInPandas(_Jobs(), out, "Append", "EventTime")
+
+
 def fan_out(updates: DataFrame, channels: dict, key: str):
     """A stream writer that hands each batch's rows to the channel of their key: channels maps key values to functions of a DataFrame."""
 

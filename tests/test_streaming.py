@@ -67,3 +67,37 @@ def test_fan_out(spark, log, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen == {n: log[1].where(F.col("state") == n).count() for n in seen}
+
+
+def test_job_attempts_over_a_restart(spark, log, tmp_path):
+    """Three attempts, doubling delays and retention as in the batch form, though the query stops and starts again."""
+    day = 24 * 3_600_000
+    e = log[1].selectExpr("workflow_id % 40 AS job_id", "event_id", "ts_ms", "state = 'purchase' AS ok", "ts")
+    want = sorted(map(tuple, batch.job_attempts(e).collect()))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for limit in (1, None):
+            stream = _stream(spark, log).selectExpr("workflow_id % 40 AS job_id", "event_id", "ts_ms", "state = 'purchase' AS ok", "ts")
+            q = live.job_attempts(stream).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+            if limit:
+                q = q.start()
+                while not any(p["numInputRows"] for p in q.recentProgress):
+                    q.awaitTermination(1)
+            else:
+                q = q.start()
+                q.processAllAvailable()
+            q.stop()
+        got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("job_id", "event_id", "verdict", "due_ms").collect()))
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert got == want and {g[2] for g in got} == {"RETRY", "FAILED", "COMPLETED", "DUPLICATE"}
+    assert batch.KEEP_FAILED_MS == 7 * day
+
+
+def test_attempts_by_hand():
+    day = 24 * 3_600_000
+    steps = [(0, False, "RETRY", 1000), (1000, False, "RETRY", 3000), (3000, False, "FAILED", 3000 + 7 * day), (4000, True, "DUPLICATE", 3000 + 7 * day), (3000 + 7 * day, False, "RETRY", 4000 + 7 * day), (4000 + 7 * day, True, "COMPLETED", 4000 + 8 * day)]
+    state = (0, None)
+    for ts, ok, verdict, due in steps:
+        got, at, state = batch.attempt(state, ts, ok)
+        assert (got, at) == (verdict, due)
