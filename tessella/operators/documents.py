@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from tessella.functions import text as tx
 from tessella.functions.numbers import rate
 
-LCS_CELLS = 4_000_000
-
 
 def multiset_overlap(pairs: DataFrame, key: str, a: Column, b: Column, whole: str = "union") -> DataFrame:
     """key, similarity: shared over all (`union`) or over the larger side (`max`), counting repeats; a and b are arrays of strings.
@@ -34,32 +32,48 @@ def _tokens(text: str) -> list[str]:
     return [w for w in (re.sub(r"[^a-zA-Z0-9_]", "", x) for x in text.lower().split()) if w]
 
 
-def sequence_similarity(a: str, b: str) -> float:
-    """Longest common subsequence of tokens over the longer side; above LCS_CELLS table cells shared pairs of tokens instead."""
+def common_subsequence(x: list[str], y: list[str]) -> int:
+    """Length of the longest common subsequence: a bit for each item of the shorter list, a row of the table for each of the longer.
+
+    A zero bit says that the table's row grows there; one addition carries all steps of a row, so lists of 20,000 items
+    take 20,000 operations on numbers of 20,000 bits and no table.
+    """
+    x, y = sorted((x, y), key=len)
+    at: dict[str, int] = {}
+    for i, w in enumerate(x):
+        at[w] = at.get(w, 0) | 1 << i
+    whole = (1 << len(x)) - 1
+    row = whole
+    for w in y:
+        if hit := row & at.get(w, 0):
+            row = ((row + hit) | (row ^ hit)) & whole
+    return len(x) - row.bit_count()
+
+
+def sequence_similarity(a: str, b: str, cells: int | None = None) -> float:
+    """Longest common subsequence of tokens over the longer side, 1 for equal texts, 0 where one has no tokens.
+
+    cells: pairs whose lengths multiply to more take shared pairs of neighbours instead; None, the default, takes no such pair.
+    """
     if a == b:
         return 1.0
     x, y = _tokens(a), _tokens(b)
     if not x or not y:
         return 0.0
-    if len(x) * len(y) > LCS_CELLS:
+    if cells is not None and len(x) * len(y) > cells:
         if min(len(x), len(y)) < 2:
             return float(x == y)
         p, q = Counter(zip(x, x[1:], strict=False)), Counter(zip(y, y[1:], strict=False))
         return sum((p & q).values()) / max(len(x) - 1, len(y) - 1)
-    ids: dict[str, int] = {}
-    u, v = (np.array([ids.setdefault(w, len(ids)) for w in t]) for t in sorted((x, y), key=len))
-    row = np.zeros(len(u) + 1, np.int64)
-    for w in v:  # the running maximum is what the left neighbour adds to a row
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(u == w, row[:-1] + 1, 0)))
-    return float(row[-1]) / max(len(x), len(y))
+    return common_subsequence(x, y) / max(len(x), len(y))
 
 
-def sequence_similarities(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """key, similarity; the table of a subsequence has no built-in, so pairs go through Arrow batches."""
+def sequence_similarities(pairs: DataFrame, key: str, a: str, b: str, cells: int | None = None) -> DataFrame:
+    """key, similarity of sequence_similarity; a subsequence has no built-in, so pairs go through Arrow batches. A null is an empty text."""
 
     def run(batches):
         for batch in batches:
-            s = [sequence_similarity(x or "", y or "") for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            s = [sequence_similarity(x or "", y or "", cells) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.record_batch([batch.column(0), pa.array(s, pa.float64())], [key, "similarity"])
 
     return pairs.select(key, a, b).mapInArrow(run, f"{key} {pairs.schema[key].dataType.simpleString()}, similarity double")
