@@ -62,6 +62,20 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 30 END AS page", "'loc' || CAST(event_id % 11 AS VARCHAR(9)) AS location",
         "'message ' || CAST(event_id % 17 AS VARCHAR(9)) AS message", "MS(ts) AS ts_ms", "props", "event_type", "value",
     ]),
+    "pdf_objects": ("lineitem", [
+        "l_orderkey AS doc", "CAST(l_linenumber AS VARCHAR(9)) || '/' || CAST(l_partkey AS VARCHAR(9)) || '/' || CAST(l_suppkey AS VARCHAR(9)) AS object",
+        f"{_pick('l_linenumber', ('note', 'layers', 'default-layers', 'attachment', 'form-config', 'encryption', 'xobject'))} AS kind",
+        "CASE l_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE 'n' || CAST(l_suppkey % 2 AS VARCHAR(9)) END AS id",
+        f"{_pick('l_partkey', ('Layer', ' ', None, 'Notes', 'Print'))} AS name", "l_suppkey % 3 = 0 AS has_state",
+        "CASE WHEN l_partkey % 2 = 0 THEN 'a.txt' END AS file_name", "CASE WHEN l_suppkey % 2 = 0 THEN 'b.txt' END AS unicode_name",
+        f"'<xfa><dynamicRender>' || {_pick('l_partkey', ('required', 'forbidden', 'optional'))} || '</dynamicRender></xfa>' AS content",
+        "CASE WHEN l_partkey % 4 > 0 THEN CAST(l_partkey * 64 + l_suppkey AS BIGINT) END AS permissions", f"{_pick('l_suppkey', ('Form', 'Image', 'Reference'))} AS subtype",
+    ]),
+    "pdf_tables": ("orders", [
+        "o_orderkey AS table_id", "o_orderkey % 4 <> 0 AS file_tagged", "o_custkey % 5 <> 0 AS tagged", "o_orderkey % 8 + 1 AS n_rows", "o_custkey % 7 + 1 AS n_columns",
+        "o_orderkey % 5 < 3 AS header_row", "o_custkey % 3 = 0 AS header_column", "o_custkey % 2 = 0 AS scoped", "o_orderkey % 11 = 0 AS irregular",
+        f"{_pick('o_custkey', (None, 'Totals', None))} AS summary", f"{_pick('o_orderkey', ('Table 1', None, None, None))} AS caption",
+    ]),
 }
 
 _MS = re.compile(r"MS\((\w+)\)")
