@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import citation_numbers
+from tessella.operators.relational import numbers_between
 
 
 def exploded(citations: DataFrame, key: str, text: str, order: str) -> DataFrame:
@@ -20,15 +21,12 @@ def sequence_issues(numbers: DataFrame, key: str, order: list[str]) -> DataFrame
     highest = F.max("number").over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
     once = once.withColumn("following", following).withColumn("before", highest)
 
-    def issue(kind: str, number: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), number.alias("number"))
-
     number = F.col("number")
-    none = F.array().cast(f"array<struct<kind:string,number:{numbers.schema['number'].dataType.simpleString()}>>")
-    missing = F.when(F.col("following") > number + 1, F.transform(F.sequence(number + 1, F.col("following") - 1), lambda x: issue("missing", x))).otherwise(none)
-    reused = F.when(F.col("n") > 1, F.array(issue("reused", number))).otherwise(none)
-    late = F.when(number < F.col("before"), F.array(issue("out-of-order", number))).otherwise(none)
-    return once.select(key, F.explode(F.concat(missing, reused, late)).alias("issue")).select(key, "issue.*")
+    kind = numbers.schema["number"].dataType
+    missing = numbers_between(once.where(F.col("following") > number + 1).select(key, "number", "following"), number + 1, F.col("following") - 1, "_missing")
+    missing = missing.select(key, F.lit("missing").alias("kind"), F.col("_missing").cast(kind).alias("number"))
+    kinds = F.filter(F.array(F.when(F.col("n") > 1, "reused"), F.when(number < F.col("before"), "out-of-order")), lambda k: k.isNotNull())
+    return missing.unionByName(once.select(key, F.explode(kinds).alias("kind"), "number"))
 
 
 def gaps(numbers: DataFrame, key: str) -> DataFrame:

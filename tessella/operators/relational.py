@@ -94,10 +94,21 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def numbers_between(df: DataFrame, low: Column, high: Column, name: str, step: int = 65_536) -> DataFrame:
+    """df + name: a row for each number from low to high, both included, none where high is lower or a bound is null.
+
+    Numbers come in stretches of `step`, so a wide span is never one array: of a billion it makes arrays of 65,536.
+    """
+    wide = df.withColumns({"_low": low.cast("long"), "_high": high.cast("long")}).where("_low <= _high")
+    cut = wide.withColumn("_from", F.explode(F.sequence("_low", "_high", F.lit(step).cast("long"))))
+    each = F.explode(F.sequence("_from", F.least(F.col("_from") + (step - 1), "_high")))
+    return cut.withColumn(name, each).drop("_low", "_high", "_from")
+
+
 def missing_numbers(df: DataFrame, keys: list[str], number: str, last: str) -> DataFrame:
-    """keys, number of 1..last that a group lacks."""
+    """keys, number of 1..last that a group lacks; a group whose last is below 1 or null lacks none."""
     spans = df.groupBy(*keys).agg(F.max(last).alias("_last"))
-    every = spans.select(*keys, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_last").cast("long"))).alias(number))
+    every = numbers_between(spans, F.lit(1), F.col("_last"), number).select(*keys, number)
     return every.join(df.select(*keys, F.col(number).cast("long").alias(number)).distinct(), [*keys, number], "left_anti")
 
 

@@ -76,3 +76,27 @@ def sampled_stretches(pages: DataFrame, keys: list[str], least: int = 3, min_zon
     thin = pages.where((F.col("n_zones") > min_zones) & (F.col("n_confirmed") <= max_confirmed))
     island = F.col("page_number") - F.row_number().over(Window.partitionBy(*keys).orderBy("page_number"))
     return thin.withColumn("island", island).groupBy(*keys, "island").agg(F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"), F.count("*").alias("n_pages")).where(F.col("n_pages") >= least).drop("island")
+
+
+def _tenths(x: Column) -> Column:
+    """A rate with one decimal, half up; empty where there is none."""
+    t = F.floor(x * 10 + 0.5)
+    return F.concat((t / 10).cast("long").cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
+def _shares(total: Column, names: tuple[str, ...] = ("confirmed", "corrected", "rejected")) -> list[Column]:
+    return [_tenths(F.when(total > 0, F.col(c) * 100.0 / total)).alias(f"{c[:-2].capitalize()}%") for c in names]
+
+
+def report_blocks(sessions: DataFrame, decisions: DataFrame) -> list[tuple[str, DataFrame, list[str]]]:
+    """(title, rows, order) of a report's three blocks, for sinks/blocks: operators by sessions, pages and zone types by decisions."""
+    done = F.col("confirmed") + F.col("corrected") + F.col("rejected")
+    sums = [F.sum(c).alias(c) for c in ("reviewed", "active_ms", "confirmed", "corrected", "rejected")]
+    per_hour = _tenths(F.when(F.col("active_ms") > 0, F.col("reviewed") * 3600000.0 / F.col("active_ms"))).alias("ZonesPerHour")
+    people = sessions.groupBy("operator_id").agg(*sums, F.max("started_ms").alias("last"))
+    people = people.select(F.col("operator_id").alias("Operator"), F.col("reviewed").alias("ZonesReviewed"), F.col("active_ms").alias("ActiveMs"), per_hour, *_shares(done), F.col("last").alias("LastActivity"))
+    counts = [F.count_if(F.col("decision") == c.upper()).alias(c) for c in ("confirmed", "corrected", "rejected")]
+    pages = decisions.groupBy(F.col("page_number").alias("Page")).agg(F.count("*").alias("Zones"), *[c.alias(n) for c, n in zip(counts, ("Confirmed", "Corrected", "Rejected"), strict=True)])
+    kinds = decisions.groupBy("zone_type").agg(F.count("*").alias("total"), *counts)
+    kinds = kinds.select(F.col("zone_type").alias("ZoneType"), F.col("total").alias("Total"), *[F.col(c).alias(c.capitalize()) for c in ("confirmed", "corrected", "rejected")], *_shares(F.col("total")))
+    return [("Operator Breakdown", people, ["Operator"]), ("Page Breakdown", pages, ["Page"]), ("Zone Type Breakdown", kinds, ["ZoneType"])]

@@ -8,6 +8,7 @@ from tessella.functions import text as tx
 from tessella.operators import pdf_objects as po
 from tessella.operators import reference_search as rs
 from tessella.operators import rule_functions as rf
+from tessella.operators import timesheets as tim
 from tessella.plans.content import _TOKENS
 from tessella.plans.registry import query
 from tessella.sources.tables import table, view
@@ -93,3 +94,29 @@ _W = "floor(1000.0 * ln(1.0 + (works - df + 0.5) / (df + 0.5)) * (2.2 * tf) / (t
 def _(spark, d):
     index = rs.postings(table(spark, d, "benchmark"), "item_id", tx.tokenise(F.col("text")))
     return rs.search(table(spark, d, "documents"), "doc_id", tx.tokenise(F.col("text")), index)
+
+
+def _tenths_sql(x: str) -> str:
+    t = f"CAST(floor(({x}) * 10 + 0.5) AS BIGINT)"
+    return f"({t} // 10) || '.' || ({t} % 10)"
+
+
+def _shares_sql(total: str) -> str:
+    return " || ',' || ".join(f"coalesce({_tenths_sql(f'{c} * 100.0 / nullif({total}, 0)')}, '')" for c in ("confirmed", "corrected", "rejected"))
+
+
+@query(
+    "snk8_three_blocks",
+    "WITH p AS (SELECT operator_id, sum(reviewed) AS reviewed, sum(active_ms) AS active_ms, sum(confirmed) AS confirmed, sum(corrected) AS corrected, sum(rejected) AS rejected, max(started_ms) AS last FROM sessions GROUP BY 1),"
+    " g AS (SELECT page_number, zone_type, count(*) AS n, count(*) FILTER (decision = 'CONFIRMED') AS confirmed, count(*) FILTER (decision = 'CORRECTED') AS corrected, count(*) FILTER (decision = 'REJECTED') AS rejected FROM decisions GROUP BY GROUPING SETS ((page_number), (zone_type))),"
+    " l AS (SELECT 0 AS block, operator_id || ',' || reviewed || ',' || active_ms || ',' || coalesce(" + _tenths_sql("reviewed * 3600000.0 / nullif(active_ms, 0)") + ", '') || ',' || " + _shares_sql("(confirmed + corrected + rejected)") + " || ',' || last AS value FROM p"
+    " UNION ALL SELECT 1, page_number || ',' || n || ',' || confirmed || ',' || corrected || ',' || rejected FROM g WHERE page_number IS NOT NULL"
+    " UNION ALL SELECT 2, zone_type || ',' || n || ',' || confirmed || ',' || corrected || ',' || rejected || ',' || " + _shares_sql("n") + " FROM g WHERE zone_type IS NOT NULL"
+    " UNION ALL VALUES (0, '# Operator Breakdown'), (0, 'Operator,ZonesReviewed,ActiveMs,ZonesPerHour,Confirm%,Correct%,Reject%,LastActivity'), (0, ''), (1, '# Page Breakdown'), (1, 'Page,Zones,Confirmed,Corrected,Rejected'), (1, ''), (2, '# Zone Type Breakdown'), (2, 'ZoneType,Total,Confirmed,Corrected,Rejected,Confirm%,Correct%,Reject%')) SELECT CAST(block AS INTEGER) AS block, value FROM l",
+    "sessions decisions",
+)
+def _(spark, d):
+    """The lines that write_report() puts into one file."""
+    from tessella.sinks.blocks import report_lines
+
+    return report_lines(tim.report_blocks(view(spark, d, "sessions"), view(spark, d, "decisions")))

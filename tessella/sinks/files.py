@@ -26,10 +26,14 @@ def _cell(c: Column) -> Column:
     return F.when(s.rlike('[",\\n]'), F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s)
 
 
+def csv_line(columns: list[str], guard: bool = False) -> Column:
+    """A row's columns as a delimited line, quoted on comma, quote and line feed only."""
+    return F.concat_ws(",", *[_cell(csv_safe(F.col(c)) if guard else F.col(c)) for c in columns])
+
+
 def csv_lines(df: DataFrame, guard: bool = False) -> DataFrame:
-    """One column `value`: rows as delimited lines, quoted on comma, quote and line feed only."""
-    cells = [_cell(csv_safe(F.col(c)) if guard else F.col(c)) for c in df.columns]
-    return df.select(F.concat_ws(",", *cells).alias("value"))
+    """One column `value`: rows as lines of csv_line()."""
+    return df.select(csv_line(df.columns, guard).alias("value"))
 
 
 def write_label_files(lines: DataFrame, path: str) -> None:
