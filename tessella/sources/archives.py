@@ -10,7 +10,6 @@ import io
 import posixpath
 import re
 import zipfile
-import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -18,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.sources import pdf_text
+
 PART = "path string, part string, ordinal int, kind string, content string, error string"
 _NAMES = ["path", "part", "ordinal", "kind", "content", "error"]
 Part = tuple[str, str, str]
@@ -99,18 +100,11 @@ def xlsx_parts(raw: bytes) -> Iterator[Part]:
 
 
 def pdf_parts(raw: bytes) -> Iterator[Part]:
-    """A part for each content stream: the strings that it shows. Fonts with encodings of their own are not decoded."""
+    """A part for each content stream: the strings that it shows, codes read through the map of their font."""
     if not raw.startswith(b"%PDF"):
         raise ValueError("not a PDF")
-    for n, m in enumerate(re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", raw, re.S)):
-        try:
-            body = zlib.decompress(m[1])
-        except zlib.error:
-            body = m[1]
-        if b"BT" in body:
-            shown = re.findall(rb"\(((?:\\.|[^()\\])*)\)\s*(?:Tj|'|\")|\[((?:\\.|[^\]])*)\]\s*TJ", body)
-            texts = [a or b"".join(re.findall(rb"\(((?:\\.|[^()\\])*)\)", b)) for a, b in shown]
-            yield f"stream{n}", "text", re.sub(r"\\([()\\])", r"\1", b" ".join(texts).decode("latin-1"))
+    for name, text in pdf_text.streams(raw):
+        yield name, "text", text
 
 
 PARSERS: dict[str, Callable[[bytes], Iterator[Part]]] = {"epub": epub_parts, "docx": docx_parts, "jats": jats_parts, "xlsx": xlsx_parts, "pdf": pdf_parts}
