@@ -28,8 +28,6 @@ CAPACITY, END_ID = 2048, 0
 BAND = 4
 #: After so many rounds of a band all pieces that no gap holds get room at once, not only as many sequences as their tokens fill.
 PATIENCE = 4
-#: Rows of a round up to which one task sweeps them.
-ONE_TASK = 30_000
 
 
 def _sweep(batches) -> Iterator[pa.RecordBatch]:
@@ -94,21 +92,18 @@ def carry(left: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, in
     return out
 
 
-def match(slots: DataFrame, pieces: DataFrame, one: bool = False) -> DataFrame:
+def match(slots: DataFrame, pieces: DataFrame) -> DataFrame:
     """(row, size, seq) of all pieces(row, size): each takes its successor among slots(seq, size), longer pieces first; null without one.
 
-    Of a slot that nothing was put into no piece is left that it would hold. one: the rows are few and swept by one task,
-    which has nothing to carry on.
+    Of a slot that nothing was put into no piece is left that it would hold. How many tasks sweep follows from the rows'
+    bytes, as for any shuffle.
     """
     spark = pieces.sparkSession
     both = slots.select("size", F.lit(False).alias("piece"), F.col("seq").alias("id")).unionByName(pieces.select("size", F.lit(True).alias("piece"), F.col("row").alias("id")))
     # Many rows may have one size: the id's hash lets ranges part them.
     order = [F.col("size").desc(), F.col("piece"), F.xxhash64("id")]
-    dealt = both.coalesce(1) if one else both.repartitionByRange(*order)
-    swept = dealt.sortWithinPartitions(*order).mapInArrow(_sweep, "part int, what int, rank long, seq long, row long, size long")
+    swept = both.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sweep, "part int, what int, rank long, seq long, row long, size long")
     swept = common.materialize(swept, "swept")
-    if one:
-        return swept.where("what < 2").select("row", "size", "seq")
     left: dict[int, list[int]] = {}
     for part, what, n in swept.where("what > 0").groupBy("part", "what").count().collect():
         left.setdefault(part, [0, 0])[what - 1] = n
@@ -154,16 +149,14 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             stuck = {k: m for k, m in waits.items() if k > max(holds, default=0)}
             if stuck:
                 by_tokens, by_pieces = -(-sum(k * m for k, m in stuck.items()) // capacity), -(-sum(stuck.values()) // (capacity // most))
-                # One task takes new sequences one after another: what it leaves empty is none.
-                new = by_tokens if rounds <= PATIENCE and 2 * n > ONE_TASK else by_pieces
+                new = by_tokens if rounds <= PATIENCE else by_pieces
                 fresh = spark.range(-opened - new, -opened).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
                 opened, bins, slots = opened + new, bins.unionByName(fresh), slots.unionByName(fresh)
             gaps = sum(holds.values()) + new
-            one = 2 * n + gaps <= ONE_TASK
             # A gap that holds several of the longest pieces takes as many of them, where pieces outnumber gaps.
-            times = F.greatest(F.lit(1), F.least(F.floor(F.col("gap") / most), F.lit(1 if one else -(-n // gaps)))).cast("int")
+            times = F.greatest(F.lit(1), F.least(F.floor(F.col("gap") / most), F.lit(-(-n // gaps)))).cast("int")
             slots = slots.withColumn("times", times).select(F.floor(F.col("gap") / F.col("times")).alias("size"), F.explode(F.array_repeat("seq", F.col("times"))).alias("seq"))
-            found = match(slots, band, one)
+            found = match(slots, band)
             put = found.where("seq IS NOT NULL")
             matched += found.inputFiles()
             band = found.where("seq IS NULL").select("row", "size")

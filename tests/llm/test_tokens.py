@@ -86,9 +86,17 @@ def _best_fit_decreasing(sizes, capacity):
     return len(gaps)
 
 
-@pytest.mark.parametrize("one_task", [30_000, 0])
-def test_places_fill_as_few_sequences_as_one_by_one(spark, monkeypatch, one_task):
-    monkeypatch.setattr(packing, "ONE_TASK", one_task)  # 0: every round is swept by many tasks
+@pytest.fixture(params=["true", "false"])
+def coalesced(spark, request):
+    """Whether few rows are left to one task, as by default, or each round is swept by all of them."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, request.param)
+    yield request.param == "true"
+    spark.conf.set(name, before)
+
+
+def test_places_fill_as_few_sequences_as_one_by_one(spark, coalesced):
     rng = np.random.default_rng(0)
     for capacity, sizes in ((7, rng.integers(1, 8, 300)), (2048, np.clip(rng.lognormal(np.log(340), 1, 900).astype(int), 1, 2048)), (64, np.r_[np.full(200, 20), rng.integers(1, 65, 200)])):
         rows = spark.createDataFrame([(i, int(x)) for i, x in enumerate(sizes)], "row long, size long").repartition(4)
@@ -102,7 +110,7 @@ def test_places_fill_as_few_sequences_as_one_by_one(spark, monkeypatch, one_task
     assert packing.place(rows.limit(0), 8).count() == 0
 
 
-def test_matches_are_successors(spark):
+def test_matches_are_successors(spark, coalesced):
     rng = np.random.default_rng(1)
     for n in (1, 40, 400):
         gaps, sizes = rng.integers(1, 30, n).tolist(), rng.integers(1, 30, 2 * n).tolist()
@@ -116,18 +124,17 @@ def test_matches_are_successors(spark):
             want.append((s, i < len(free)))
             if i < len(free):
                 bisect.insort(free, free.pop(i) - s)
-        for one in (False, True):
-            got = packing.match(slots, pieces, one).collect()
-            assert sorted((r["row"], r["size"]) for r in got) == [*enumerate(sizes)]
-            put = {}
-            for r in got:
-                put.setdefault(r["seq"], []).append(r["size"])
-            left = put.pop(None, [])
-            assert all(sum(v) <= gaps[k] for k, v in put.items())
-            untouched = [g for k, g in enumerate(gaps) if k not in put]
-            assert not left or max(untouched, default=0) < min(left)
-            if one:
-                assert sorted((r["size"], r["seq"] is not None) for r in got) == sorted(want)
+        got = packing.match(slots, pieces).collect()
+        assert sorted((r["row"], r["size"]) for r in got) == [*enumerate(sizes)]
+        put = {}
+        for r in got:
+            put.setdefault(r["seq"], []).append(r["size"])
+        left = put.pop(None, [])
+        assert all(sum(v) <= gaps[k] for k, v in put.items())
+        untouched = [g for k, g in enumerate(gaps) if k not in put]
+        assert not left or max(untouched, default=0) < min(left)
+        if coalesced:
+            assert sorted((r["size"], r["seq"] is not None) for r in got) == sorted(want)
 
 
 def test_pack_over_rows(spark):
