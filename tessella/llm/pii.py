@@ -295,22 +295,26 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Valid matches of all kinds are found in the text as it was and replaced within the row; of those that overlap the whole
     stretch gives way to the kind of the longest. Discovered tokens are replaced by a join with the rows that have any, by
-    doc_id: rows that share one share its tokens. Null texts stay null; an empty table stays empty.
+    doc_id: rows that share one share its tokens. Rows without an id go by their text instead, so that only equal texts among
+    them share tokens. Null texts stay null; an empty table stays empty.
     """
-    rows, finds = scan(docs, id_col, text_col)
+    of = common.fresh(docs, "tess_of")
+    whose = F.when(F.col(id_col).isNull(), F.concat(F.lit("text "), F.sha2(common.text_of(text_col), 256))).otherwise(F.concat(F.lit("id "), F.col(id_col).cast("string")))
+    keyed = docs.withColumn(of, whose)
+    rows, finds = scan(keyed, of, text_col)
     found = occurrences(finds)
     known = common.materialize(discover(found, telling=telling_words(docs, found, text_col=text_col)).select("token"), "discovered")
     text = F.col(text_col)
     trigger = "|".join(_TRIGGER.values())
-    out = docs.withColumn(text_col, F.when(text.rlike(trigger), _replaced(text)).otherwise(text))
+    out = keyed.withColumn(text_col, F.when(text.rlike(trigger), _replaced(text)).otherwise(text))
     if known.isEmpty():
-        return out
+        return out.select(*docs.columns)
     key, gone = common.fresh(docs, "tess_id"), common.fresh(docs, "tess_tokens")
     has = found.where(~F.col("seed")).join(known, "token").join(rows, "row").groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("token").alias(gone))
     has = common.materialize(has, "tokens")
     # Where ids and tokens are few they are sent to the texts; texts move only where they are not.
     size = has.agg(F.coalesce(F.sum(F.length(F.array_join(gone, " ")) + 64), F.lit(0))).first()[0]
-    out = out.join(F.broadcast(has) if size <= SENT_BYTES else has, F.col(id_col).eqNullSafe(F.col(key)), "left")
+    out = out.join(F.broadcast(has) if size <= SENT_BYTES else has, F.col(of) == F.col(key), "left")
     swapped = _swapped(text, TOKEN, lambda m: F.when(F.array_contains(gone, _bare(m)), F.lit("[OTHER]")).otherwise(m))
     return out.withColumn(text_col, F.when(F.col(gone).isNotNull(), swapped).otherwise(text)).select(*docs.columns)
 

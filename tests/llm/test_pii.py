@@ -231,3 +231,14 @@ def test_mask_replaces_the_spans_of_the_text_as_it_was(spark):
     for i, t in enumerate(texts):
         if t is not None and "|" not in (w := want(t)):
             assert got[i] == w, repr(t)
+
+
+def test_mask_of_rows_without_ids(spark):
+    known = ["joe@x.com", "amy@y.org", "bob@z.net", "10.1.2.3"]
+    texts = [f"please quote member id: {x} thanks" for x in [*known, "ZX81-4432", "ZX81-4432", "QQ-90817"]] + [None, "", "plain words"]
+    docs = spark.createDataFrame([(None, t, i) for i, t in enumerate(texts)], "doc_id string, text string, tess_of int")
+    got = {r["tess_of"]: r["text"] for r in pii.mask(docs).collect()}
+    assert len(got) == len(texts) and pii.mask(docs).columns == docs.columns
+    assert {got[i] for i in range(4)} == {"please quote member id: [EMAIL] thanks", "please quote member id: [IP] thanks"}
+    assert {got[i] for i in (4, 5, 6)} == {"please quote member id: [OTHER] thanks"}
+    assert [got[i] for i in (7, 8, 9)] == [None, "", "plain words"]
