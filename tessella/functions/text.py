@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 def tokenise(text: Column) -> Column:
     """Lower case, cut at white space, without characters other than A-Z, a-z, 0-9 and _, without empty tokens."""
-    parts = F.transform(F.split(F.lower(text), r"\s+"), lambda t: F.regexp_replace(t, "[^a-zA-Z0-9_]", ""))
-    return F.filter(parts, lambda t: t != "")
+    kept = F.regexp_replace(F.lower(text), r"[^a-z0-9_\s]+", "")
+    return F.filter(F.split(kept, r"\s+"), lambda t: t != "")
 
 
 def bigrams(tokens: Column) -> Column:

@@ -8,6 +8,7 @@ from collections import Counter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,17 +16,48 @@ from tessella.functions import text as tx
 from tessella.functions.numbers import rate
 
 
-def multiset_overlap(pairs: DataFrame, key: str, a: Column, b: Column, whole: str = "union") -> DataFrame:
+#: Items of both sides that are counted at once within an Arrow batch; more rows follow in further turns.
+OVERLAP_ITEMS = 1_000_000
+
+
+def _shared_items(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
+    """How many items the lists of each row share, counting repeats."""
+    codes = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode(null_encoding="encode")
+    at, many = codes.indices.to_numpy(), max(len(codes.dictionary), 1)
+    sizes = [np.diff(x.offsets.to_numpy()) for x in (a, b)]
+    rows = np.concatenate([np.repeat(np.arange(len(a)), n) for n in sizes])
+    spots = rows * many + at
+    cut = int(sizes[0].sum())
+    (x, nx), (y, ny) = (np.unique(s, return_counts=True) for s in (spots[:cut], spots[cut:]))
+    both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return np.bincount(both // many, np.minimum(nx[i], ny[j]), len(a)).astype(np.int64)
+
+
+def multiset_overlap(pairs: DataFrame, key: str, a: Column, b: Column, whole: str = "union", at_once: int = OVERLAP_ITEMS) -> DataFrame:
     """key, similarity: shared over all (`union`) or over the larger side (`max`), counting repeats; a and b are arrays of strings.
 
-    Both sides are exploded and counted by key and item, so nothing of a pair's size is held at once.
+    Both sides stand in one row, so no row moves: items of some rows at a time are counted in numpy, at_once of them
+    or one row. A null or empty array shares nothing: similarity 0. Every row of pairs gives one row, repeated keys too.
     """
-    one = pairs.select(key, F.explode(a).alias("t"), F.lit(1).alias("a"), F.lit(0).alias("b"))
-    two = pairs.select(key, F.explode(b).alias("t"), F.lit(0).alias("a"), F.lit(1).alias("b"))
-    counts = one.unionByName(two).groupBy(key, "t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    total = F.sum(F.greatest("a", "b")) if whole == "union" else F.greatest(F.sum("a"), F.sum("b"))
-    found = counts.groupBy(key).agg(rate(F.sum(F.least("a", "b")), total).alias("similarity"))
-    return pairs.select(key).join(found, key, "left").fillna(0.0, ["similarity"])
+    none = F.array().cast("array<string>")
+    sides = pairs.select(key, F.coalesce(a, none).alias("_a"), F.coalesce(b, none).alias("_b"))
+
+    def run(batches):
+        for batch in batches:
+            x, y = batch.column(1), batch.column(2)
+            ends = np.cumsum(pc.list_value_length(x).to_numpy() + pc.list_value_length(y).to_numpy())
+            first = 0
+            while first < batch.num_rows:
+                upto = np.searchsorted(ends, (ends[first - 1] if first else 0) + at_once, "right")
+                n = max(int(upto) - first, 1)
+                p, q = x.slice(first, n), y.slice(first, n)
+                yield pa.record_batch([batch.column(0).slice(first, n), pa.array(_shared_items(p, q)), pc.list_value_length(p).cast("int64"), pc.list_value_length(q).cast("int64")], [key, "_n", "_x", "_y"])
+                first += n
+
+    kind = sides.schema[key].dataType.simpleString()
+    counted = sides.mapInArrow(run, f"`{key}` {kind}, _n bigint, _x bigint, _y bigint")
+    total = F.col("_x") + F.col("_y") - F.col("_n") if whole == "union" else F.greatest("_x", "_y")
+    return counted.select(key, rate(F.col("_n"), total).alias("similarity"))
 
 
 def _tokens(text: str) -> list[str]:

@@ -1,6 +1,9 @@
 """Common subsequences by bits against the table, pairs of long texts, the other measure on request."""
 
 import random
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from tessella.operators import documents as doc
 
@@ -47,3 +50,18 @@ def test_query_by_table(spark, sf):
         if len(x) * len(y) < 100_000:
             want = 1.0 if texts[i] == texts[i + 1] else _table(x, y) / max(len(x), len(y)) if x and y else 0.0
             assert got[i] == want
+
+
+def test_shared_items_by_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.choice("abcdé") for _ in range(rng.randint(0, 9))], [rng.choice("abxdé") for _ in range(rng.randint(0, 9))]) for i in range(300)]
+    rows += [(300, None, ["a"]), (301, [], []), (302, ["a"] * 5000, ["a"] * 3000 + ["b"]), (302, ["q", None], [None, "q"])]
+    df = spark.createDataFrame(rows, "k long, x array<string>, y array<string>")
+    for whole in ("union", "max"):
+        got = sorted((r["k"], round(r["similarity"], 9)) for r in doc.multiset_overlap(df, "k", F.col("x"), F.col("y"), whole, at_once=40).collect())
+        want = []
+        for k, x, y in rows:
+            p, q = Counter(x or []), Counter(y or [])
+            every = sum((p | q).values()) if whole == "union" else max(sum(p.values()), sum(q.values()))
+            want.append((k, round(sum((p & q).values()) / every, 9) if every else 0.0))
+        assert got == sorted(want)
