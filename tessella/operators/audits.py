@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions.labels import lookup
 from tessella.operators import codes
+from tessella.operators.issues import SEVERITY_POINTS as WEIGHTS
 
-#: Points that an issue of a severity takes from 100.
-WEIGHTS = {"critical": 15, "serious": 8, "moderate": 4, "minor": 1}
 #: Criteria of the levels AAA and AA; all others are of level A.
 LEVEL_AAA = ["1.2.6", "1.2.7", "1.2.8", "1.2.9", "1.4.6", "1.4.7", "2.1.3", "2.2.3", "2.2.4", "2.2.5", "2.3.2", "2.4.8", "2.4.9", "2.4.10", "2.5.5", "3.1.3", "3.1.4", "3.1.5", "3.1.6", "3.2.5", "3.3.5", "3.3.6"]
 LEVEL_AA = ["1.2.4", "1.2.5", "1.4.3", "1.4.4", "1.4.5", "2.4.5", "2.4.6", "2.4.7", "3.1.2", "3.2.4", "3.3.3", "3.3.4"]

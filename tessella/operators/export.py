@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.geometry import box, normalised_centre
-from tessella.functions.labels import CANONICAL, canonical
+from tessella.functions.labels import CANONICAL, canonical, final_label
 from tessella.functions.numbers import half_up
 
 
@@ -40,3 +40,20 @@ def model_delta(base: DataFrame, new: DataFrame, step: float = 0.005, worst: flo
     d = domain.join(a, "zone_type", "left").join(b, "zone_type", "left").fillna(0.0, ["was", "is"]).withColumn("delta", F.col("is") - F.col("was"))
     out = d.agg(half_up(F.avg("delta"), 4).alias("mean_delta"), half_up(F.min("delta"), 4).alias("worst_delta"), F.min_by("zone_type", F.struct("delta", "zone_type")).alias("worst_class"))
     return out.withColumn("recommendation", F.when((F.col("mean_delta") >= step) & (F.col("worst_delta") >= worst), "PROCEED").otherwise("HOLD"))
+
+
+def lineage(zones: DataFrame, run: str, page: str, order: list[str]) -> DataFrame:
+    """zones + zone_index (from 0 in each run, by page and order), human_label, final_label.
+
+    Rows are numbered within their page, and pages start where those before them end, so that no task holds a run.
+    zones: run, page, zone_type, operator_label, decision. A null page comes first.
+    """
+    d = F.col("decision")
+    by_page = zones.groupBy(run, page).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(run).orderBy(page).rowsBetween(Window.unboundedPreceding, -1))
+    starts = by_page.select(F.col(run).alias("_run"), F.col(page).alias("_page"), F.coalesce(before, F.lit(0)).alias("_start"))
+    nth = F.row_number().over(Window.partitionBy(run, page).orderBy(*order)) - 1
+    placed = zones.withColumn("_nth", nth).join(starts, F.col(run).eqNullSafe(F.col("_run")) & F.col(page).eqNullSafe(F.col("_page")))
+    human = F.when(d == "CORRECTED", F.col("operator_label")).when(d == "CONFIRMED", F.col("zone_type"))
+    out = placed.withColumns({"zone_index": F.col("_start") + F.col("_nth"), "human_label": human, "final_label": final_label(d, F.col("zone_type"), F.col("operator_label"))})
+    return out.drop("_nth", "_run", "_page", "_start")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.numbers import half_up, pct, rate
+from tessella.operators.kernels import keep_rows
 
 #: Points off for an issue, and weights of rules.
 SEVERITY_POINTS = {"critical": 15, "serious": 8, "moderate": 4, "minor": 1}
@@ -194,23 +194,25 @@ def verification_queue(results: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def three_tier_dedup(matches: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Rows that stay, in order: not one whose rule and span, or span, or text over ten characters a kept row has.
+    """Rows that stay, of columns rule, start, end, match and any others: not one whose rule and span, or span, or text over ten
+    characters a kept row has.
 
-    A dropped row suppresses nothing, so rows are walked in order, per document.
+    A dropped row suppresses nothing, so rows are walked in order, per document. A null is equal to a null; a null text
+    suppresses nothing.
     """
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+    def walk(g: dict[str, list]) -> list[bool]:
         spans, texts, keep = set(), set(), []
-        for rule, start, end, text in zip(pdf["rule"], pdf["start"], pdf["end"], pdf["match"], strict=True):
-            seen = (rule, start, end) in spans or (start, end) in spans or (len(text) > 10 and text in texts)
-            keep.append(not seen)
-            if not seen:
-                spans |= {(rule, start, end), (start, end)}
-                texts |= {text} if len(text) > 10 else set()
-        return pdf[keep]
-
-    return matches.groupBy(*keys).applyInPandas(walk, matches.schema)
+        for span, text in zip(zip(g["start"], g["end"], strict=True), g["match"], strict=True):
+            long = text is not None and len(text) > 10
+            stays = span not in spans and not (long and text in texts)
+            keep.append(stays)
+            if stays:
+                spans.add(span)
+                texts.update([text] if long else [])
+        return keep
+
+    return keep_rows(matches, keys, order, ["start", "end", "match"], walk)
 
 
 def collapse_contents(issues: DataFrame, is_contents: Column, keys: list[str], page: str) -> DataFrame:

@@ -25,6 +25,22 @@ def _starts(batch: pa.RecordBatch, n_keys: int) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _walk(batches: Iterable[pa.RecordBatch], n_keys: int, done: Callable[[pa.RecordBatch, np.ndarray, int], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """What done(batch, starts, end) gives for whole groups; the last group of a batch waits for the next one."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if kept:
+            batch = pa.Table.from_batches([*kept, batch]).combine_chunks().to_batches()[0]
+        starts = _starts(batch, n_keys)
+        if len(starts) > 1:
+            yield from done(batch.slice(0, starts[-1]), starts[:-1], int(starts[-1]))
+        kept = [batch.slice(int(starts[-1]))]
+    for batch in kept:
+        yield from done(batch, np.array([0]), batch.num_rows)
+
+
 def per_group(df: DataFrame, keys: list[str], order: list[str], columns: list[str], kernel: Callable[[Columns], Columns], out: dict[str, str]) -> DataFrame:
     """keys + out columns: kernel gets each group's columns, sorted by order, and gives arrays of one length.
 
@@ -51,17 +67,24 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], columns: list[st
             cols += [pa.array(np.concatenate(made[k]), kinds[out[k]]) for k in out]
             yield pa.record_batch(cols, [*keys, *out])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if kept:
-                batch = pa.Table.from_batches([*kept, batch]).combine_chunks().to_batches()[0]
-            starts = _starts(batch, len(keys))
-            yield from done(batch.slice(0, starts[-1]), starts[:-1], int(starts[-1])) if len(starts) > 1 else ()
-            kept = [batch.slice(int(starts[-1]))]
-        for batch in kept:
-            yield from done(batch, np.array([0]), batch.num_rows)
-
-    return df.select(*names, *[c for c in order if c not in names]).repartition(*keys).sortWithinPartitions(*keys, *order).select(*names).mapInArrow(run, schema)
+    dealt = df.select(*names, *[c for c in order if c not in names]).repartition(*keys).sortWithinPartitions(*keys, *order).select(*names)
+    return dealt.mapInArrow(lambda batches: _walk(batches, len(keys), done), schema)
+
+
+def keep_rows(df: DataFrame, keys: list[str], order: list[str], columns: list[str], kernel: Callable[[dict[str, list]], list[bool]]) -> DataFrame:
+    """The rows of df that kernel keeps; it gets lists of a group's columns, sorted by order, and says for each row whether it stays.
+
+    All columns go through untouched, of whatever type. Groups must fit into memory; null keys are a group.
+    """
+    names = [*keys, *[c for c in df.columns if c not in keys]]
+
+    def done(batch: pa.RecordBatch, starts: np.ndarray, end: int) -> Iterator[pa.RecordBatch]:
+        whole = {c: batch.column(names.index(c)).to_pylist() for c in columns}
+        mask: list[bool] = []
+        for a, b in zip(starts, [*starts[1:], end], strict=True):
+            mask += kernel({c: v[a:b] for c, v in whole.items()})
+        if mask:
+            yield batch.slice(0, end).filter(pa.array(mask, pa.bool_()))
+
+    dealt = df.select(*names).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInArrow(lambda batches: _walk(batches, len(keys), done), dealt.schema).select(*df.columns)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.kernels import per_group
+
 MAX_PAGE, MAX_LIMIT, DEFAULT_LIMIT = 1000, 200, 50
 
 
@@ -122,3 +126,39 @@ def next_numbers(new: DataFrame, base: DataFrame, key: str, number: str, order:
 def sample_rows(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     """n rows that depend on keys and seed alone, by hash order."""
     return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+
+
+def _uniform(seed: int) -> Iterator[float]:
+    """The public generator mulberry32: fractions of 2^32."""
+    whole = 0xFFFFFFFF
+    state = seed & whole
+    while True:
+        state = (state + 0x6D2B79F5) & whole
+        t = (state ^ state >> 15) * (state | 1) & whole
+        t = (t + (t ^ t >> 7) * (t | 61) & whole) ^ t
+        yield (t ^ t >> 14) / 2**32
+
+
+def seeded_places(n: int, seed: int) -> list[int]:
+    """0..n-1 in the order that the generator's shuffle gives them: from the last place down, each swapped with one not after it."""
+    places, draws = list(range(n)), _uniform(seed)
+    for i, u in zip(range(n - 1, 0, -1), draws, strict=False):
+        j = int(u * (i + 1))
+        places[i], places[j] = places[j], places[i]
+    return places
+
+
+def seeded_sample(df: DataFrame, keys: list[str], item: str, n: int, seed: int, most: int | None = None) -> DataFrame:
+    """keys, item, nth: n of each group's distinct items as the seeded shuffle of the sorted items draws them, nth from 0.
+
+    most: items above it aren't drawn. Null items are none; a group with n items or fewer gives all of them. What is drawn
+    depends on the group's items and the seed alone, not on how rows are dealt. A group's distinct items (the pages of
+    a document) are held at once.
+    """
+    kept = df.where(F.col(item).isNotNull() if most is None else F.col(item) <= most).select(*keys, F.col(item).cast("long").alias(item)).distinct()
+
+    def draw(g: dict) -> dict:
+        chosen = seeded_places(len(g[item]), seed)[:n]
+        return {item: g[item][chosen], "nth": np.arange(len(chosen), dtype=np.int64)}
+
+    return per_group(kept, keys, [item], [item], draw, {item: "bigint", "nth": "bigint"})

@@ -75,3 +75,24 @@ def upsert_table(spark, changes: DataFrame, path: str, keys: list[str], version:
     new = f"{path.rstrip('/')}-{version}"
     upsert(base, changes, keys).write.mode("errorifexists").parquet(new)
     return new
+
+
+#: Columns of the lineage of zones, by the names of its file.
+LINEAGE = {
+    "runId": "run_id", "documentName": "document", "completedAt": "completed_at", "pageNumber": "page_number", "zoneId": "zone_id", "zoneIndex": "zone_index", "doclingLabel": "a_label", "pdfxtLabel": "b_label",
+    "reconciliationBucket": "bucket", "aiDecision": "ai_decision", "aiLabel": "ai_label", "aiConfidence": "ai_confidence", "humanDecision": "decision", "humanLabel": "human_label", "verifiedBy": "verified_by", "finalLabel": "final_label",
+}
+
+
+def lineage_lines(zones: DataFrame) -> DataFrame:
+    """completed_at, run_id, zone_index, value: the delimited line of each zone of lineage(), cells that start a formula guarded;
+    sorted by the first three they are the file's lines below its header, which is the keys of LINEAGE."""
+    sure = F.col("ai_confidence")
+    shown = zones.withColumn("ai_confidence", F.when(sure.isNotNull(), F.format_string("%.3f", sure)))
+    return shown.select("completed_at", "run_id", "zone_index", csv_line(list(LINEAGE.values()), guard=True).alias("value"))
+
+
+def write_lineage(zones: DataFrame, path: str) -> None:
+    """The lines by runs in order of their completion, in parts whose names sort like the lines, each with the header."""
+    sorted_lines = lineage_lines(zones).orderBy("completed_at", "run_id", "zone_index")
+    sorted_lines.select(F.col("value").alias(",".join(LINEAGE))).write.mode("overwrite").csv(path, header=True, quote="", escapeQuotes=False, sep="\u0001")
