@@ -8,7 +8,7 @@ no fixed pattern knows them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -229,28 +229,31 @@ def discover(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
     one-sided patterns or the best of its two-sided ones is right, as patterns of one side lie within each other; seeds keep 1.
     Tokens found in a round support new patterns in the next one, until scores settle or for `rounds` rounds.
     """
-    graph = common.materialize(edges(found, telling), "edges")
+    graph = common.materialize(edges(found, telling).groupBy("pattern", "side", "token").agg(F.max("prior").alias("prior")), "edges")
     priors = graph.where("prior > 0").groupBy("token").agg(F.max("prior").alias("prior"))
     priors = common.materialize(priors.withColumn("score", F.col("prior")), "priors")
-    graph = graph.select("pattern", "side", "token").distinct()
+    graph = graph.drop("prior")
+    # Every exchange costs the driver a stage, a thread and another planning of what is left: a round has few of them.
     score, total = priors, 0.0
+    nothing = F.lit(0.0)
     for _ in range(rounds):
-        scored = graph.join(score, "token", "left").select("pattern", "token", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("prior", F.lit(0.0)).alias("prior"))
+        scored = graph.join(score, "token", "left").select("pattern", "token", F.coalesce("score", nothing).alias("score"), F.coalesce("prior", nothing).alias("prior"))
         firm = F.count(F.when((F.col("score") >= min_confidence) | (F.col("prior") > 0), True))
         counting = common.materialize(scored.groupBy("pattern").agg(firm.alias("firm")).where(F.col("firm") >= min_seeds).select("pattern"), "counting").withColumn("counts", F.lit(1.0))
-        stray = graph.join(counting, "pattern", "left").groupBy("token").agg((F.lit(1.0) - F.avg(F.coalesce("counts", F.lit(0.0)))).alias("stray"))
+        stray = F.lit(1.0) - F.avg(F.coalesce("counts", nothing))
+        tokens = scored.join(counting, "pattern", "left").groupBy("token").agg(stray.alias("stray"), F.max("score").alias("score"), F.max("prior").alias("prior"))
         mere = _mere_number(F.col("token")) & (F.col("prior") < 1)
-        for_ = F.sum(F.when(mere, F.lit(0.0)).otherwise(F.col("score")))
+        for_ = F.sum(F.when(mere, nothing).otherwise(F.col("score")))
         against = F.sum(F.when(mere, F.lit(1.0)).otherwise((F.lit(1.0) - F.col("score")) * F.col("stray")))
-        trust = scored.join(counting, "pattern", "left_semi").join(stray, "token").groupBy("pattern").agg((for_ / (for_ + against + 1)).alias("trust"))
+        trust = graph.join(counting, "pattern", "left_semi").join(tokens, "token").groupBy("pattern").agg((for_ / (for_ + against + 1)).alias("trust"))
         trust = trust.where(F.col("trust") >= min_confidence / 2)
-        best = graph.join(trust, "pattern").groupBy("token", "side").agg(F.max("trust").alias("trust"))
-        doubt = best.groupBy("token").agg(F.sum(F.log1p(-F.least("trust", F.lit(0.999)))).alias("doubt"))
-        both = priors.select("token", "prior").join(doubt, "token", "full")
-        prior = F.coalesce("prior", F.lit(0.0))
-        told = F.when(prior < 1, F.lit(1.0) - (F.lit(1.0) - prior) * F.exp(F.coalesce("doubt", F.lit(0.0)))).otherwise(F.lit(1.0))
-        score = common.materialize(both.select("token", prior.alias("prior"), told.alias("score")), "scores")
-        before, total = total, score.agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
+        told = graph.join(trust, "pattern").select("token", nothing.alias("prior"), *[F.when(F.col("side") == x, F.col("trust")).alias(x) for x in ("one", "both")])
+        told = told.unionByName(priors.select("token", "prior"), allowMissingColumns=True).groupBy("token").agg(*[F.max(x).alias(x) for x in ("prior", "one", "both")])
+        doubt = sum(F.log1p(-F.least(F.coalesce(x, nothing), F.lit(0.999))) for x in ("one", "both"))
+        sure = F.when(F.col("prior") < 1, F.lit(1.0) - (F.lit(1.0) - F.col("prior")) * F.exp(doubt)).otherwise(F.lit(1.0))
+        seen = Observation()
+        score = common.materialize(told.select("token", "prior", sure.alias("score")).observe(seen, F.sum("score").alias("total")), "scores")
+        before, total = total, seen.get.get("total") or 0.0
         if abs(total - before) <= 0.001 * total:
             break
     return score.where((F.col("prior") < 1) & (F.col("score") >= min_confidence)).select("token", "score")

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 
-from tessella.llm import pii
+from tessella.llm import common, pii
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -186,6 +186,21 @@ def test_scores_by_brute_force(spark):
     assert want or _scores(graph, pii.ROUNDS, pii.MIN_SEEDS, 0.3, pii.HALF_SEED)
 
 
+def test_rounds_ask_little_of_the_driver(spark):
+    """Every exchange is a job under adaptive execution, and each costs the driver's memory: 64 jobs in all for six rounds at most."""
+    rng = random.Random(12)
+    texts = [" ".join([rng.choice(["id:", "is", "="]), rng.choice([f"a{rng.randrange(40)}@b.org", f"K-{rng.randrange(1000, 1040)}"]), rng.choice(["the", "no"])]) for _ in range(200)]
+    _, finds = pii.scan(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"))
+    found = common.materialize(pii.occurrences(finds), "found")
+    spark.sparkContext.setJobGroup("rounds", "")
+    try:
+        pii.discover(found).collect()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")) <= 64
+        assert pii.discover(found.limit(0)).count() == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_keys_support_each_other_by_their_context(spark):
     rng = random.Random(13)
     keys = [f"{rng.randrange(16**39, 16**40):x}" for _ in range(40)]
