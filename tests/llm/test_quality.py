@@ -38,6 +38,38 @@ def test_rules_on_held_out_labels(spark):
     assert kept[~good].mean() < 0.08
 
 
+def test_threshold_by_brute_force_over_all_scores(spark):
+    rng = np.random.default_rng(5)
+    for n, levels in ((1, 5), (40, 7), (9000, 8000)):
+        score = rng.integers(1, levels, n) / levels
+        good = score + rng.normal(0, 0.2, n) < 0.7
+        got = quality_rules.calibrate(spark.createDataFrame([(float(s), bool(g)) for s, g in zip(score, good, strict=True)], "score double, good boolean"))
+        if good.all() or not good.any():
+            assert got == quality_rules.DEFAULT_THRESHOLD
+            continue
+        edges = np.r_[0.0, np.unique(score), 1.0]
+        cost = [quality_rules.GOOD_WEIGHT * int((good & (score > x)).sum()) + int((~good & (score <= x)).sum()) for x in edges[:-1]]
+        widest = max(b - a for a, b, c in zip(edges, edges[1:], cost, strict=False) if c == min(cost))
+        assert any(c == min(cost) and b - a == widest and got == (a + b) / 2 for a, b, c in zip(edges, edges[1:], cost, strict=False))
+
+
+def test_every_labelled_row_counts(spark):
+    """9,000 labelled rows, of which no 4,000 tell the median: every one has a say in usual values, leaves and threshold."""
+    docs = spark.range(9000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 60), i -> repeat('x', 1 + CAST((id * 7919 + i * i) % 9 AS INT)) || i || '-' || id)) AS text")
+    labels = spark.range(9000).selectExpr("id AS doc_id", "CAST(id % 10 > 0 AS INT) AS quality")
+    rules = quality_rules.fit(docs, labels)
+    counts = textstats.table([r[0] for r in docs.select("text").collect()])
+    shares = quality_rules.shares(counts)
+    assert np.allclose(rules.usual[0], np.quantile(shares[:, :2], 0.99, axis=0)) and np.allclose(rules.usual[1], np.median(shares[:, 2:], 0))
+    half = [r[0] for r in docs.selectExpr("pmod(xxhash64(CAST(doc_id AS STRING)), 2) = 0").collect()]
+    seen = quality_rules.points(counts[np.array(half)], rules.usual)
+    for at, (feature, _, _, _, depth) in zip(rules.forest.leaves(seen), rules.forest.trees, strict=True):
+        n = np.bincount(at, minlength=len(feature)) / len(seen) * rules.forest.size
+        big = (feature < 0) & (n > 2)
+        more = quality_rules._usual_depth(n[big])
+        assert big.any() and np.allclose(depth[big] - more, np.round(depth[big] - more))
+
+
 def test_path_lengths_by_brute_force():
     rng = np.random.default_rng(3)
     rows = rng.random((200, 4))
