@@ -8,6 +8,7 @@ the smallest number.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -22,6 +23,8 @@ CHANNELS = {"twitter": "twitter.com/", "facebook": "facebook.com/", "instagram":
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Elements of a method list that make a book one of recipes, and numbered paragraphs in a row that should be such a list.
 RECIPE_MARKS, NUMBERED_RUN = 3, 3
+#: Nodes and characters of pages that one Arrow batch holds, about: a batch a page costs more than its scan.
+BATCH_NODES, BATCH_CHARS = 1 << 14, 1 << 22
 
 _TOKEN = re.compile(r"<!--.*?-->|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][\w:.-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -82,26 +85,38 @@ def scan(html: str) -> list[list]:
     return out
 
 
+def node_batches(batches: Iterable[pa.RecordBatch], n_keys: int, keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The nodes of pages, with their keys; many small pages share a batch. batches: keys, then the page's markup."""
+    names = [*keys, *[n for n, _ in _FIELDS]]
+
+    def rows(batch: pa.RecordBatch, at: list[int], found: list[list]) -> pa.RecordBatch:
+        of = pa.array(at, pa.int64())
+        return pa.record_batch([*[batch.column(k).take(of) for k in range(n_keys)], *[pa.array(c, t) for c, (_, t) in zip(zip(*found, strict=True), _FIELDS, strict=True)]], names)
+
+    for batch in batches:
+        at, found, chars = [], [], 0
+        for i, html in enumerate(batch.column(n_keys).to_pylist()):
+            nodes = scan(html or "")
+            at += [i] * len(nodes)
+            found += nodes
+            chars += len(html or "")
+            if found and (len(found) >= BATCH_NODES or chars >= BATCH_CHARS):
+                yield rows(batch, at, found)
+                at, found, chars = [], [], 0
+        if found:
+            yield rows(batch, at, found)
+
+
 def elements(files: DataFrame, keys: list[str], content: str) -> DataFrame:
     """keys and the columns of scan() for every node of every page, with classes and types (of epub:type) as arrays.
 
     A null page has no nodes; repeated pages of one key give repeated nodes, so keys should name a page.
     """
     fields = ", ".join([f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys] + ["node int, last int, parent int, place int, depth int, tag string, attrs map<string,string>, text string, closed boolean"])
-    names = [*keys, *[n for n, _ in _FIELDS]]
-
-    def run(batches):
-        for batch in batches:
-            for i, html in enumerate(batch.column(len(keys)).to_pylist()):
-                found = scan(html or "")
-                if found:
-                    at = pa.array([i] * len(found))
-                    yield pa.record_batch([*[batch.column(k).take(at) for k in range(len(keys))], *[pa.array(c, t) for c, (_, t) in zip(zip(*found, strict=True), _FIELDS, strict=True)]], names)
-
     def tokens(name: str) -> Column:
         return F.filter(F.split(F.coalesce(F.col("attrs")[name], F.lit("")), r"\s+"), lambda x: x != "")
 
-    found = files.select(*keys, content).mapInArrow(run, fields)
+    found = files.select(*keys, content).mapInArrow(lambda batches: node_batches(batches, len(keys), keys), fields)
     return found.withColumn("classes", tokens("class")).withColumn("types", tokens("epub:type"))
 
 
@@ -167,14 +182,20 @@ def numbered_paragraphs(tree: DataFrame, keys: list[str], least: int = NUMBERED_
     return ps.withColumn("_run", run).groupBy(*keys, "parent", "_run").agg(F.count("*").alias("paragraphs")).where(F.col("paragraphs") >= least).drop("_run")
 
 
-def _pick(tree: DataFrame, parts: DataFrame, book: str, part: str, ordinal: str, ways: list[Column], names: Column) -> DataFrame:
-    """book, part of each book's page that the earliest way finds, of several the first; ways over nodes, then by name."""
-    best = F.least(*[F.when(w, F.lit(i)) for i, w in enumerate(ways)], F.lit(None))
-    by_node = tree.groupBy(F.col(book).alias("_b"), F.col(part).alias("_p")).agg(F.min(best).alias("_way"))
-    all_ = parts.join(by_node, F.col("_b").eqNullSafe(parts[book]) & F.col("_p").eqNullSafe(parts[part]), "left")
-    way = F.coalesce("_way", F.when(names, F.lit(len(ways))))
-    ranked = all_.withColumn("_way", way).where("_way IS NOT NULL").withColumn("_n", F.row_number().over(Window.partitionBy(book).orderBy("_way", ordinal, part)))
-    return ranked.where("_n = 1").select(book, part)
+def _first_way(ways: list[Column]) -> Column:
+    """The place of the earliest way that holds, null if none does."""
+    return F.coalesce(*[F.when(w, F.lit(i)) for i, w in enumerate(ways)])
+
+
+def _with_facts(parts: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """parts with the facts of their pages, null where a page has none."""
+    facts = facts.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return parts.join(facts, [F.col(f"_{k}").eqNullSafe(parts[k]) for k in keys], "left").drop(*[f"_{k}" for k in keys])
+
+
+def _pick(way: Column, ordinal: str, part: str, facts: list[str]) -> Column:
+    """Of a book's parts the one that the earliest way finds, of several the first, with its facts; an aggregate, null if none."""
+    return F.min(F.when(way.isNotNull(), F.struct(way.alias("_way"), F.col(ordinal).alias("_at"), F.col(part).alias("_name"), *facts)))
 
 
 def _same_alt(seen: Column, wanted: Column) -> Column:
@@ -184,36 +205,35 @@ def _same_alt(seen: Column, wanted: Column) -> Column:
     return norm(seen).eqNullSafe(norm(wanted))
 
 
-def _first_image(tree: DataFrame, keys: list[str], outer: Column) -> DataFrame:
-    """keys, alt of the first image with an alternative text in the first such element."""
-    images = inside(tree, keys, outer, (F.col("tag") == "img") & F.col("attrs")["alt"].isNotNull())
-    return images.groupBy(*keys).agg(F.min(F.struct("outer", "node", F.col("attrs")["alt"].alias("alt"))).alias("m")).select(*keys, "m.outer", "m.alt")
-
-
 def title_pages(tree: DataFrame, parts: DataFrame, rules: DataFrame, book: str, part: str, ordinal: str) -> DataFrame:
     """book, code of title pages. parts: every part of a book with its ordinal; rules: book, logo_alt, image_only (an image is the whole page).
 
     Books without a rule have no title page to look for. A page is a section of that type, else a front matter body of that
     class, else one of a telling name; it holds a book title and, as a figure, the imprint's logo with its alternative text.
+    The tree is read once: what tells a page is brought to one row a page, and of these each book's page is chosen.
     """
+    keys = [book, part]
     body, front = F.col("tag") == "body", F.array_contains("types", "frontmatter")
-    rules = rules.select(F.col(book).alias("_rb"), "logo_alt", "image_only")
-    ruled = parts.join(rules.where("NOT image_only"), F.col("_rb").eqNullSafe(parts[book]), "left_semi")
-    pictured = parts.join(rules.where("image_only"), F.col("_rb").eqNullSafe(parts[book]), "left_semi")
-    name = F.col(part).rlike(r"(?i)(^|/)(title([_-]\d+)?|[a-z]+_titlepage)\.x?html?$")
+    section = (F.col("tag") == "section") & F.array_contains("types", "titlepage")
     full = (F.col("tag") == "figure") & _has("image_full")
-    fronts = tree.where(body & front).select(F.col(book).alias("_fb"), F.col(part).alias("_fp")).distinct()
-    in_front = tree.join(fronts, F.col("_fb").eqNullSafe(tree[book]) & F.col("_fp").eqNullSafe(tree[part]), "left_semi")
-    of_text = _pick(tree, ruled, book, part, ordinal, [(F.col("tag") == "section") & F.array_contains("types", "titlepage"), body & _has("titlepage") & front], name)
-    of_image = _pick(in_front, pictured, book, part, ordinal, [full], name)
-    pages = of_text.unionByName(of_image)
-    on = tree.join(pages.select(F.col(book).alias("_pb"), F.col(part).alias("_pp")), F.col("_pb").eqNullSafe(tree[book]) & F.col("_pp").eqNullSafe(tree[part]), "left_semi")
-    logo = (F.col("tag") == "figure") & _has("imprint_logo")
-    facts = on.groupBy(book).agg(F.bool_or(_has("booktitle")).alias("titled"), F.bool_or(logo & F.col("closed")).alias("logo"), F.bool_or(full).alias("full"))
-    alts = _first_image(on, [book, part], logo).select(F.col(book).alias("_ab"), "alt")
-    facts = facts.join(alts, F.col("_ab").eqNullSafe(facts[book]), "left").select(F.col(book).alias("_b"), "titled", "logo", "full", "alt")
-    books = parts.select(book).distinct()
-    each = books.join(rules, F.col("_rb").eqNullSafe(books[book])).join(facts, F.col("_b").eqNullSafe(books[book]), "left")
+    logo = (F.col("tag") == "figure") & _has("imprint_logo") & F.col("closed")
+    image = (F.col("tag") == "img") & F.col("attrs")["alt"].isNotNull()
+    nodes = tree.select(*keys, "node", "last", section.alias("section"), (body & front).alias("front"), (body & front & _has("titlepage")).alias("marked"), _has("booktitle").alias("titled"), logo.alias("logo"), full.alias("full"), F.when(image, F.struct("node", F.col("attrs")["alt"].alias("alt"))).alias("image"))
+    told = nodes.where("node = 1 OR section OR front OR titled OR logo OR full OR image IS NOT NULL")  # a page's first node stands for its being there
+    # From the end on, the last image seen is the next one after a node; a logo holds it if it stands before the logo's end.
+    after = F.last("image", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("node")).rowsBetween(Window.unboundedPreceding, -1))
+    held = F.when(F.col("logo") & (F.col("_next")["node"] <= F.col("last")), F.struct("node", F.col("_next")["alt"].alias("alt")))
+    any_ = {c: F.bool_or(c).alias(c) for c in ("section", "front", "marked", "titled", "logo", "full")}
+    facts = told.withColumn("_next", after).groupBy(*keys).agg(*any_.values(), F.min(held)["alt"].alias("alt"))
+    name = F.col(part).rlike(r"(?i)(^|/)(title([_-]\d+)?|[a-z]+_titlepage)\.x?html?$")
+    kept = ["titled", "logo", "full", "alt"]
+    books = _with_facts(parts, facts, keys).groupBy(book).agg(
+        _pick(_first_way([F.col("section"), F.col("marked"), name]), ordinal, part, kept).alias("_of_text"),
+        _pick(_first_way([F.col("front") & F.col("full"), name]), ordinal, part, kept).alias("_of_image"),
+    )
+    rules = rules.select(F.col(book).alias("_rb"), "logo_alt", "image_only")
+    page = F.when(F.col("image_only"), F.col("_of_image")).otherwise(F.col("_of_text"))
+    each = books.join(rules, F.col("_rb").eqNullSafe(books[book])).select(book, "logo_alt", "image_only", page.alias("page")).select(book, "logo_alt", "image_only", *[F.col("page")[c].alias(c) for c in kept])
     there = F.col("titled").isNotNull()
     codes = F.array(
         F.when(~there, "TITLE-PAGE-MISSING"),
@@ -228,20 +248,21 @@ def brand_pages(tree: DataFrame, parts: DataFrame, rules: DataFrame, book: str,
     """book, code of brand pages; rules: book, figure_class, logo_alt. Books without a rule need none.
 
     A page is a body of the id brand_page, in the front matter if there is one, else one of a telling name. Its first figure
-    with a class has the class, its first image with an alternative text the text that the imprint wants.
+    with a class has the class, its first image with an alternative text the text that the imprint wants. The tree is read
+    once, as for title pages.
     """
-    rules = rules.select(F.col(book).alias("_rb"), "figure_class", "logo_alt")
-    ruled = parts.join(rules, F.col("_rb").eqNullSafe(parts[book]), "left_semi")
+    keys = [book, part]
     marked = (F.col("tag") == "body") & (F.lower(F.col("attrs")["id"]) == "brand_page")
-    name = F.col(part).rlike(r"(?i)(^|/)(brand[-_ ]?page|[\w-]+[-_]brand|brand)\.x?html?$")
-    pages = _pick(tree, ruled, book, part, ordinal, [marked & F.array_contains("types", "frontmatter"), marked], name)
-    pages = pages.select(F.col(book).alias("_pb"), F.col(part).alias("_pp"))
-    on = tree.join(pages, F.col("_pb").eqNullSafe(tree[book]) & F.col("_pp").eqNullSafe(tree[part]), "left_semi")
     figure = F.when((F.col("tag") == "figure") & (F.size("classes") > 0), F.struct("node", "classes"))
     image = F.when((F.col("tag") == "img") & F.col("attrs")["alt"].isNotNull(), F.struct("node", F.col("attrs")["alt"].alias("alt")))
-    facts = on.groupBy(F.col(book).alias("_b")).agg(F.min(figure)["classes"].alias("classes"), F.min(image)["alt"].alias("alt"), F.lit(True).alias("there"))
-    books = pages.select(F.col("_pb").alias(book)).unionByName(ruled.select(book)).distinct()
-    each = books.join(rules, F.col("_rb").eqNullSafe(books[book])).join(facts, F.col("_b").eqNullSafe(books[book]), "left")
+    nodes = tree.select(*keys, "node", F.coalesce(marked & F.array_contains("types", "frontmatter"), F.lit(False)).alias("front"), F.coalesce(marked, F.lit(False)).alias("marked"), figure.alias("figure"), image.alias("image"))
+    told = nodes.where("node = 1 OR marked OR figure IS NOT NULL OR image IS NOT NULL")
+    facts = told.groupBy(*keys).agg(F.bool_or("front").alias("front"), F.bool_or("marked").alias("marked"), F.min("figure")["classes"].alias("classes"), F.min("image")["alt"].alias("alt"), F.lit(True).alias("there"))
+    name = F.col(part).rlike(r"(?i)(^|/)(brand[-_ ]?page|[\w-]+[-_]brand|brand)\.x?html?$")
+    kept = ["classes", "alt", "there"]
+    books = _with_facts(parts, facts, keys).groupBy(book).agg(_pick(_first_way([F.col("front"), F.col("marked"), name]), ordinal, part, kept).alias("page"))
+    rules = rules.select(F.col(book).alias("_rb"), "figure_class", "logo_alt")
+    each = books.join(rules, F.col("_rb").eqNullSafe(books[book])).select(book, "figure_class", "logo_alt", *[F.col("page")[c].alias(c) for c in kept])
     there = F.col("there").isNotNull()
     known = F.coalesce(F.get(F.filter("classes", lambda c: c.isin("brand_logo_solo", "image_full")), F.lit(0)), F.get("classes", F.lit(0)))
     codes = F.array(
@@ -252,12 +273,13 @@ def brand_pages(tree: DataFrame, parts: DataFrame, rules: DataFrame, book: str,
     return each.select(book, F.explode(F.array_compact(codes)).alias("code"))
 
 
-def flowing_text(tree: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, content: a page's text in lower case with the targets of links where they stand, blanks as one."""
+def flowing_text(tree: DataFrame, keys: list[str], *facts: Column) -> DataFrame:
+    """keys, content: a page's text in lower case with the targets of links where they stand, blanks as one; facts: further aggregates of its nodes."""
     piece = F.when(F.col("tag") == "#text", F.col("text")).when(F.col("tag") == "a", F.col("attrs")["href"])
-    rows = tree.select(*keys, "node", piece.alias("piece")).where("piece IS NOT NULL")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "piece"))), lambda x: x["piece"]), " ")
-    return rows.groupBy(*keys).agg(F.lower(F.trim(F.regexp_replace(text, r"[\s\x{A0}]+", " "))).alias("content"))
+    pieces = F.collect_list(F.when(piece.isNotNull(), F.struct("node", piece.alias("piece"))))
+    pages = tree.groupBy(*keys).agg(pieces.alias("_pieces"), *facts).where(F.size("_pieces") > 0)
+    text = F.array_join(F.transform(F.array_sort("_pieces"), lambda x: x["piece"]), " ")
+    return pages.withColumn("content", F.lower(F.trim(F.regexp_replace(text, r"[\s\x{A0}]+", " ")))).drop("_pieces")
 
 
 def socials_pages(tree: DataFrame, parts: DataFrame, channels: DataFrame, straplines: DataFrame, book: str, part: str, ordinal: str, hint: str) -> DataFrame:
@@ -269,23 +291,31 @@ def socials_pages(tree: DataFrame, parts: DataFrame, channels: DataFrame, strapl
     handle. channel is null for codes of a whole page. Books without channels need no page.
     """
     keys = [book, part]
+    absent = F.lit(None).cast("string")
     need = parts.join(channels.select(F.col(book).alias("_cb")).distinct(), F.col("_cb").eqNullSafe(parts[book]), "left_semi")
-    back = tree.where((F.col("tag") == "body") & F.array_contains("types", "backmatter")).select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
-    text = flowing_text(tree, keys)
-    text = text.join(back.withColumn("back", F.lit(True)), [F.col(f"_{k}").eqNullSafe(text[k]) for k in keys], "left").select(*keys, "content", F.coalesce("back", F.lit(False)).alias("back"))
+    back = (F.col("tag") == "body") & F.array_contains("types", "backmatter")
+    text = flowing_text(tree, keys, F.bool_or(back).alias("back"))
     named = sum([F.col("content").contains(p).cast("int") for p in CHANNELS.values() if p], F.lit(0))
-    page = _pick(text, need, book, part, ordinal, [F.col("back") & F.col(part).rlike(hint), F.col("back") & (named >= 2)], F.col(part).rlike(r"(?i)(^|/)(follow[_-][\w-]+|[\w-]*socials[\w-]*)\.x?html?$"))
-    page = page.join(text.select(*[F.col(k).alias(f"_{k}") for k in keys], "content"), [F.col(f"_{k}").eqNullSafe(page[k]) for k in keys], "left").select(book, F.coalesce("content", F.lit("")).alias("content"))
-    books = need.select(F.col(book).alias("_nb")).distinct()
-    missing = books.join(page, F.col("_nb").eqNullSafe(page[book]), "left_anti").select(F.col("_nb").alias(book), F.lit("SOCIALS-PAGE-MISSING").alias("code"), F.lit(None).cast("string").alias("channel"))
+    name = F.col(part).rlike(r"(?i)(^|/)(follow[_-][\w-]+|[\w-]*socials[\w-]*)\.x?html?$")
+    way = _first_way([F.col("back") & F.col(part).rlike(hint), F.col("back") & (named >= 2), name])
+    page = _with_facts(need, text, keys).groupBy(book).agg(_pick(way, ordinal, part, ["content"]).alias("page")).select(book, F.col("page").isNotNull().alias("there"), F.coalesce(F.col("page")["content"], F.lit("")).alias("content"))
+    rules = channels.groupBy(F.col(book).alias("_cb")).agg(F.array_sort(F.collect_list(F.struct("position", "channel", F.lower("handle").alias("handle")))).alias("rules"))
+    lines = straplines.groupBy(F.col(book).alias("_sb")).agg(F.collect_list(F.lower(F.trim(F.regexp_replace("strapline", r"\s+", " ")))).alias("lines"))
+    each = page.join(rules, F.col("_cb").eqNullSafe(page[book])).join(lines, F.col("_sb").eqNullSafe(page[book]), "left")
     prefix = F.create_map(*[F.lit(x) for kv in CHANNELS.items() for x in kv])
-    rules = channels.select(F.col(book).alias("_cb"), "position", "channel", F.lower("handle").alias("handle"))
-    each = page.join(rules, F.col("_cb").eqNullSafe(page[book]))
-    at, address = F.expr("position(handle, content)"), prefix[F.col("channel")]
-    each = each.withColumn("at", at).withColumn("named", (F.length(address) > 0) & F.contains(F.col("content"), address))
-    lost = each.where("at = 0").select(book, F.when(F.col("named"), "SOCIALS-HANDLE-WRONG").otherwise("SOCIALS-CHANNEL-MISSING").alias("code"), "channel")
-    before = F.lag("at").over(Window.partitionBy(book).orderBy("position"))
-    turned = each.where("at > 0").withColumn("_before", before).where("at <= _before").select(book, F.lit("SOCIALS-CHANNEL-ORDER-WRONG").alias("code"), F.lit(None).cast("string").alias("channel")).distinct()
-    lines = straplines.select(F.col(book).alias("_sb"), F.lower(F.trim(F.regexp_replace("strapline", r"\s+", " "))).alias("strapline"))
-    bare = page.join(lines, F.col("_sb").eqNullSafe(page[book])).where(~F.col("content").contains(F.col("strapline"))).select(book, F.lit("SOCIALS-STRAPLINE-MISSING").alias("code"), F.lit(None).cast("string").alias("channel"))
-    return missing.unionByName(lost).unionByName(turned).unionByName(bare)
+
+    def seen(r: Column) -> Column:
+        address = prefix[r["channel"]]
+        return F.struct(F.position(r["handle"], F.col("content")).alias("at"), ((F.length(address) > 0) & F.contains(F.col("content"), address)).alias("named"), r["channel"].alias("channel"))
+
+    each = each.withColumn("seen", F.transform("rules", seen)).withColumn("at", F.transform(F.filter("seen", lambda s: s["at"] > 0), lambda s: s["at"]))
+    lost = F.transform(F.filter("seen", lambda s: s["at"] == 0), lambda s: F.struct(F.when(s["named"], "SOCIALS-HANDLE-WRONG").otherwise("SOCIALS-CHANNEL-MISSING").alias("code"), s["channel"].alias("channel")))
+    turned = F.exists(F.arrays_zip(F.col("at").alias("a"), F.slice("at", F.lit(2), F.greatest(F.size("at") - 1, F.lit(0))).alias("b")), lambda x: x["b"] <= x["a"])
+    bare = F.transform(F.filter("lines", lambda x: ~F.contains(F.col("content"), x)), lambda _: F.struct(F.lit("SOCIALS-STRAPLINE-MISSING").alias("code"), absent.alias("channel")))
+
+    def one(code: str, when: Column) -> Column:
+        return F.when(when, F.array(F.struct(F.lit(code).alias("code"), absent.alias("channel"))))
+
+    none = F.array().cast("array<struct<code:string,channel:string>>")
+    on_page = F.concat(lost, F.coalesce(one("SOCIALS-CHANNEL-ORDER-WRONG", turned), none), F.coalesce(bare, none))
+    return each.select(book, F.explode(F.when(F.col("there"), on_page).otherwise(one("SOCIALS-PAGE-MISSING", ~F.col("there")))).alias("i")).select(book, "i.*")

@@ -456,7 +456,8 @@ _PACKAGE = "c AS (SELECT c_custkey AS book, lower(c_mktsegment) AS logo, c_custk
 
 def _front_pages(spark, d):
     """Books of three parts from customers: a front page whose marks vary with the number, a brand page, a page of channels."""
-    c = table(spark, d, "customer")
+    # Customers are a small file, read by a task or two, but their pages are much work: so they are dealt before pages are made.
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")
     k, seg = F.col("c_custkey") % 7, F.col("c_mktsegment")
     title = F.concat(F.when(k == 1, "<h3>").otherwise('<h3 class="booktitle">'), F.lit("T</h3>"), F.when(k == 2, "").otherwise(F.concat(F.lit('<figure class="imprint_logo"><img alt="'), F.when(k == 3, F.lit("x")).otherwise(F.lower(seg)), F.lit('"/></figure>'))))
     front = F.concat(F.lit('<body epub:type="frontmatter"><section epub:type="'), F.when(k == 4, "preface").otherwise("titlepage"), F.lit('">'), title, F.lit("</section></body>"))

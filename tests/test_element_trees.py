@@ -2,6 +2,7 @@
 
 from html.parser import HTMLParser
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,32 @@ def test_socials_pages(spark):
     want = [("line", "SOCIALS-STRAPLINE-MISSING", ""), ("lost", "SOCIALS-CHANNEL-MISSING", "facebook"), ("named", "SOCIALS-STRAPLINE-MISSING", ""), ("turned", "SOCIALS-CHANNEL-ORDER-WRONG", ""), ("wrong", "SOCIALS-HANDLE-WRONG", "twitter")]
     want += [("named", "SOCIALS-CHANNEL-MISSING", c) for c in ("twitter", "facebook", "newsletter")]
     assert got == sorted(want + [("none", "SOCIALS-PAGE-MISSING", "")])
+
+
+def _scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+
+def _query(spark, sf, name):
+    from tessella.plans import QUERIES
+
+    return QUERIES[name](spark, sf)
+
+
+def test_title_pages_are_scanned_once(spark, sf, rules):
+    df = _query(spark, sf, "re6e_title_pages")
+    assert _scans(df) == 1
+    nested = "<body><section epub:type='titlepage'><h3 class='booktitle'>T</h3>" + LOGO.format("the logo").replace("<img", "<figure class='imprint_logo'></figure><img") + "<img alt='x'/></section></body>"
+    outside = "<body><section epub:type='titlepage'><h3 class='booktitle'>T</h3><figure class='imprint_logo'></figure><img alt='the logo'/>" + LOGO.format("y") + "</section></body>"
+    tree, parts = _tree(spark, [("nested", "1.xhtml", nested), ("outside", "1.xhtml", outside), ("empty", "1/title.xhtml", "")])
+    got = sorted(map(tuple, et.title_pages(tree, parts, rules(["nested", "outside", "empty"]), "book", "part", "n").collect()))
+    assert got == [("empty", "TITLE-PAGE-MISSING"), ("outside", "TITLE-PAGE-WRONG-LOGO-ALT")]
+
+
+def test_pages_share_batches():
+    names = ["book", "c"]
+    pages = pa.record_batch([pa.array(range(2000)), pa.array(["<p>x</p>", None] * 1000)], names)
+    got = list(et.node_batches([pages], 1, ["book"]))
+    assert len(got) == 1 and got[0].num_rows == 2000 and got[0].column(0).to_pylist()[:4] == [0, 0, 2, 2]
+    wide = pa.record_batch([pa.array(range(9)), pa.array(["<p>" + "x" * et.BATCH_CHARS + "</p>"] * 9)], names)
+    assert [b.num_rows for b in et.node_batches([wide], 1, ["book"])] == [2] * 9
