@@ -168,3 +168,7 @@ def test_pages_share_batches():
     assert len(got) == 1 and got[0].num_rows == 2000 and got[0].column(0).to_pylist()[:4] == [0, 0, 2, 2]
     wide = pa.record_batch([pa.array(range(9)), pa.array(["<p>" + "x" * et.BATCH_CHARS + "</p>"] * 9)], names)
     assert [b.num_rows for b in et.node_batches([wide], 1, ["book"])] == [2] * 9
+
+
+def test_brand_pages_are_scanned_once(spark, sf):
+    assert _scans(_query(spark, sf, "re6f_brand_pages")) == 1
