@@ -172,3 +172,7 @@ def test_pages_share_batches():
 
 def test_brand_pages_are_scanned_once(spark, sf):
     assert _scans(_query(spark, sf, "re6f_brand_pages")) == 1
+
+
+def test_socials_pages_are_scanned_once(spark, sf):
+    assert _scans(_query(spark, sf, "re6g_socials_pages")) == 1
