@@ -46,3 +46,21 @@ def test_frequent_words_find_no_candidates(spark):
     index = rs.postings(works, "id", F.col("t"))
     got = rs.search(spark.createDataFrame([(7, ["the", "x7"])], "q long, t array<string>"), "q", F.col("t"), index)
     assert [r["work"] for r in got.orderBy("rank").collect()] == [7, 57, 107, 157, 207]
+
+
+def test_shards_give_the_same(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{int(rng.paretovariate(0.7)) % 200}" for _ in range(2000)]
+    works = {f"x{i}": rng.choices(words, k=rng.choice([1, 5, 30])) for i in range(150)}
+    queries = {i: rng.choices(words, k=rng.choice([1, 4, 25])) for i in range(60)}
+    w, q = spark.createDataFrame([*works.items()], "work string, t array<string>"), spark.createDataFrame([*queries.items()], "q long, t array<string>")
+    monkeypatch.setattr(rs, "SHARD_POSTINGS", 300)
+    found = rs.search(q, "q", F.col("t"), rs.postings(w, "work", F.col("t")), 4)
+    assert sorted(map(tuple, found.collect())) == sorted(_best(queries, works, 4))
+
+
+def test_pairs_of_query_and_work_are_never_rows(spark):
+    index = spark.createDataFrame([(i, t, 5) for i in range(50) for t in ("a", "b")], "work long, term string, w long")
+    found = rs.search(spark.createDataFrame([(i, ["a", "b"]) for i in range(50)], "q long, t array<string>"), "q", F.col("t"), index, 2)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.where("score = 10").count() == 100
