@@ -14,8 +14,11 @@ from tessella.functions.numbers import half_up
 from tessella.operators.kernels import Columns, per_group
 
 THRESHOLD, MIN_INSTANCES = 0.5, 5
-#: Overlaps of a page that are held at once.
+#: Overlaps of a page that are held at once; groups with more pairs than PLAIN_CELLS are matched over an index.
 ROWS_CELLS = 1 << 20
+PLAIN_CELLS = 1 << 20
+#: Overlaps by which the index looks for partners, one after the other; candidates that end the search; boxes that choose between two looks.
+LEVELS, ENOUGH, BLOCK = (0.95, 0.92, 0.88, 0.82, 0.74, 0.63), 2, 1024
 
 
 def _boxes(g: Columns) -> np.ndarray:
@@ -38,6 +41,171 @@ def _iou_rows(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
         yield from iou_matrix(a[k : k + step], b)
 
 
+def iou_of_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """iou_matrix of a row of a and the same row of b, by the same steps."""
+    wide = np.minimum(a[:, 0] + a[:, 2], b[:, 0] + b[:, 2]) - np.maximum(a[:, 0], b[:, 0])
+    high = np.minimum(a[:, 1] + a[:, 3], b[:, 1] + b[:, 3]) - np.maximum(a[:, 1], b[:, 1])
+    inter = np.clip(wide, 0, None) * np.clip(high, 0, None)
+    union = a[:, 2] * a[:, 3] + b[:, 2] * b[:, 3] - inter
+    return np.where((inter > 0) & (union > 0), np.minimum(1.0, inter / np.where(union > 0, union, 1.0)), 0.0)
+
+
+class BoxIndex:
+    """Boxes by cells of size and centre, such that all that overlap a box by `level` or more lie in 36 cells.
+
+    Overlap by t bounds the ratio of two widths by t and the distance of two centres by (1/t - 1)/2 of either width, so sizes
+    go by powers of 1/t and a size's cells are as wide as twice that distance for its widest box; the same for heights.
+    """
+
+    _MIX = tuple(np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+
+    def __init__(self, boxes: np.ndarray, which: np.ndarray, level: float):
+        """which: the rows of boxes that are in the index."""
+        self.base = np.log(1 / level) * (1 + 1e-9)
+        self.side = (1 / level - 1) * (1 + 1e-9)
+        size = [self._size(boxes[which, 2 + x]) for x in (0, 1)]
+        cells = [np.floor((boxes[which, x] + boxes[which, 2 + x] / 2) / self._side(size[x])).astype(np.int64) for x in (0, 1)]
+        keys = self._key(size[0], cells[0], size[1], cells[1])
+        order = np.argsort(keys, kind="stable")
+        self.rows, keys = which[order], keys[order]
+        self.first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+        self.keys, self.n = keys[self.first], np.diff(np.r_[self.first, len(keys)])
+
+    def _size(self, length: np.ndarray) -> np.ndarray:
+        return np.floor(np.log(length) / self.base).astype(np.int64)
+
+    def _side(self, size: np.ndarray) -> np.ndarray:
+        return np.exp((size + 1) * self.base) * self.side
+
+    def _key(self, *parts: np.ndarray) -> np.ndarray:
+        """Equal cells have equal keys; others that do only make for more candidates."""
+        key = np.zeros(parts[0].shape, np.uint64)
+        for p, m in zip(parts, self._MIX, strict=True):
+            key = (key ^ p.astype(np.uint64)) * m
+            key ^= key >> np.uint64(29)
+        return key
+
+    def cells_of(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first row, rows) of the 36 cells of each box: arrays of boxes x 36."""
+        axes = []
+        for x in (0, 1):
+            size = self._size(a[:, 2 + x])[:, None] + np.array([-1, -1, 0, 0, 1, 1])
+            centre = (a[:, x] + a[:, 2 + x] / 2)[:, None]
+            axes.append((size, np.floor(centre / self._side(size) - 0.5).astype(np.int64) + np.array([0, 1, 0, 1, 0, 1])))
+        shape = (len(a), 6, 6)
+        (w, cx), (h, cy) = axes
+        keys = self._key(*(np.broadcast_to(v, shape) for v in (w[:, :, None], cx[:, :, None], h[:, None, :], cy[:, None, :]))).reshape(len(a), 36)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        return self.first[at], np.where(hit, self.n[at], 0)
+
+
+def _plain_greedy(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    free, took, tops = np.ones(len(b), bool), np.full(len(a), -1), np.zeros(len(a))
+    for i, overlap in enumerate(_iou_rows(a, b) if len(b) else ()):
+        best = np.where(free, overlap, 0.0)
+        k = int(best.argmax())
+        tops[i] = best[k]
+        if best[k] >= threshold and best[k] > 0:
+            free[k], took[i] = False, k
+    return took, tops
+
+
+def _indexed_greedy(a: np.ndarray, b: np.ndarray, threshold: float, with_tops: bool) -> tuple[np.ndarray, np.ndarray]:
+    """As _plain_greedy. Equal boxes of b are one entry, a queue of rows; a block of a finds its candidates among the entries
+    that are left, by the highest level at which there are enough, and then chooses in order."""
+    order = np.lexsort((b[:, 3], b[:, 2], b[:, 1], b[:, 0]))  # stable: rows of equal boxes stay in order
+    sorted_ = b[order]
+    begin = np.flatnonzero(np.r_[True, (sorted_[1:] != sorted_[:-1]).any(1)])
+    boxes, sizes = sorted_[begin], np.diff(np.r_[begin, len(b)])
+    # Only entries with an area overlap anything.
+    left = np.where((boxes[:, 2] > 0) & (boxes[:, 3] > 0), sizes, 0)
+    following, gone = order[begin].copy(), np.where(left > 0, len(a), -1)  # each entry's next row; who took its last one
+    used = np.zeros(len(boxes), np.int64)
+    took, tops = np.full(len(a), -1), np.zeros(len(a))
+    solid = (a[:, 2] > 0) & (a[:, 3] > 0)
+    levels = [*[t for t in LEVELS if t > threshold], threshold]
+    skip, indices, indexed = 0, {}, 0
+
+    def take(i: int, g: int, value: float) -> None:
+        took[i], tops[i] = following[g], value
+        used[g] += 1
+        left[g] -= 1
+        if left[g]:
+            following[g] = order[begin[g] + used[g]]
+        else:
+            gone[g] = i
+
+    for start in range(0, len(a), BLOCK):
+        todo = start + np.flatnonzero(solid[start : start + BLOCK])
+        free = np.flatnonzero(left > 0)
+        if not len(free):
+            break
+        if len(free) * 2 < indexed or not indices:
+            indices, indexed = {}, len(free)
+        lists: dict[int, tuple[list, list, bool]] = {}
+        for nth, level in enumerate(levels):
+            last = nth == len(levels) - 1
+            if nth < skip or not len(todo):
+                continue
+            if level not in indices:
+                indices[level] = BoxIndex(boxes, free, level)
+            index = indices[level]
+            cell, n = index.cells_of(a[todo])
+            turn = np.cumsum(n.sum(1)) // ROWS_CELLS
+            cuts = np.flatnonzero(np.diff(turn)) + 1
+            enough = np.zeros(len(todo), bool)
+            for lo, hi in zip([0, *cuts], [*cuts, len(todo)], strict=True):
+                each = n[lo:hi].ravel()
+                total = int(each.sum())
+                near = index.rows[np.arange(total) - np.repeat(np.cumsum(each) - each, each) + np.repeat(cell[lo:hi].ravel(), each)]
+                who = np.repeat(np.arange(lo, hi), n[lo:hi].sum(1))
+                who, near = (v[left[near] > 0] for v in (who, near))
+                value = iou_of_pairs(a[todo[who]], boxes[near])
+                good = value >= level
+                who, near, value = who[good], near[good], value[good]
+                by = np.lexsort((-value, who))
+                who, near, value = who[by], near[by], value[by]
+                ends = np.searchsorted(who, np.arange(lo, hi + 1))
+                enough[lo:hi] = (np.diff(ends) >= ENOUGH) | last
+                near, value = near.tolist(), value.tolist()
+                for j in np.flatnonzero(enough[lo:hi]).tolist():
+                    lists[int(todo[lo + j])] = near[ends[j] : ends[j + 1]], value[ends[j] : ends[j + 1]], last
+            if not last and nth == skip and enough.sum() * 2 < len(todo):
+                skip += 1
+            todo = todo[~enough]
+        for i in range(start, min(start + BLOCK, len(a))):
+            if i not in lists:
+                continue
+            near, value, whole = lists[i]
+            best, top = -1, 0.0
+            for g, v in zip(near, value, strict=True):
+                if v < top:
+                    break
+                if left[g] > 0 and (best < 0 or following[g] < following[best]):
+                    best, top = g, v
+            if best < 0 and not whole:  # all of them went within the block
+                row = np.where(left > 0, iou_matrix(a[i : i + 1], boxes)[0], 0.0)
+                top = float(row.max())
+                equal = np.flatnonzero(row == top)
+                best = int(equal[following[equal].argmin()]) if top >= threshold else -1
+            if best >= 0 and top > 0:
+                take(i, best, top)
+    lone = np.flatnonzero((took < 0) & solid) if with_tops else ()
+    if len(lone):  # the best overlap among what earlier ones left
+        for i, overlap in zip(lone.tolist(), _iou_rows(a[lone], boxes), strict=True):
+            tops[i] = np.where(gone > i, overlap, 0.0).max()
+    return took, tops
+
+
+def greedy(a: np.ndarray, b: np.ndarray, threshold: float, with_tops: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(row of b or -1, overlap) of each row of a: in order, each takes the best row of b not yet taken (the first of equals)
+    that it overlaps by threshold or more; one that takes none has its best overlap among those left (with_tops)."""
+    if len(a) * len(b) > PLAIN_CELLS and 0 < threshold < 1 and np.isfinite(a).all() and np.isfinite(b).all():
+        return _indexed_greedy(a, b, threshold, with_tops)
+    return _plain_greedy(a, b, threshold)
+
+
 def candidate_pairs(zones: DataFrame, keys: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of a detector A and a detector B region of one page that overlap by threshold (over 0, at most 1) or more.
 
@@ -79,21 +247,25 @@ def match_zones(zones: DataFrame, keys: list[str], order: list[str], threshold:
 
     def page(g: Columns) -> Columns:
         first = g["detector"] == "A"
-        a_type, b_type = g["zone_type"][first].tolist(), g["zone_type"][~first].tolist()
+        a_type, b_type = g["zone_type"][first], g["zone_type"][~first]
         boxes = _boxes(g)
+        took, tops = greedy(boxes[first], boxes[~first], threshold)
+        paired = took >= 0
         free = np.ones(len(b_type), bool)
-        rows = []
-        for i, overlap in enumerate(_iou_rows(boxes[first], boxes[~first])):
-            best = np.where(free, overlap, 0.0)
-            k = int(best.argmax()) if len(best) else -1
-            top = float(best[k]) if k >= 0 else 0.0
-            if top >= threshold and top > 0:
-                free[k] = False
-                rows.append((i, k, a_type[i], b_type[k], top, "GREEN" if a_type[i] == b_type[k] else "AMBER"))
-            else:
-                rows.append((i, None, a_type[i], None, top, "RED"))
-        rows += [(None, int(k), None, b_type[k], 0.0, "RED") for k in np.flatnonzero(free)]
-        return {n: np.array([r[i] for r in rows], object) for i, n in enumerate(("a_order", "b_order", "a_type", "b_type", "iou", "bucket"))}
+        free[took[paired]] = False
+        lone = np.flatnonzero(free)
+        nothing = np.full(len(lone), None)
+        b_order, of_pair = np.full(len(took), None), np.full(len(took), None)
+        b_order[paired], of_pair[paired] = took[paired], b_type[took[paired]]
+        bucket = np.where(paired, np.where(a_type == of_pair, "GREEN", "AMBER"), "RED")
+        return {
+            "a_order": np.r_[np.arange(len(took)).astype(object), nothing],
+            "b_order": np.r_[b_order, lone.astype(object)],
+            "a_type": np.r_[a_type, nothing],
+            "b_type": np.r_[of_pair, b_type[lone]],
+            "iou": np.r_[tops, np.zeros(len(lone))],
+            "bucket": np.r_[bucket.astype(object), np.full(len(lone), "RED", object)],
+        }
 
     out = {"a_order": "bigint", "b_order": "bigint", "a_type": "string", "b_type": "string", "iou": "double", "bucket": "string"}
     return per_group(zones.where(F.col("detector").isin("A", "B")), keys, order, ["detector", "zone_type", *"xywh"], page, out)
@@ -119,12 +291,7 @@ def match_precision(truth: DataFrame, predicted: DataFrame, keys: list[str], ord
         pred = np.flatnonzero(~gt)
         pred = pred[np.argsort(-g["confidence"][pred], kind="stable")]
         boxes = _boxes(g)
-        free, tp = np.ones(int(gt.sum()), bool), np.zeros(len(pred), np.int32)
-        for i, overlap in enumerate(_iou_rows(boxes[pred], boxes[gt]) if len(free) else ()):
-            best = np.where(free, overlap, 0.0)
-            k = int(best.argmax())
-            if best[k] >= threshold and best[k] > 0:
-                free[k], tp[i] = False, 1
+        tp = (greedy(boxes[pred], boxes[gt], threshold, False)[0] >= 0).astype(np.int32)
         return {"confidence": g["confidence"][pred], **{c: g[c][pred] for c in order}, "tp": tp}
 
     names = [*group, "confidence", *order, *"xywh"]

@@ -1,5 +1,7 @@
 """Hand-valued cases of matching and accuracy."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +125,41 @@ def test_matching_in_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, m.match_zones(zones, ["page"], ["o1"]).collect()), key=repr)
     monkeypatch.setattr(m, "ROWS_CELLS", 7)
     assert sorted(map(tuple, m.match_zones(zones, ["page"], ["o1"]).collect()), key=repr) == whole
+
+
+def _on_a_grid(rng, n):
+    return np.column_stack([rng.integers(0, 7, n) * 5, rng.integers(0, 4, n) * 5, rng.integers(0, 40, n), rng.integers(5, 25, n)]).astype(float)
+
+
+def _anywhere(rng, n):
+    return np.column_stack([rng.uniform(-20, 20, (n, 2)), 2.0 ** rng.uniform(-3, 4, (n, 2))])
+
+
+@pytest.mark.parametrize("boxes", [_on_a_grid, _anywhere, lambda rng, n: np.zeros((n, 4)) + [0, 0, 3, 3]])
+def test_matching_over_an_index(monkeypatch, boxes):
+    monkeypatch.setattr(m, "BLOCK", 64)
+    monkeypatch.setattr(m, "PLAIN_CELLS", 0)
+    rng = np.random.default_rng(3)
+    for n_a, n_b in ((300, 600), (700, 300), (1, 50), (50, 1), (40, 0)):
+        a, b = boxes(rng, n_a), boxes(rng, n_b)
+        for threshold in (0.3, 0.5, 0.9, 0.97):
+            want, got = m._plain_greedy(a, b, threshold), m.greedy(a, b, threshold)
+            assert (want[0] == got[0]).all() and (want[1] == got[1]).all()
+
+
+def test_crowded_pages_are_not_crossed(monkeypatch):
+    crossed = []
+    real = m.iou_matrix
+    monkeypatch.setattr(m, "iou_matrix", lambda a, b: crossed.append(len(a) * len(b)) or real(a, b))
+    rng = np.random.default_rng(4)
+    a, b = (np.column_stack([rng.uniform(0, 100, (n, 2)), rng.uniform(20, 70, (n, 2))]) for n in (3000, 6000))
+    took, _ = m.greedy(a, b, 0.5)
+    assert (took >= 0).mean() > 0.95 and sum(crossed) < 3000 * 6000 / 5
+
+
+def test_model_delta_matches_its_runs_alone(spark, sf):
+    from tessella.plans import QUERIES
+
+    plan = QUERIES["ag43_model_delta"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    reads = [line for line in plan.split("\n") if "Filter" in line and "l_returnflag" in line]
+    assert reads and all(re.search(r"% 16\) = [12]\)", line) for line in reads)
