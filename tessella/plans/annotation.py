@@ -68,8 +68,11 @@ def _(spark, d):
     return s.where("total_zones > 0").agg(half_up(F.avg(F.col("green_count") / F.col("total_zones")), 4).alias("mean_green_rate"), F.count("*").alias("runs"))
 
 
-def _scored(spark, d):
+def _scored(spark, d, *runs):
+    """runs: those to score, all if none is given; matching never looks across runs."""
     z = view(spark, d, "zones")
+    if runs:
+        z = z.where(F.col("run_id").isin(*runs))
     truth, predicted = z.where("detector = 'A'"), z.where("detector = 'B'")
     matched = mat.match_precision(truth, predicted, ["run_id"], ORDER)
     return mat.average_precision(matched, truth, ["run_id"], ORDER)
@@ -322,7 +325,7 @@ def _(spark, d):
 
 @query("ag43_model_delta")
 def _(spark, d):
-    return exp.model_delta(_scored(spark, d).where("run_id = 1"), _scored(spark, d).where("run_id = 2"))
+    return exp.model_delta(_scored(spark, d, 1), _scored(spark, d, 2))
 
 
 @query("ag62_spot_check", f"SELECT bucket, count(*) AS n, {js('count(*) FILTER (zone_type = ai_label) * 100.0 / count(*)', 2)} AS agree_pct FROM decisions WHERE ai_label IS NOT NULL AND bucket IS NOT NULL GROUP BY 1", "decisions")
