@@ -123,6 +123,30 @@ def next_numbers(new: DataFrame, base: DataFrame, key: str, number: str, order:
     return new.join(top, key, "left").withColumn(number, F.coalesce("_top", F.lit(0)) + nth).drop("_top")
 
 
+def last_before(points: DataFrame, marks: DataFrame, keys: list[str], at: str, start: str, columns: list[str], cell: int) -> DataFrame:
+    """points + columns of the mark of equal keys with the highest start that isn't above at; of equal starts the one of the
+    highest columns. Null where there is none, or where a key or at is null.
+
+    For stretches that each end where the next begins, this is the join on start <= at < next start, without its pairs. Both
+    sides are cut into cells of that width; each cell gets the last mark before it, so a task sorts cells, not whole keys.
+    """
+
+    def cell_of(c: str) -> Column:
+        return F.floor(F.col(c) / F.lit(cell)).cast("long")
+
+    by_cell, order = [*keys, "_cell"], ["_at", "_kind", "_mark"]
+    here = [F.col(c).isNotNull() for c in [*keys, start]]
+    found = marks.where(reduce(lambda a, b: a & b, here)).select(*keys, cell_of(start).alias("_cell"), F.col(start).alias("_at"), F.lit(0).alias("_kind"), F.struct(*columns).alias("_mark"))
+    asked = points.select(*keys, cell_of(at).alias("_cell"), F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_point"))
+    ends = found.groupBy(*by_cell).agg(F.max(F.struct("_at", "_mark"))["_mark"].alias("_mark"))
+    cells = ends.unionByName(asked.select(*by_cell).distinct(), allowMissingColumns=True).groupBy(*by_cell).agg(F.max("_mark").alias("_mark"))
+    earlier = F.last("_mark", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    carried = cells.withColumn("_mark", earlier).where("_mark IS NOT NULL AND _cell IS NOT NULL").withColumn("_kind", F.lit(0))  # a null place sorts first
+    rows = asked.unionByName(found, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    last = F.last("_mark", ignorenulls=True).over(Window.partitionBy(*by_cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_mark", last).where("_kind = 1").select("_point.*", *[F.col("_mark")[c].alias(c) for c in columns])
+
+
 def sample_rows(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     """n rows that depend on keys and seed alone, by hash order."""
     return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)

@@ -189,12 +189,10 @@ def _(spark, d):
 
 @query("jn16_offset_in_chapter", "WITH ch AS (SELECT c_nationkey AS book, c_custkey AS chapter, c_custkey * 10 AS lo, coalesce(lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) * 10, 1000000000) AS hi FROM customer), q AS (SELECT o_orderkey, o_orderkey % 25 AS book, (o_orderkey * 7) % 15000 AS spot FROM orders) SELECT o_orderkey, chapter FROM q LEFT JOIN ch ON q.book = ch.book AND spot >= lo AND spot < hi")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    nxt = F.lead("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) * 10
-    ch = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("book"), F.col("c_custkey").alias("chapter"), (F.col("c_custkey") * 10).alias("lo"), F.coalesce(nxt, F.lit(1000000000)).alias("hi"))
+    # A chapter ends where the book's next one begins, and no place comes near the end of the last.
+    ch = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("book"), F.col("c_custkey").alias("chapter"), (F.col("c_custkey") * 10).alias("lo"))
     q = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 25).alias("book"), ((F.col("o_orderkey") * 7) % 15000).alias("at"))
-    return q.join(ch, (q["book"] == ch["book"]) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")), "left").select("o_orderkey", "chapter")
+    return rel.last_before(q, ch, ["book"], "at", "lo", ["chapter"], 1000).select("o_orderkey", "chapter")
 
 
 @query("jn17_inside_band", "SELECT run_id, page_number, count(*) FILTER (y < 10 OR y + h > 85) AS in_band, count(*) AS n FROM zones GROUP BY 1, 2", "zones")
