@@ -17,6 +17,8 @@ THRESHOLD, MIN_INSTANCES = 0.5, 5
 #: Overlaps of a page that are held at once; groups with more pairs than PLAIN_CELLS are matched over an index.
 ROWS_CELLS = 1 << 20
 PLAIN_CELLS = 1 << 20
+#: Boxes that are crossed at once with what may overlap them, cells of that; pairs of a page above which it is dealt to several tasks.
+LEAF, CROSSED, TASK_PAIRS = 64, 1 << 17, 1 << 33
 #: Overlaps by which the index looks for partners, one after the other; candidates that end the search; boxes that choose between two looks.
 LEVELS, ENOUGH, BLOCK = (0.95, 0.92, 0.88, 0.82, 0.74, 0.63), 2, 1024
 
@@ -41,6 +43,58 @@ def _iou_rows(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
         yield from iou_matrix(a[k : k + step], b)
 
 
+def _near(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows of b, by bounds alone, that may overlap one of a by threshold: on each axis t of the union, so t/(1 + t) of both lengths, is shared."""
+    share, keep = threshold / (1 + threshold) * (1 - 1e-9), np.ones(len(b), bool)
+    for x in (0, 1):
+        start, long, b_long = a[:, x], a[:, 2 + x], b[:, 2 + x]
+        shared = np.minimum((start + long).max(), b[:, x] + b_long) - np.maximum(start.min(), b[:, x])
+        keep &= np.minimum(np.minimum(shared, b_long), long.max()) >= share * (b_long + long.min())
+    return np.flatnonzero(keep)
+
+
+def overlapping(a: np.ndarray, b: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of a, rows of b, their overlaps as a matrix, which of them are threshold (over 0) or more), blocks that hold each such pair once.
+
+    a is halved along the axis in which it is most spread until few boxes are left; each half keeps the rows of b that its
+    bounds allow. So work and memory grow with what lies close together.
+    """
+    some = [np.flatnonzero((v[:, 2] > 0) & (v[:, 3] > 0) & np.isfinite(v).all(1)) for v in (a, b)]
+    stack = [(some[0], some[1])]
+    while stack:
+        i, j = stack.pop()
+        if not len(i) or not len(j):
+            continue
+        box = a[i]
+        j = j[_near(box, b[j], threshold)]
+        if not len(j):
+            continue
+        long = box[:, 2:]
+        centre = box[:, :2] + long / 2
+        spread = np.r_[np.ptp(centre, 0) / long.mean(0), np.log(long.max(0) / long.min(0))]
+        if len(i) <= LEAF or not spread.max() > 0:
+            for k in range(0, len(i), LEAF):
+                for c in range(0, len(j), CROSSED // LEAF):
+                    rows, others = i[k : k + LEAF], j[c : c + CROSSED // LEAF]
+                    value = _crossed(a[rows], b[others])
+                    yield rows, others, value, value >= threshold
+            continue
+        by = np.column_stack([centre, long])[:, spread.argmax()]
+        order = np.argpartition(by, len(i) // 2)
+        stack += [(i[order[: len(i) // 2]], j), (i[order[len(i) // 2 :]], j)]
+
+
+def _crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """iou_matrix of boxes with an area, in fewer steps; 0 or less where they lie apart."""
+    ends, b_ends = a[:, :2] + a[:, 2:], b[:, :2] + b[:, 2:]
+    wide, high = (np.minimum(ends[:, None, x], b_ends[None, :, x]) - np.maximum(a[:, None, x], b[None, :, x]) for x in (0, 1))
+    inter = np.maximum(wide, 0.0, out=wide)
+    inter *= high
+    union = (a[:, 2] * a[:, 3])[:, None] + (b[:, 2] * b[:, 3])[None, :]
+    union -= inter
+    return np.minimum(np.divide(inter, union, out=union), 1.0, out=union)
+
+
 def iou_of_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """iou_matrix of a row of a and the same row of b, by the same steps."""
     wide = np.minimum(a[:, 0] + a[:, 2], b[:, 0] + b[:, 2]) - np.maximum(a[:, 0], b[:, 0])
@@ -238,6 +292,35 @@ def candidate_pairs(zones: DataFrame, keys: list[str], threshold: float = THRESH
     return a.join(b, [*keys, *cells]).drop(*cells).withColumn("iou", iou(box("a_"), box("b_"))).where(F.col("iou") >= threshold)
 
 
+def count_pairs(zones: DataFrame, keys: list[str], threshold: float = THRESHOLD) -> DataFrame:
+    """keys, pairs, same (of one type), total (of overlaps): candidate_pairs() counted by page, without a row for each pair.
+
+    A page is one group, unless it has over TASK_PAIRS pairs: then its A boxes are dealt to several, each with all its B
+    boxes. Pages without such pairs or with null keys don't come up.
+    """
+    first = F.col("detector") == "A"
+    zones = zones.where(F.col("detector").isin("A", "B") & (F.col("w") > 0) & (F.col("h") > 0))
+    for key in keys:
+        zones = zones.where(F.col(key).isNotNull())
+    sizes = zones.groupBy(*keys).agg(F.ceil(F.count_if(first).cast("double") * F.count_if(~first) / TASK_PAIRS).cast("int").alias("_parts")).where("_parts > 0")
+    own = F.array(F.pmod(F.xxhash64(*"xywh"), F.col("_parts")).cast("int"))
+    parted = zones.join(sizes, keys).withColumn("_part", F.explode(F.when(first, own).otherwise(F.sequence(F.lit(0), F.col("_parts") - 1))))
+
+    def page(g: Columns) -> Columns:
+        boxes, is_a = _boxes(g), g["detector"] == "A"
+        names = {t: n for n, t in enumerate(dict.fromkeys(g["zone_type"].tolist())) if t is not None}
+        a_type, b_type = (np.array([names.get(t, none) for t in g["zone_type"][m].tolist()], np.int32) for m, none in ((is_a, -1), (~is_a, -2)))
+        pairs, same, total = 0, 0, 0.0
+        for i, j, value, good in overlapping(boxes[is_a], boxes[~is_a], threshold):
+            pairs += np.count_nonzero(good)
+            same += np.count_nonzero(good & (a_type[i][:, None] == b_type[j][None, :]))
+            total += float((value * good).sum())
+        return {"pairs": np.array([pairs]), "same": np.array([same]), "total": np.array([total])}
+
+    counted = per_group(parted, [*keys, "_part"], [], ["detector", "zone_type", *"xywh"], page, {"pairs": "bigint", "same": "bigint", "total": "double"})
+    return counted.groupBy(*keys).agg(F.sum("pairs").alias("pairs"), F.sum("same").alias("same"), F.sum("total").alias("total")).where("pairs > 0")
+
+
 def match_zones(zones: DataFrame, keys: list[str], order: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """One row per matched pair or lone region: keys, a_order, b_order (places in `order` on the page), a_type, b_type, iou, bucket.
 

@@ -36,8 +36,8 @@ def _iou_sql(a: str, b: str) -> str:
 
 @query("mf1_iou_candidates", f"SELECT a.run_id, count(*) AS pairs, count(*) FILTER (a.zone_type = b.zone_type) AS same, {js('avg(' + _iou_sql('a', 'b') + ')', 6)} AS mean_iou FROM zones a JOIN zones b USING (run_id, page_number) WHERE a.detector = 'A' AND b.detector = 'B' AND {_iou_sql('a', 'b')} >= 0.5 GROUP BY 1", "zones")
 def _(spark, d):
-    p = mat.candidate_pairs(view(spark, d, "zones"), PAGE)
-    return p.groupBy("run_id").agg(F.count("*").alias("pairs"), F.count_if(F.col("a_zone_type") == F.col("b_zone_type")).alias("same"), half_up(F.avg("iou"), 6).alias("mean_iou"))
+    p = mat.count_pairs(view(spark, d, "zones"), PAGE)
+    return p.groupBy("run_id").agg(F.sum("pairs").alias("pairs"), F.sum("same").alias("same"), half_up(F.sum("total") / F.sum("pairs"), 6).alias("mean_iou"))
 
 
 @query("mf2_tolerant_box", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS width FROM events")

@@ -163,3 +163,32 @@ def test_model_delta_matches_its_runs_alone(spark, sf):
     plan = QUERIES["ag43_model_delta"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     reads = [line for line in plan.split("\n") if "Filter" in line and "l_returnflag" in line]
     assert reads and all(re.search(r"% 16\) = [12]\)", line) for line in reads)
+
+
+@pytest.mark.parametrize("boxes", [_on_a_grid, _anywhere])
+def test_overlapping_by_brute_force(boxes):
+    rng = np.random.default_rng(8)
+    for n_a, n_b in ((300, 600), (700, 200), (1, 50), (0, 9)):
+        a, b = boxes(rng, n_a), boxes(rng, n_b)
+        for threshold in (0.3, 0.5, 0.97):
+            want = m.iou_matrix(a, b)
+            got = [(int(i[x]), int(j[y]), float(v[x, y])) for i, j, v, good in m.overlapping(a, b, threshold) for x, y in zip(*np.nonzero(good), strict=True)]
+            assert sorted(got) == [(int(x), int(y), float(want[x, y])) for x, y in zip(*np.nonzero(want >= threshold), strict=True)]
+
+
+@pytest.mark.parametrize("pairs", [1 << 33, 5000])
+def test_counted_pairs_are_the_candidates(spark, monkeypatch, pairs):
+    monkeypatch.setattr(m, "TASK_PAIRS", pairs)
+    zones, _ = _random_zones(spark, 600, 7)
+    zones = zones.withColumn("zone_type", F.when(F.col("o1") % 5 > 0, F.concat(F.lit("t"), F.col("o1") % 3)))
+    same = F.count_if(F.col("a_zone_type") == F.col("b_zone_type"))
+    want = m.candidate_pairs(zones, ["page"]).groupBy("page").agg(F.count("*").alias("pairs"), same.alias("same"), F.sum("iou").alias("total")).orderBy("page").collect()
+    got = m.count_pairs(zones, ["page"]).orderBy("page").collect()
+    assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want])
+
+
+def test_counting_makes_no_rows_of_pairs(spark, sf):
+    from tessella.plans import QUERIES
+
+    plan = QUERIES["mf1_iou_candidates"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_cell_x" not in plan
